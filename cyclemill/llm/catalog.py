@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cyclemill.llm import language_id
+from cyclemill.llm import language_id, quality
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_quality_rules": quality.op2_quality_rules,
         "op9_language_id": language_id.op9_language_id,
     }
 

@@ -129,7 +129,7 @@ def fit(training: DataFrame) -> Filter:
     masks = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), np.uint64)
     if languages:
         numbers = spark.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, number int")
-        share = counts.join(F.broadcast(totals.join(numbers, "lang")), "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("share"))
+        share = counts.join(totals.join(numbers, "lang"), "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("share"))
         top = share.groupBy("gram").agg(F.max("share").alias("top"))
         kept = share.join(top, "gram").where((F.col("share") >= MIN_SHARE) & (F.col("share") >= RATIO * F.col("top"))).select("gram", "number")
         bits = kept.mapInArrow(_set_bits, "slot bigint, word bigint, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
