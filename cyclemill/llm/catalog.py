@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cyclemill.llm import language_id, quality
+from cyclemill.llm import language_id, near_dedup, quality
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op9_language_id": language_id.op9_language_id,
     }
 
