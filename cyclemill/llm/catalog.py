@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cyclemill.llm import language_id, near_dedup, quality
+from cyclemill.llm import language_id, near_dedup, packing, quality
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op2_quality_rules": quality.op2_quality_rules,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op9_language_id": language_id.op9_language_id,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
