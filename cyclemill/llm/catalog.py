@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cyclemill.llm import language_id, near_dedup, packing, quality
+from cyclemill.llm import language_id, mixing, near_dedup, packing, quality
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op6_entropy_mixing": mixing.op6_entropy_mixing,
         "op9_language_id": language_id.op9_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }

@@ -22,15 +22,13 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import Words, slices, stored, table, utf8, widened
+from cyclemill.llm.shared import Words, ranked, slices, stored, table, utf8, widened
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces in a chunk of one length, about.
-CHUNK = 20_000
 #: Words whose ids a worker keeps; more are encoded again.
 REMEMBERED = 300_000
 
@@ -133,19 +131,14 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFra
     rows = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in rows}
     places = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
-    chunks = max(1, -(-max(counts.values(), default=1) // CHUNK))
-    chunked = pieces.withColumn("chunk_", F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int"))
-    sizes = chunked.groupBy("length", "chunk_").agg(F.count(F.lit(1)).alias("n_"))
-    before = sizes.withColumn("before_", F.sum("n_").over(Window.partitionBy("length").orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1))).select("length", "chunk_", F.coalesce("before_", F.lit(0)).alias("before_"))
-    ranked = chunked.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "chunk_").orderBy(*key)) - 1).join(before, ["length", "chunk_"])
-    ranked = ranked.select(*pieces.columns, (F.col("rank_") + F.col("before_")).alias("rank_"))
+    numbered = ranked(pieces, ["length"], key, max(counts.values(), default=1))
 
     def run(batches):
         for batch in batches:
             number, offset = places.value.find(batch.column("length").to_numpy().astype(np.int64), batch.column("rank_").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(number), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, widened(pieces, "sequence_id long, offset long"))
+    return numbered.mapInArrow(run, widened(pieces, "sequence_id long, offset long"))
 
 
 # ---------------------------------------------------------------- tokens

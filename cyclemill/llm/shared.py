@@ -11,7 +11,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word, as a Java and DuckDB regular expression.
@@ -61,6 +62,24 @@ def widened(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def ranked(df: DataFrame, by: list[str], key: list[str], largest: int, chunk: int = 20_000) -> DataFrame:
+    """df with rank_: from 0 within the columns `by` (nulls are a group), in an order that key settles.
+
+    largest: rows of the largest group. Groups are split into hashed chunks of about `chunk` rows, so none is gathered
+    in one task: a chunk's ranks start after the counts of the chunks before it.
+    """
+    chunks = max(1, -(-largest // chunk))
+    cut = df.withColumn("chunk_", F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int"))
+    sizes = cut.groupBy(*by, "chunk_").agg(F.count(F.lit(1)).alias("n_"))
+    earlier = Window.partitionBy(*by).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(c).alias(f"{c}_by") for c in by), F.col("chunk_").alias("chunk_by"), F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
+    own = cut.withColumn("rank_", F.row_number().over(Window.partitionBy(*by, "chunk_").orderBy(*key)) - 1)
+    same = F.col("chunk_") == F.col("chunk_by")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_by"))
+    return own.join(before, same).select(*df.columns, (F.col("rank_") + F.col("before_")).alias("rank_"))
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """(start, stop) row ranges of about limit bytes."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
