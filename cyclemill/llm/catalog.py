@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cyclemill.llm import language_id, mixing, near_dedup, packing, quality
+from cyclemill.llm import language_id, mixing, near_dedup, packing, quality, url_rules
 
 
 def queries() -> dict[str, Callable]:
@@ -12,10 +12,13 @@ def queries() -> dict[str, Callable]:
         "op2_quality_rules": quality.op2_quality_rules,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_entropy_mixing": mixing.op6_entropy_mixing,
+        "op7_url_filters": url_rules.op7_url_filters,
         "op9_language_id": language_id.op9_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_url_filters": url_rules.ORACLE,
+    }
