@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cyclemill.config import Config
 from cyclemill.schema import CONDITIONS
 
-LOADED = F.col("app_torque") > 0
+def loaded() -> Column:
+    return F.col("app_torque") > 0
 
 
 def rejected(status: str = "status") -> Column:
@@ -20,11 +21,11 @@ def rejected(status: str = "status") -> Column:
 
 
 def successful(cfg: Config) -> Column:
-    return (F.col("status") == F.lit(cfg.success_status)) & LOADED
+    return (F.col("status") == F.lit(cfg.success_status)) & loaded()
 
 
 def failed() -> Column:
-    return rejected() & LOADED
+    return rejected() & loaded()
 
 
 def no_load(cfg: Config) -> Column:
@@ -32,13 +33,13 @@ def no_load(cfg: Config) -> Column:
 
 
 def verdict(cfg: Config) -> Column:
-    return LOADED & ((F.col("status") == F.lit(cfg.success_status)) | rejected())
+    return loaded() & ((F.col("status") == F.lit(cfg.success_status)) | rejected())
 
 
 def outside(cfg: Config) -> Column:
     """Torque outside the band; limits are doubles, as the band's always were."""
     x = F.col("app_torque").cast("double")
-    return LOADED & ((x < F.lit(float(cfg.torque_min))) | (x > F.lit(float(cfg.torque_max))))
+    return loaded() & ((x < F.lit(float(cfg.torque_min))) | (x > F.lit(float(cfg.torque_max))))
 
 
 def real(x: float) -> Column:

@@ -5,8 +5,8 @@ signature for one evaluation. The values are cut into BANDS bands of ROWS; docum
 At a similarity of 0.75 a pair shares none with probability (1 - 0.75**5)**40 = 2e-5, at 0.8 with 1e-7.
 
 Documents with equal sets are one class before anything else, and only its smallest doc_id goes on. In each band's group
-the smallest doc_id is the hub. Each document's most alike hub is confirmed first, which leaves few components in a
-group of copies, however large. Then every group that still holds several components is compared throughout: small ones
+the smallest doc_id is the hub. Each document's hub with which it shares the most bands is confirmed first, and once more
+among the hubs of other components; that leaves few components in a group of copies, however large. Then every group that still holds several components is compared throughout: small ones
 by a join, the others in blocks of about BLOCK documents a side, inside tasks, where only pairs that pass the signatures'
 estimate leave the task. So nothing is capped: each candidate pair is either in one component already, or confirmed or
 refuted.
@@ -35,6 +35,8 @@ PERCENT = 75
 #: Signature values compared by an estimate, a byte each, and how many must agree: six standard deviations under 75%.
 BYTES = 128
 AGREE = 66
+#: How often each document's best hub is confirmed before groups are compared throughout.
+HUB_ROUNDS = 2
 #: Groups up to so many documents are compared by a join; larger ones in blocks.
 SMALL = 16
 BLOCK = 256
@@ -210,10 +212,20 @@ def link(docs: DataFrame) -> DataFrame:
         near = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
         return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, agree long")
 
-    star = stored(estimate(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()))
-    best = star.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b")
-    first = confirm(docs, best)
-    comps = components(first)
+    shared = stored(members.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
+    links = tested = comps = None
+    for _ in range(HUB_ROUNDS):
+        left = shared
+        if comps is not None:
+            left = shared.join(tested, ["a", "b"], "left_anti")
+            for x in ("a", "b"):
+                left = left.join(comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")), x, "left")
+            left = left.where("coalesce(comp_a, a) <> coalesce(comp_b, b)")
+        best = stored(left.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b"))
+        found = confirm(docs, best)
+        links = found if links is None else links.unionByName(found)
+        tested = best if tested is None else tested.unionByName(best)
+        comps = components(links)
 
     placed = members.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
@@ -227,8 +239,8 @@ def link(docs: DataFrame) -> DataFrame:
     many = many.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("first", F.col("own") == F.col("lo"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = many.select("key", "lo", "hi", "first", "doc_id", "comp", "n", "sig").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_pairs, "a long, b long, agree long")
-    rest = stored(small.unionByName(many).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
-    final = components(first.unionByName(confirm(docs, rest)))
+    rest = stored(small.unionByName(many).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    final = components(links.unionByName(confirm(docs, rest)))
 
     whole = reps.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("s1", "s2", F.coalesce("comp", "doc_id").alias("component_id"))
     found = sig.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -236,5 +248,11 @@ def link(docs: DataFrame) -> DataFrame:
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs without the rows that a smaller doc_id stands for. The texts are shuffled only if more than MAX_IDS rows go."""
+    gone = stored(link(docs).where("not kept").select("doc_id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -218,7 +218,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     def run(batches):
         ids = _word_ids(path)
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), 8 << 20):
                 tokens, ends = document_ids(utf8(batch.column("text").slice(a, b - a)), ids)
                 rows = []
                 begin = 0

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts of one batch are worked on in slices of at most so many bytes (a longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

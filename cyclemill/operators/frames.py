@@ -24,7 +24,7 @@ def _n(condition: Column) -> Column:
 def overview(events: DataFrame, cfg: Config) -> DataFrame:
     return events.agg(
         F.count(F.lit(1)).alias("rows"),
-        _n(X.LOADED).alias("capping_operations"),
+        _n(X.loaded()).alias("capping_operations"),
         _n(X.successful(cfg)).alias("successful"),
         _n(X.failed()).alias("failed"),
         _n(X.no_load(cfg)).alias("no_load_cycles"),
@@ -48,7 +48,7 @@ def success(events: DataFrame, cfg: Config, by: str) -> DataFrame:
     """by head, day or overall: groups without a capping operation are absent, rates without a verdict null."""
     keys = {"head": [F.col("head_id")], "day": [F.to_date("ts").alias("day")], "overall": []}[by]
     good, bad = _n(X.successful(cfg)), _n(X.failed())
-    out = events.where(X.LOADED).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), good.alias("successful"), bad.alias("failed"), X.ratio(good, good + bad).alias("success_rate"))
+    out = events.where(X.loaded()).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), good.alias("successful"), bad.alias("failed"), X.ratio(good, good + bad).alias("success_rate"))
     return out.orderBy({"head": "head_id", "day": "day", "overall": "total"}[by])
 
 
@@ -61,7 +61,7 @@ def lowest_head(events: DataFrame, cfg: Config) -> DataFrame:
 
 
 def of_outcome(events: DataFrame, cfg: Config, outcome: str) -> DataFrame:
-    return events.where({"successful": X.successful(cfg), "failed": X.failed(), "all": X.LOADED}[outcome])
+    return events.where({"successful": X.successful(cfg), "failed": X.failed(), "all": X.loaded()}[outcome])
 
 
 def torque(events: DataFrame, cfg: Config, outcome: str, by_head: bool) -> DataFrame:
@@ -83,7 +83,7 @@ def histogram(events: DataFrame, cfg: Config, outcome: str) -> DataFrame:
 
 def speed(events: DataFrame, bucket: str) -> DataFrame:
     hours = F.count_distinct(X.truncated("hour"))
-    out = events.where(X.LOADED).groupBy(X.truncated(bucket).alias("bucket_start")).agg(F.count(F.lit(1)).alias("caps"), hours.alias("active_hours"))
+    out = events.where(X.loaded()).groupBy(X.truncated(bucket).alias("bucket_start")).agg(F.count(F.lit(1)).alias("caps"), hours.alias("active_hours"))
     rate = X.ratio(F.col("caps"), F.col("active_hours"))
     return out.withColumn("pieces_per_hour", rate).withColumn("pieces_per_second", rate / 3600).orderBy("bucket_start")
 
@@ -139,7 +139,7 @@ def threshold_by_head(events: DataFrame, cfg: Config) -> DataFrame:
 
 def deviation_scale(events: DataFrame, cfg: Config) -> DataFrame:
     """(head_id, m, mad, half_iqr, s, basis): median and the robust spread that a head's torque is measured by."""
-    caps = events.where(X.LOADED).select("head_id", F.col("app_torque").cast("double").alias("x"))
+    caps = events.where(X.loaded()).select("head_id", F.col("app_torque").cast("double").alias("x"))
     middle = caps.groupBy("head_id").agg(F.median("x").alias("m"), ((F.percentile("x", 0.75) - F.percentile("x", 0.25)) / 2).alias("half_iqr"))
     away = caps.join(middle.select("head_id", "m"), "head_id").groupBy("head_id").agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("mad"))
     both = middle.join(away, "head_id")
@@ -149,7 +149,7 @@ def deviation_scale(events: DataFrame, cfg: Config) -> DataFrame:
 
 
 def deviation_hits(events: DataFrame, cfg: Config, scale: DataFrame) -> DataFrame:
-    caps = events.where(X.LOADED).select("head_id", "ts", "cap_seq", "app_torque")
+    caps = events.where(X.loaded()).select("head_id", "ts", "cap_seq", "app_torque")
     far = F.abs(F.col("app_torque").cast("double") - F.col("m")) > F.lit(float(cfg.mad_k)) * F.col("s")
     return caps.join(scale, "head_id").where(far).select("head_id", "ts", "cap_seq", "app_torque", "m", "basis")
 
@@ -176,7 +176,7 @@ def series(events: DataFrame, cfg: Config, signal: str, by: str, window: int) ->
     good, bad = _n(F.col("status") == F.lit(cfg.success_status)), _n(X.rejected())
     both = _n((F.col("status") == F.lit(cfg.success_status)) | X.rejected())
     value = F.avg(F.col("app_torque").cast("double")) if signal == "torque" else X.ratio(good, both)
-    out = events.where(X.LOADED).groupBy(F.col("head_id").cast("int").alias("head_id"), X.truncated(by).alias("bucket")).agg(value.alias("value"))
+    out = events.where(X.loaded()).groupBy(F.col("head_id").cast("int").alias("head_id"), X.truncated(by).alias("bucket")).agg(value.alias("value"))
     w = Window.partitionBy("head_id").orderBy("bucket").rowsBetween(1 - window, 0)
     return out.withColumn("rolling_mean", F.avg("value").over(w)).withColumn("rolling_std", F.stddev_samp("value").over(w)).orderBy("head_id", "bucket")
 
@@ -189,7 +189,7 @@ def drift(buckets: DataFrame) -> DataFrame:
 
 def correlation(events: DataFrame, by: str, only: list[int] | None = None, least: int = 3) -> DataFrame:
     """(head_a, head_b, shared, r) for each two heads: Pearson of bucket means over the buckets that both have."""
-    caps = events.where(X.LOADED)
+    caps = events.where(X.loaded())
     if only is not None:
         caps = caps.where(F.col("head_id").isin(only))
     means = caps.groupBy("head_id", X.truncated(by).alias("bucket")).agg(F.avg(F.col("app_torque").cast("double")).alias("x"))
@@ -210,14 +210,14 @@ def correlation_outliers(pairs: DataFrame) -> DataFrame:
 
 def compared(events: DataFrame, cfg: Config, by: str, bounds: tuple[date, date]) -> DataFrame:
     """One row per month or week; calendar days are the bucket's within bounds [first day, day after the last)."""
-    x = F.when(X.LOADED, F.col("app_torque").cast("double"))
+    x = F.when(X.loaded(), F.col("app_torque").cast("double"))
     out = events.groupBy(X.truncated(by).alias("bucket_start")).agg(
         F.count(F.lit(1)).alias("events"),
-        _n(X.LOADED).alias("caps"),
+        _n(X.loaded()).alias("caps"),
         _n(X.successful(cfg)).alias("successful"),
         _n(X.failed()).alias("rejected"),
         _n(X.no_load(cfg)).alias("no_load_cycles"),
-        F.count_distinct(F.when(X.LOADED, F.to_date("ts"))).alias("active_days"),
+        F.count_distinct(F.when(X.loaded(), F.to_date("ts"))).alias("active_days"),
         F.avg(x).alias("torque_mean"),
         F.median(x).alias("torque_median"),
         F.stddev_samp(x).alias("torque_stddev"),
@@ -245,8 +245,8 @@ def filtered(events: DataFrame, cfg: Config, above: float | None, below: float |
 
 
 def outcome_of(cfg: Config) -> Column:
-    named = F.when(X.rejected(), F.array_join(X.conditions(), ", "))
-    return F.when(X.successful(cfg), "successful").otherwise(F.coalesce(named, F.lit("no verdict")))
+    named = F.concat(F.lit("rejected: "), F.array_join(X.conditions(), ", "))
+    return F.when(X.rejected(), named).when(F.col("status") == F.lit(cfg.success_status), "ok").otherwise("no verdict")
 
 
 def first_events(matching: DataFrame, cfg: Config, n: int = 20) -> DataFrame:

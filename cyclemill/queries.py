@@ -163,7 +163,7 @@ _TABLE: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
     "closure_filter_by_head": (lambda e: A.filtered(e, CONFIG, 40, 90, "all", None).groupBy("head_id").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "head_id"), _sql("head_id:i count:i", f"SELECT head_id, count(*) AS count FROM f WHERE {_MATCH} GROUP BY 1")),
     "closure_filter_events": (
         lambda e: A.first_events(A.filtered(e, CONFIG, 40, 90, "failed", None), CONFIG),
-        _sql("head_id:i ts cap_seq:i app_torque:d status:d outcome", f"SELECT *, {_CONDITION} AS outcome FROM f WHERE {_MATCH} AND rej ORDER BY ts, cap_seq, head_id LIMIT 20"),
+        _sql("head_id:i ts cap_seq:i app_torque:d status:d outcome", f"SELECT *, 'rejected: ' || {_CONDITION} AS outcome FROM f WHERE {_MATCH} AND rej ORDER BY ts, cap_seq, head_id LIMIT 20"),
     ),
     "failure_by_hour": (lambda e: A.by_hour(e, CONFIG), _sql("hour:i closures:i rejected:i reject_rate:d", "SELECT *, rejected * 1.0 / closures AS reject_rate FROM hours", _HOURS)),
     "chi_square": (lambda e: A.chi_square(A.by_hour(e, CONFIG)), _sql("chi_square:d degrees_of_freedom:i", "SELECT sum((rejected - closures * p) ** 2 / nullif(closures * p * (1 - p), 0)) AS chi_square, count(*) - 1 AS degrees_of_freedom FROM hours, (SELECT sum(rejected)::DOUBLE / sum(closures) AS p FROM hours)", _HOURS)),
