@@ -7,9 +7,9 @@ At a similarity of 0.75 a pair shares none with probability (1 - 0.75**5)**40 =
 Documents with equal sets are one class before anything else, and only its smallest doc_id goes on. In each band's group
 the smallest doc_id is the hub. Each document's hub with which it shares the most bands is confirmed first, and once more
 among the hubs of other components; that leaves few components in a group of copies, however large. Then every group that still holds several components is compared throughout: small ones
-by a join, the others in blocks of about BLOCK documents a side, inside tasks, where only pairs that pass the signatures'
-estimate leave the task. So nothing is capped: each candidate pair is either in one component already, or confirmed or
-refuted.
+by a join, the others in blocks of about BLOCK documents a side, inside tasks: there pairs that pass the signatures'
+estimate are confirmed on full sets, and only links that join components leave the task. So nothing is capped: each
+candidate pair is either in one component already, or confirmed or refuted.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing, a component of their own. Texts of one to four
 words are one shingle. Rows with an equal doc_id are one document with the first of their texts in no given order, so
@@ -39,7 +39,7 @@ AGREE = 66
 HUB_ROUNDS = 2
 #: Groups up to so many documents are compared by a join; larger ones in blocks.
 SMALL = 16
-BLOCK = 256
+BLOCK = 512
 #: So many ids are broadcast at most, 8 bytes each, to pick the texts to confirm; more are joined.
 MAX_IDS = 2_000_000
 
@@ -145,40 +145,73 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
 
+def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the docs whose doc_id is in ids."""
+    ids = stored(ids.distinct())
+    texts = docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_semi")
+    return stored(texts.mapInArrow(_sets, "doc_id long, shingles binary"))
+
+
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets are alike enough."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "doc_id long, shingles binary"))
+    sets = set_table(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirmed, "a long, b long"))
 
 
-def _block_pairs(batches):
-    """Pairs of a block, of different components. Blocks come sorted, each whole; one is held at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def overlaps(x: np.ndarray, others: list[np.ndarray], limit: int = 1 << 19) -> np.ndarray:
+    """How many of x's shingles each other set has; all sorted, none empty. About `limit` are looked up at a time."""
+    out = np.empty(len(others), np.int64)
+    start = 0
+    while start < len(others):
+        stop, held = start, 0
+        while stop < len(others) and (not held or held + len(others[stop]) <= limit):
+            held += len(others[stop])
+            stop += 1
+        sizes = np.array([len(y) for y in others[start:stop]])
+        y = np.concatenate(others[start:stop])
+        hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+        out[start:stop] = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+        start = stop
+    return out
+
+
+def _links_of(t: pa.Table) -> pa.RecordBatch:
+    """(a, b) of one block: links confirmed on full sets that join all that its pairs join.
+
+    A pair is looked at in the first band that it shares, and only while its two are not joined yet.
+    """
+    first, comp, n, doc = (t[x].to_numpy() for x in ("first", "comp", "n", "doc_id"))
+    comp = comp.copy()
+    sig = _bytes_matrix(t["sig"].combine_chunks())
+    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+    band = int(np.flatnonzero(bands[0] == t["key"][0].as_py())[0])
+    same = t["lo"][0].as_py() == t["hi"][0].as_py()
+    left = np.arange(len(doc)) if same else np.flatnonzero(first)
+    right = np.arange(len(doc)) if same else np.flatnonzero(~first)
+    a, b = [], []
+    for i in left.tolist():
+        other = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
+        other = other[other > i] if same else other
+        other = other[(sig[other] == sig[i]).sum(1) >= AGREE]
+        other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
+        if not len(other):
+            continue
+        both = overlaps(sets[i], [sets[k] for k in other])
+        for k in other[100 * both >= PERCENT * (n[i] + n[other] - both)].tolist():
+            if comp[k] != comp[i]:
+                comp[comp == comp[k]] = comp[i]
+                a.append(min(doc[i], doc[k]))
+                b.append(max(doc[i], doc[k]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def flush():
-        t = pa.Table.from_batches(held)
-        first, comp, n, doc = (t[x].to_numpy() for x in ("first", "comp", "n", "doc_id"))
-        sig = _bytes_matrix(t["sig"].combine_chunks())
-        same = bool(t["lo"][0].as_py() == t["hi"][0].as_py())
-        left = np.arange(len(doc)) if same else np.flatnonzero(first)
-        right = np.arange(len(doc)) if same else np.flatnonzero(~first)
-        a, b, agreed = [], [], []
-        for i in left.tolist():
-            other = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-            other = other[other > i] if same else other
-            agree = (sig[other] == sig[i]).sum(1)
-            other, agree = other[agree >= AGREE], agree[agree >= AGREE]
-            a += [np.minimum(doc[i], doc[other])]
-            b += [np.maximum(doc[i], doc[other])]
-            agreed += [agree]
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate(agreed).astype(np.int64))], ["a", "b", "agree"])
 
+def _block_links(batches):
+    """Links of each block. Blocks come sorted, each whole; one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -187,12 +220,12 @@ def _block_pairs(batches):
         for x, y in zip(cuts, cuts[1:], strict=False):
             now = tuple(key[x])
             if held and now != last:
-                yield flush()
+                yield _links_of(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(x, y - x))
             last = now
     if held:
-        yield flush()
+        yield _links_of(pa.Table.from_batches(held))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -234,13 +267,16 @@ def link(docs: DataFrame) -> DataFrame:
     a = few.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("comp_a"))
     b = few.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"))
     small = estimate(a.join(b, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct())
-    many = open_.where(F.col("m") > SMALL).join(short, "doc_id").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    many = open_.where(F.col("m") > SMALL)
+    sets = set_table(docs, many.select("doc_id"))
+    many = many.join(reps.select("doc_id", "n", "bands", "sig"), "doc_id").join(sets, "doc_id").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("first", F.col("own") == F.col("lo"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = many.select("key", "lo", "hi", "first", "doc_id", "comp", "n", "sig").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_pairs, "a long, b long, agree long")
-    rest = stored(small.unionByName(many).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    final = components(links.unionByName(confirm(docs, rest)))
+    many = many.select("key", "lo", "hi", "first", "doc_id", "comp", "n", "sig", "bands", "shingles").repartition(parts, "key", "lo", "hi")
+    across = stored(many.sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_links, "a long, b long"))
+    rest = stored(small.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    final = components(links.unionByName(across).unionByName(confirm(docs, rest)))
 
     whole = reps.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("s1", "s2", F.coalesce("comp", "doc_id").alias("component_id"))
     found = sig.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2").join(whole, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
