@@ -157,7 +157,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def chained(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each row of equally long columns."""
     with np.errstate(over="ignore"):
-        h = np.full(len(parts[0]), (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1), np.uint64)
+        start = mixed(np.array([(seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1)], np.uint64))
+        h = np.full(len(parts[0]), start[0])  # mixed, so that a seed is not made up for by the first part
         for p in parts:
             h = mixed(h + p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     return h
