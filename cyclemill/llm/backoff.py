@@ -1,14 +1,16 @@
 """Stupid-backoff scores of documents, worked out as joins.
 
 S(w2 | w1) = c(w1 w2) / c(w1) if the bigram was seen, else ALPHA * c(w2) / N, each count taken without the document's own,
-so that a document is scored by the rest of the corpus. Words are numbered by a hash into VOCABULARY slots, which bounds
-the unigram table (two numbers a slot, broadcast); a bigram's key is the exact pair of numbers. Bigram counts are a table
-partitioned by key, without those that one document alone has, as they never count for it. Each document's bigrams are
-exploded and joined to the table by key, and the parts are summed per document.
+so that a document is scored by the rest of the corpus. A word's key is the 64-bit hash of its bytes and a bigram's the
+64-bit hash of the two keys: at ten million words two of them share a key with probability 3e-6, at a billion bigrams with
+3%. Counts of words and of bigrams are tables partitioned by key, without those that one document alone has, as they
+never count for it. Each document's bigrams are exploded and joined to the table by key, and the parts are summed per
+document.
 
-A Bloom filter of fixed size leaves out exploded rows that can't be in the table; what it lets pass by mistake, the join
-settles. The sum over a document's events of the back-off score, and what a table row would change, are known before the
-join from the unigrams, so a document needs no second join.
+What the scoring gathers is of a fixed size and only saves rows: the exact counts of up to KNOWN frequent words, and Bloom
+filters that leave out rows that can't be in a table; what they let pass by mistake, the join settles. The count of any
+other word comes from a join with the table of words: a document's score is linear in the logarithms of its words'
+counts, so the rows that need one carry the word, its own count there and a factor.
 
 Null and empty texts and texts of one word have no events: n_events 0, score null. Repeated rows are documents each, and
 count for each other. A word's unigram count without the document's own is taken as ADD at least.
@@ -22,23 +24,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import Words, mixed, slices, stored, table, utf8
+from cyclemill.llm.shared import Words, chained, mixed, slices, stored, table, utf8
 
 ALPHA = 0.4
-BITS = 21
-VOCABULARY = 1 << BITS
 ADD = 0.5
+#: Counts of so many frequent words at most are broadcast, 16 bytes each; those of other words are joined.
+KNOWN = 1 << 18
 BLOOM_BITS = 26
 BLOOM_HASHES = 2
+#: Kinds of counted rows.
+BIGRAM, WORD, TOTAL = 0, 1, 2
 
 
 def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, Words]:
-    """The number of each word of the texts."""
+    """The key of each word of the texts."""
     words = Words(texts)
-    own = np.array([xxhash.xxh3_64_intdigest(w) >> (64 - BITS) for w in words.distinct], np.int64)
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words.distinct], np.uint64).view(np.int64)
     return own[words.codes], words
 
 
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return chained([first.view(np.uint64), second.view(np.uint64)]).view(np.int64)
+
+
 def events(texts: list[bytes]):
     """(first, second, text) of each pair of neighbouring words, and how many words each text has."""
     number, words = word_numbers(texts)
@@ -58,15 +66,19 @@ def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _count(batches):
-    """(gram, n, docs) summed over a slice. Unigrams have keys under 0."""
+    """(kind, gram, n, docs) summed over a slice, and a row of kind TOTAL with its number of words."""
     for batch in batches:
         for a, b in slices(batch.column("text")):
             first, second, text, number, words = events(utf8(batch.column("text").slice(a, b - a)))
-            (t, gram), n = _distinct([text, first << BITS | second])
-            u, back, docs = np.unique(gram, return_inverse=True, return_counts=True)
-            total = np.bincount(back, weights=n).astype(np.int64) if len(u) else np.zeros(0, np.int64)
-            one, many = np.unique(number, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, -1 - one])), pa.array(np.concatenate([total, many])), pa.array(np.concatenate([docs, np.full(len(one), 2)]))], ["gram", "n", "docs"])
+            kinds, grams, totals, docs = [np.array([TOTAL])], [np.zeros(1, np.int64)], [np.array([len(number)])], [np.array([2])]
+            for kind, of, key in ((BIGRAM, text, pair_keys(first, second)), (WORD, words.text, number)):
+                (_, gram), n = _distinct([of, key])
+                u, back, d = np.unique(gram, return_inverse=True, return_counts=True)
+                kinds.append(np.full(len(u), kind))
+                grams.append(u)
+                totals.append(np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))
+                docs.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds).astype(np.int8)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (grams, totals, docs))], ["kind", "gram", "n", "docs"])
 
 
 def _bits(keys: np.ndarray, k: int) -> np.ndarray:
@@ -78,62 +90,117 @@ def _set_bits(batches):
         keys = np.asarray(batch.column("gram"))
         for k in range(BLOOM_HASHES):
             at = _bits(keys, k)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["slot", "mask"])
-
-
-def model(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The bigram table (gram, n), the unigram counts by number, and the Bloom filter; the last two of a fixed size."""
-    counted = docs.select("text").where("text is not null").mapInArrow(_count, "gram long, n long, docs long")
-    counted = stored(counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs > 1").select("gram", "n"))
-    single = counted.where("gram < 0").toArrow()
-    unigrams = np.zeros(VOCABULARY, np.int64)
-    unigrams[-1 - np.asarray(single["gram"])] = np.asarray(single["n"])
-    bigrams = counted.where("gram >= 0")
-    rows = bigrams.mapInArrow(_set_bits, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bloom = np.zeros(1 << BLOOM_BITS - 6, np.uint64)
-    bloom[np.asarray(rows["slot"])] = np.asarray(rows["mask"]).view(np.uint64)
-    return bigrams, unigrams, bloom
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["kind", "slot", "mask"])
+
+
+def _may_have(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    may = np.ones(len(keys), bool)
+    for k in range(BLOOM_HASHES):
+        at = _bits(keys, k)
+        may &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return may
+
+
+def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
+    """The tables (gram, n) of bigrams and of words, and what is broadcast, of a fixed size: keys and counts of frequent
+    words, the Bloom filters of both tables, and the number of all words."""
+    counted = docs.select("text").where("text is not null").mapInArrow(_count, "kind byte, gram long, n long, docs long")
+    counted = stored(counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs > 1").select("kind", "gram", "n"))
+    total = counted.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
+    words = counted.where(F.col("kind") == WORD).select("gram", "n")
+    digits = F.length(F.bin("n"))
+    least, held = 64, 0
+    for r in sorted(words.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        held += r["rows"]
+        if held > KNOWN:
+            break
+        least = r["digits"]
+    often = words.where(digits >= least).toArrow()
+    keys = np.asarray(often["gram"])
+    order = np.argsort(keys)
+    blooms = np.zeros((2, 1 << BLOOM_BITS - 6), np.uint64)
+    rows = counted.where(F.col("kind") != TOTAL).select("kind", "gram").mapInArrow(_set_bits, "kind byte, slot long, mask long").groupBy("kind", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    blooms[np.asarray(rows["kind"]), np.asarray(rows["slot"])] = np.asarray(rows["mask"]).view(np.uint64)
+    return counted.where(F.col("kind") == BIGRAM).select("gram", "n"), words, (keys[order], np.asarray(often["n"])[order], blooms, int(total))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_events, score) of docs with doc_id and text; score is the mean natural logarithm of S."""
     docs = docs.select("doc_id", "text")
-    bigrams, unigrams, bloom = model(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((unigrams, bloom, int(unigrams.sum())))
+    bigrams, words, small = model(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(small)
 
     def explode(batches):
-        """(gram, doc, n, base): for each bigram that may be in the table log c(w1) and the back-off score together;
-        and a row of its own for each text, under a key below 0, with its sum of back-off scores."""
-        unigrams, bloom, total = sent.value
+        """Rows of three kinds. BIGRAM: a bigram that may be in the table, and in base log c(w1) and the back-off score
+        together. TOTAL: a text's number of events and, in base, its sum of back-off scores. WORD: a word y that is
+        n times the second of a bigram. The logarithm of a word's count is left out where it is not known here; the
+        word is in x or y then, with the document's own count of it beside."""
+        often, counts, blooms, total = sent.value
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 texts = utf8(batch.column("text").slice(a, b - a))
                 ids = np.asarray(batch.column("doc_id").slice(a, b - a).fill_null(-1))
                 first, second, text, number, words = events(texts)
-                (t1, w1), own = _distinct([words.text, number])  # the document's own counts of its words
-                key = t1.astype(np.int64) << BITS | w1
-                (t, x, y), n = _distinct([text, first, second])
-                rest = np.maximum(unigrams[w1] - own, ADD)
-                at_first, at_second = np.searchsorted(key, t << BITS | x), np.searchsorted(key, t << BITS | y)
-                back = np.log(ALPHA) + np.log(rest[at_second]) - np.log(np.maximum(total - words.counts[t], 1))
+                code = words.codes
+                (t1, c1), own = _distinct([words.text, code])  # the document's own counts of its words
+                w1 = np.zeros(len(words.distinct), np.int64)
+                w1[code] = number
+                w1 = w1[c1]
+                at = np.minimum(np.searchsorted(often, w1), max(len(often) - 1, 0))
+                known = often[at] == w1 if len(often) else np.zeros(len(w1), bool)
+                rest = np.full(len(w1), ADD)
+                rest[known] = np.maximum(counts[at[known]] - own[known], ADD)
+                open_ = ~known & _may_have(blooms[WORD], w1)
+                log = np.where(open_, 0.0, np.log(rest))
+
+                inner = words.text[:-1] == words.text[1:]
+                size = max(len(words.distinct), 1)
+                (t, x, y), n = _distinct([text, code[:-1][inner], code[1:][inner]])
+                place = t1 * size + c1
+                at_x, at_y = np.searchsorted(place, t * size + x), np.searchsorted(place, t * size + y)
+                back = np.log(ALPHA) + log[at_y] - np.log(np.maximum(total - words.counts[t], 1))
                 sums = np.bincount(t, weights=n * back, minlength=len(texts))
-                gram = x << BITS | y
-                may = np.ones(len(gram), bool)
-                for k in range(BLOOM_HASHES):
-                    at = _bits(gram, k)
-                    may &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                base = (np.log(rest[at_first]) + back)[may]
-                size = np.maximum(words.counts - 1, 0)
+                times = np.bincount(at_y, weights=n, minlength=len(w1)).astype(np.int64)
+                gram = pair_keys(w1[at_x], w1[at_y])
+                may = _may_have(blooms[BIGRAM], gram)
+                at_x, at_y = at_x[may], at_y[may]
+                lone = np.flatnonzero(open_ & (times > 0))
+                k, m, z = len(at_x), len(texts), len(lone)
+                none = np.zeros(m, np.int64)
+                open_x, open_y = (np.concatenate([open_[i], np.zeros(m, bool), np.full(z, end)]) for i, end in ((at_x, False), (at_y, True)))
+                place_x, place_y = np.concatenate([at_x, none, lone]), np.concatenate([at_y, none, lone])
+                w, o = (w1, own) if len(w1) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([gram[may], -1 - np.arange(len(texts))])), pa.array(np.concatenate([ids[t[may]], ids])), pa.array(np.concatenate([n[may], size]).astype(np.int32)), pa.array(np.concatenate([base, sums]))],
-                    ["gram", "doc", "n", "base"],
+                    [
+                        pa.array(np.repeat(np.array([BIGRAM, TOTAL, WORD], np.int8), [k, m, z])),
+                        pa.array(np.concatenate([gram[may], mixed(ids.astype(np.int64).view(np.uint64)).view(np.int64), w1[lone]])),
+                        pa.array(np.concatenate([ids[t[may]], ids, ids[t1[lone]]])),
+                        pa.array(np.concatenate([n[may], np.maximum(words.counts - 1, 0), times[lone]]).astype(np.int32)),
+                        pa.array(np.concatenate([(log[at_x] + back[may]), sums, np.zeros(z)])),
+                        *(pa.array(v.astype(kind), mask=~mask) for at, mask in ((place_x, open_x), (place_y, open_y)) for v, kind in ((w[at], np.int64), (o[at], np.int32))),
+                    ],
+                    ["kind", "gram", "doc", "n", "base", "x", "own_x", "y", "own_y"],
                 )
 
-    rows = docs.mapInArrow(explode, "gram long, doc long, n int, base double")
-    seen = bigrams.withColumnRenamed("n", "c")
-    value = F.when(F.col("gram") < 0, F.col("base")).when(F.col("c") > F.col("n"), F.col("n") * (F.log(F.col("c") - F.col("n")) - F.col("base"))).otherwise(0.0)
-    parts = rows.join(seen, "gram", "left").select("doc", F.when(F.col("gram") < 0, F.col("n")).otherwise(0).cast("long").alias("n"), value.alias("value"))
-    sums = parts.groupBy("doc").agg(F.sum("n").alias("n_events"), F.sum("value").alias("total"))
+    rows = docs.mapInArrow(explode, "kind byte, gram long, doc long, n int, base double, x long, own_x int, y long, own_y int")
+    kind, n, zero = F.col("kind"), F.col("n"), F.lit(0).cast("long")
+    seen = (kind == BIGRAM) & (F.col("c") > n)
+    value = F.when(kind == TOTAL, F.col("base")).when(seen, n * (F.log(F.col("c") - n) - F.col("base"))).otherwise(0.0)
+
+    def part(count, value, word, own, factor):
+        return F.struct(count.cast("long").alias("n"), value.alias("value"), word.alias("word"), own.alias("own"), factor.cast("long").alias("factor"))
+
+    def word_part(of: str, when, factor):
+        return F.when(when & F.col(of).isNotNull(), part(zero, F.lit(0.0), F.col(of), F.col(f"own_{of}"), factor))
+
+    own = part(F.when(kind == TOTAL, n).otherwise(0), value, F.lit(None).cast("long"), F.lit(None).cast("int"), zero)
+    parts = F.array_compact(F.array(F.when((kind == TOTAL) | seen, own), word_part("x", seen, -n), word_part("y", seen, -n), word_part("y", kind == WORD, n)))
+    each = rows.join(bigrams.withColumnRenamed("n", "c"), "gram", "left").select("doc", F.explode(parts).alias("p")).select("doc", "p.*")
+    each = each.groupBy("doc", "word", "own").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.sum("factor").alias("factor"))
+    each = each.withColumn("gram", F.coalesce("word", F.xxhash64("doc")))  # so that rows without a word are not dealt to one task
+    rest = F.log(F.greatest(F.coalesce(F.col("c") - F.col("own"), F.lit(0)).cast("double"), F.lit(ADD)))
+    value = F.col("value") + F.when(F.col("own").isNotNull(), F.col("factor") * rest).otherwise(0.0)
+    sums = each.join(words.withColumnRenamed("n", "c"), "gram", "left").groupBy("doc").agg(F.sum("n").alias("n_events"), F.sum(value).alias("total"))
     return sums.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), "n_events", F.round(F.try_divide("total", "n_events"), 6).alias("score"))
 
 

@@ -375,6 +375,34 @@ def test_backoff(spark, odd):
     assert backoff.scored(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 3, backoff.KNOWN])
+def test_backoff_tells_words_apart(spark, base, monkeypatch, known):
+    """Against counts of the words themselves, with words whose hashes share their first 21 bits."""
+    monkeypatch.setattr(backoff, "KNOWN", known)
+    slot, alike = {}, []
+    for i in range(20_000):
+        w = f"w{i}"
+        other = slot.setdefault(backoff.xxhash.xxh3_64_intdigest(w.encode()) >> 43, w)
+        if other != w:
+            alike.append((other, w))
+    assert len(alike) > 10
+    texts = [r.text for r in base.orderBy("doc_id").limit(40).collect()]
+    for a, b in alike[:10]:
+        texts += [f"{a} common end", f"{b} common end", f"common {a} {b} {b}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = [WORD.findall(t or "") for t in texts]
+    uni, bi = Counter(x for w in words for x in w), Counter(p for w in words for p in zip(w, w[1:], strict=False))
+    total = sum(uni.values())
+    for r in backoff.scored(docs).collect():
+        w = words[r.doc_id]
+        own, value = Counter(w), 0.0
+        for (x, y), n in Counter(zip(w, w[1:], strict=False)).items():
+            first, second, c = max(uni[x] - own[x], backoff.ADD), max(uni[y] - own[y], backoff.ADD), bi[x, y] - n
+            value += n * (math.log(c / first) if c > 0 else math.log(backoff.ALPHA * second / (total - len(w))))
+        assert r.n_events == max(len(w) - 1, 0)
+        assert r.score == (pytest.approx(value / (len(w) - 1), abs=2e-6) if len(w) > 1 else None)
+
+
 # ---------------------------------------------------------------- 9
 
 
