@@ -1,4 +1,5 @@
 import os
+import statistics
 
 import duckdb
 import pytest
@@ -46,3 +47,29 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark):
     plan = Q.queries()["success_by_head"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "props" not in plan
+
+
+def test_correlation_of_all_heads(spark, duck):
+    path = SF.replace("sf0.001", "sf0.01")
+    own = {}
+    day_means = """SELECT user_id, ts::DATE, avg(value::REAL::DOUBLE) FROM '{}/events.parquet' WHERE event_type <> 'view' AND value > 0 GROUP BY 1, 2"""
+    for head, day, x in duck.execute(day_means.format(path)).fetchall():
+        own.setdefault(head, {})[day] = x
+    want, means = {}, {}
+    for a in own:
+        for b in own:
+            both = sorted(own[a].keys() & own[b].keys())
+            if a < b and both:
+                x, y = [own[a][d] for d in both], [own[b][d] for d in both]
+                r = statistics.correlation(x, y) if len(both) > 2 else None
+                want[a, b] = (len(both), r)
+                for h in (a, b):
+                    means.setdefault(h, []).append(r)
+    got = {(r.head_a, r.head_b): (r.shared, r.r) for r in Q.queries()["head_correlation_all"](spark, path).collect()}
+    assert got.keys() == want.keys() and max(b for _, b in got) > 41
+    assert all(got[k][0] == n and got[k][1] == (None if r is None else pytest.approx(r, abs=2e-6)) for k, (n, r) in want.items())
+    outliers = {r.head_id: r.mean_correlation for r in Q.queries()["correlation_outliers_all"](spark, path).collect()}
+    for h, rs in means.items():
+        if rs := [r for r in rs if r is not None]:
+            assert outliers.pop(h) == pytest.approx(sum(rs) / len(rs), abs=2e-6)
+    assert not outliers
