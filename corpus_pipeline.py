@@ -27,7 +27,7 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
+    """Of each group of near-duplicates one row, with the smallest doc_id. Repeated and null ids are told apart by row."""
     ship(spark)
     return near_dedup.deduplicated(docs)
 

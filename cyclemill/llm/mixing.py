@@ -112,10 +112,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     return each.select(key, "source_key", "size", "source_size", "target", "rate", number.cast("long").alias("copies"))
 
 
-def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, key: str = "doc_id") -> DataFrame:
-    """docs, each row as often as the mix takes it; key has to tell rows apart."""
-    number = mix(docs, weights, most, key).where("copies > 0").select(key, F.col("copies").alias("copies_"))
-    again = docs.join(number, docs[key].eqNullSafe(number[key])).drop(number[key])
+def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """docs, each row as often as the mix takes it. Rows are told apart by a stored key of their own."""
+    columns = docs.columns
+    docs = stored(docs.withColumn("row_key_", F.monotonically_increasing_id()))
+    number = mix(docs, weights, most, "row_key_").where("copies > 0").select("row_key_", F.col("copies").alias("copies_"))
+    again = docs.join(number, "row_key_").select(*columns, "copies_")
     return again.withColumn("copies_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).drop("copies_")
 
 

@@ -285,9 +285,14 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the rows that a smaller doc_id stands for. The texts are shuffled only if more than MAX_IDS rows go."""
-    gone = stored(link(docs).where("not kept").select("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of docs, that with the smallest doc_id (a null one is the last). Rows are told apart by a
+    stored key of their own, not by doc_id. The texts are shuffled only if more than MAX_IDS rows go."""
+    rows = stored(docs.withColumn("row_key_", F.monotonically_increasing_id()))
+    linked = link(rows.select(F.col("row_key_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key_"), "component_id")
+    linked = stored(linked.join(rows.select("row_key_", "doc_id"), "row_key_"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key_")).alias("x"))
+    gone = stored(linked.join(first.select(F.col("x.row_key_").alias("row_key_")), "row_key_", "left_anti").select("row_key_"))
+    return rows.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "row_key_", "left_anti").select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -522,3 +522,15 @@ def test_pipeline(spark, odd):
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_with_repeated_and_null_ids(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(None, a), (None, a), (7, a), (7, a), (7, b), (8, b), (None, "only one of this kind"), (5, "one more text of five"), (5, "and another under its id"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, docs, SF).collect())
+    assert got == Counter([(7, a), (7, b), (None, "only one of this kind"), (5, "one more text of five"), (5, "and another under its id"), (None, None), (None, None)])
+    many = [(None if i % 3 else i % 2, f"word{i} " * (1 + i % 4), "en", "xyz"[i % 3], 0) for i in range(90)]
+    docs = shared.stored(spark.createDataFrame(many, SCHEMA).repartition(3))
+    again = Counter(r.text for r in corpus_pipeline.mixed(spark, docs, SF).collect())
+    assert max(again.values()) <= mixing.MOST and sum(again.values()) == mixing.mix(docs.withColumn("doc_id", F.monotonically_increasing_id())).agg(F.sum("copies")).first()[0]
