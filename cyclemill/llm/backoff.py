@@ -102,10 +102,10 @@ def _may_have(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
-    """The tables (gram, n) of bigrams and of words, and what is broadcast, of a fixed size: keys and counts of frequent
+    """The tables (gram, n, docs) of bigrams and (gram, n) of words, and what is broadcast, of a fixed size: keys and counts of frequent
     words, the Bloom filters of both tables, and the number of all words."""
     counted = docs.select("text").where("text is not null").mapInArrow(_count, "kind byte, gram long, n long, docs long")
-    counted = stored(counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs > 1").select("kind", "gram", "n"))
+    counted = stored(counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs > 1"))
     total = counted.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
     words = counted.where(F.col("kind") == WORD).select("gram", "n")
     digits = F.length(F.bin("n"))
@@ -121,26 +121,82 @@ def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
     blooms = np.zeros((2, 1 << BLOOM_BITS - 6), np.uint64)
     rows = counted.where(F.col("kind") != TOTAL).select("kind", "gram").mapInArrow(_set_bits, "kind byte, slot long, mask long").groupBy("kind", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     blooms[np.asarray(rows["kind"]), np.asarray(rows["slot"])] = np.asarray(rows["mask"]).view(np.uint64)
-    return counted.where(F.col("kind") == BIGRAM).select("gram", "n"), words, (keys[order], np.asarray(often["n"])[order], blooms, int(total))
+    return counted.where(F.col("kind") == BIGRAM).select("gram", "n", "docs"), words, (keys[order], np.asarray(often["n"])[order], blooms, int(total))
+
+
+def _shuffled(code: np.ndarray, words: Words, texts: list[bytes], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text in another order, and at each place whether its text is one in `share` by hash."""
+    starts = np.cumsum(words.counts) - words.counts
+    within = np.arange(len(code)) - starts[words.text]
+    own = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+    taken = own % np.uint64(share) == 0
+    return code[np.lexsort([mixed(own[words.text] ^ mixed(within)), words.text])], taken[words.text]
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_events, score) of docs with doc_id and text; score is the mean natural logarithm of S."""
+    sums = _sums(docs)
+    return sums.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), "n_events", F.round(F.try_divide("total", "n_events"), 6).alias("score"))
+
+
+def order_gains(docs: DataFrame, share: int) -> DataFrame:
+    """(doc_id, planted, gain) of docs with a doc_id that tells rows apart, and text. gain is what the order of the words
+    is worth: the mean of log S less the back-off score, over all events; 0 for a pair that less than two other
+    documents have.
+    planted: the same for the words of one text in `share` in another order, less the counts of the text itself."""
+    sums = _sums(docs, gain=True, share=share)
+    return sums.select(F.col("doc").alias("doc_id"), F.col("planted"), F.try_divide("total", "n_events").alias("gain"))
+
+
+def _sums(docs: DataFrame, gain: bool = False, share: int = 0) -> DataFrame:
+    """(doc, planted, n_events, total); with gain the total leaves out the back-off scores. Texts are planted if share > 0."""
     docs = docs.select("doc_id", "text")
     bigrams, words, small = model(docs)
     sent = docs.sparkSession.sparkContext.broadcast(small)
 
+    def rows(planted, texts, ids, words, w1, own, log, open_, t1, t, at_x, at_y, n, less):
+        """The rows of a slice, from its distinct bigrams."""
+        total = sent.value[3]
+        back = np.log(ALPHA) + log[at_y] - np.log(np.maximum(total - words.counts[t], 1))
+        sums = np.bincount(t, weights=n * back, minlength=len(texts))
+        times = np.bincount(at_y, weights=n, minlength=len(w1)).astype(np.int64)
+        gram = pair_keys(w1[at_x], w1[at_y])
+        may = _may_have(sent.value[2][BIGRAM], gram)
+        at_x, at_y = at_x[may], at_y[may]
+        lone = np.flatnonzero(open_ & (times > 0)) if not gain else np.zeros(0, np.int64)
+        size = np.maximum(words.counts - 1, 0) if not planted else np.bincount(t, weights=n, minlength=len(texts)).astype(np.int64)
+        ids_of = np.flatnonzero(size > 0) if planted else np.arange(len(texts))
+        size, sums = size[ids_of], (sums if not gain else np.zeros(len(texts)))[ids_of]
+        k, m, z = len(at_x), len(ids_of), len(lone)
+        none = np.zeros(m, np.int64)
+        open_x, open_y = (np.concatenate([open_[i], np.zeros(m, bool), np.full(z, end)]) for i, end in ((at_x, False), (at_y, True)))
+        place_x, place_y = np.concatenate([at_x, none, lone]), np.concatenate([at_y, none, lone])
+        w, o = (w1, own) if len(w1) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(k + m + z, planted)),
+                pa.array(np.repeat(np.array([BIGRAM, TOTAL, WORD], np.int8), [k, m, z])),
+                pa.array(np.concatenate([gram[may], mixed(ids[ids_of].astype(np.int64).view(np.uint64)).view(np.int64), w1[lone]])),
+                pa.array(np.concatenate([ids[t[may]], ids[ids_of], ids[t1[lone]]])),
+                pa.array(np.concatenate([n[may], size, times[lone]]).astype(np.int32)),
+                pa.array(np.concatenate([less[may], np.zeros(m + z)]).astype(np.int32)),
+                pa.array(np.concatenate([(log[at_x] + back[may]), sums, np.zeros(z)])),
+                *(pa.array(v.astype(kind), mask=~mask) for at, mask in ((place_x, open_x), (place_y, open_y)) for v, kind in ((w[at], np.int64), (o[at], np.int32))),
+            ],
+            ["planted", "kind", "gram", "doc", "n", "less", "base", "x", "own_x", "y", "own_y"],
+        )
+
     def explode(batches):
         """Rows of three kinds. BIGRAM: a bigram that may be in the table, and in base log c(w1) and the back-off score
         together. TOTAL: a text's number of events and, in base, its sum of back-off scores. WORD: a word y that is
         n times the second of a bigram. The logarithm of a word's count is left out where it is not known here; the
         word is in x or y then, with the document's own count of it beside."""
-        often, counts, blooms, total = sent.value
+        often, counts, blooms, _ = sent.value
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 texts = utf8(batch.column("text").slice(a, b - a))
                 ids = np.asarray(batch.column("doc_id").slice(a, b - a).fill_null(-1))
-                first, second, text, number, words = events(texts)
+                number, words = word_numbers(texts)
                 code = words.codes
                 (t1, c1), own = _distinct([words.text, code])  # the document's own counts of its words
                 w1 = np.zeros(len(words.distinct), np.int64)
@@ -155,37 +211,29 @@ def scored(docs: DataFrame) -> DataFrame:
 
                 inner = words.text[:-1] == words.text[1:]
                 size = max(len(words.distinct), 1)
-                (t, x, y), n = _distinct([text, code[:-1][inner], code[1:][inner]])
                 place = t1 * size + c1
-                at_x, at_y = np.searchsorted(place, t * size + x), np.searchsorted(place, t * size + y)
-                back = np.log(ALPHA) + log[at_y] - np.log(np.maximum(total - words.counts[t], 1))
-                sums = np.bincount(t, weights=n * back, minlength=len(texts))
-                times = np.bincount(at_y, weights=n, minlength=len(w1)).astype(np.int64)
-                gram = pair_keys(w1[at_x], w1[at_y])
-                may = _may_have(blooms[BIGRAM], gram)
-                at_x, at_y = at_x[may], at_y[may]
-                lone = np.flatnonzero(open_ & (times > 0))
-                k, m, z = len(at_x), len(texts), len(lone)
-                none = np.zeros(m, np.int64)
-                open_x, open_y = (np.concatenate([open_[i], np.zeros(m, bool), np.full(z, end)]) for i, end in ((at_x, False), (at_y, True)))
-                place_x, place_y = np.concatenate([at_x, none, lone]), np.concatenate([at_y, none, lone])
-                w, o = (w1, own) if len(w1) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.array([BIGRAM, TOTAL, WORD], np.int8), [k, m, z])),
-                        pa.array(np.concatenate([gram[may], mixed(ids.astype(np.int64).view(np.uint64)).view(np.int64), w1[lone]])),
-                        pa.array(np.concatenate([ids[t[may]], ids, ids[t1[lone]]])),
-                        pa.array(np.concatenate([n[may], np.maximum(words.counts - 1, 0), times[lone]]).astype(np.int32)),
-                        pa.array(np.concatenate([(log[at_x] + back[may]), sums, np.zeros(z)])),
-                        *(pa.array(v.astype(kind), mask=~mask) for at, mask in ((place_x, open_x), (place_y, open_y)) for v, kind in ((w[at], np.int64), (o[at], np.int32))),
-                    ],
-                    ["kind", "gram", "doc", "n", "base", "x", "own_x", "y", "own_y"],
-                )
-
-    rows = docs.mapInArrow(explode, "kind byte, gram long, doc long, n int, base double, x long, own_x int, y long, own_y int")
+
+                def pairs(code, inner):
+                    """Distinct bigrams: their text, the places of their words in w1, and their counts."""
+                    (t, x, y), n = _distinct([words.text[:-1][inner], code[:-1][inner], code[1:][inner]])
+                    return t, np.searchsorted(place, t * size + x), np.searchsorted(place, t * size + y), n
+
+                found = pairs(code, inner)
+                yield rows(False, texts, ids, words, w1, own, log, open_, t1, *found, found[3])
+                if share:
+                    again, taken = _shuffled(code, words, texts, share)
+                    t, x, y, n = pairs(again, inner & taken[1:])
+                    have, want = found[1] * len(w1) + found[2], x * len(w1) + y
+                    at = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
+                    less = np.where(have[at] == want, found[3][at], 0) if len(have) else n
+                    yield rows(True, texts, ids, words, w1, own, log, open_, t1, t, x, y, n, less)
+
+    exploded = docs.mapInArrow(explode, "planted boolean, kind byte, gram long, doc long, n int, less int, base double, x long, own_x int, y long, own_y int")
     kind, n, zero = F.col("kind"), F.col("n"), F.lit(0).cast("long")
-    seen = (kind == BIGRAM) & (F.col("c") > n)
-    value = F.when(kind == TOTAL, F.col("base")).when(seen, n * (F.log(F.col("c") - n) - F.col("base"))).otherwise(0.0)
+    seen = (kind == BIGRAM) & (F.col("c") > F.col("less"))
+    if gain:  # the table has no bigrams of one document, which a planted text could meet and others not
+        seen &= F.col("docs") - (F.col("less") > 0).cast("int") >= 2
+    value = F.when(kind == TOTAL, F.col("base")).when(seen, n * (F.log(F.col("c") - F.col("less")) - F.col("base"))).otherwise(0.0)
 
     def part(count, value, word, own, factor):
         return F.struct(count.cast("long").alias("n"), value.alias("value"), word.alias("word"), own.alias("own"), factor.cast("long").alias("factor"))
@@ -194,14 +242,13 @@ def scored(docs: DataFrame) -> DataFrame:
         return F.when(when & F.col(of).isNotNull(), part(zero, F.lit(0.0), F.col(of), F.col(f"own_{of}"), factor))
 
     own = part(F.when(kind == TOTAL, n).otherwise(0), value, F.lit(None).cast("long"), F.lit(None).cast("int"), zero)
-    parts = F.array_compact(F.array(F.when((kind == TOTAL) | seen, own), word_part("x", seen, -n), word_part("y", seen, -n), word_part("y", kind == WORD, n)))
-    each = rows.join(bigrams.withColumnRenamed("n", "c"), "gram", "left").select("doc", F.explode(parts).alias("p")).select("doc", "p.*")
-    each = each.groupBy("doc", "word", "own").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.sum("factor").alias("factor"))
+    parts = F.array(F.when((kind == TOTAL) | seen, own), word_part("x", seen, -n), word_part("y", seen, -n), word_part("y", kind == WORD, n))
+    each = exploded.join(bigrams.withColumnRenamed("n", "c"), "gram", "left").where((kind != BIGRAM) | seen).select("doc", "planted", F.explode(parts).alias("p")).where("p is not null").select("doc", "planted", "p.*")
+    each = each.groupBy("doc", "planted", "word", "own").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.sum("factor").alias("factor"))
     each = each.withColumn("gram", F.coalesce("word", F.xxhash64("doc")))  # so that rows without a word are not dealt to one task
     rest = F.log(F.greatest(F.coalesce(F.col("c") - F.col("own"), F.lit(0)).cast("double"), F.lit(ADD)))
     value = F.col("value") + F.when(F.col("own").isNotNull(), F.col("factor") * rest).otherwise(0.0)
-    sums = each.join(words.withColumnRenamed("n", "c"), "gram", "left").groupBy("doc").agg(F.sum("n").alias("n_events"), F.sum(value).alias("total"))
-    return sums.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), "n_events", F.round(F.try_divide("total", "n_events"), 6).alias("score"))
+    return each.join(words.withColumnRenamed("n", "c"), "gram", "left").groupBy("doc", "planted").agg(F.sum("n").alias("n_events"), F.sum(value).alias("total"))
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

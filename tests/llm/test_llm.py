@@ -172,6 +172,26 @@ def test_kneser_ney_is_a_distribution(spark, odd):
         assert by_array[doc.doc_id] == pytest.approx(total / n, abs=1e-4)
 
 
+def test_shuffled_words_are_junk(spark):
+    """Chains of words with few followers each, and texts with such a chain's words out of order."""
+    rng = random.Random(8)
+    follow = {w: rng.sample(range(400), 3) for w in range(400)}
+    rows = []
+    for i in range(280):
+        w, out = rng.randrange(400), []
+        for _ in range(150):
+            out.append(f"w{w}x")
+            w = rng.choice(follow[w])
+        if i >= 240:
+            rng.shuffle(out)
+        rows.append((i, " ".join(out), "en"))
+    docs = shared.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert sum(got[i] for i in range(240)) >= 235 and sum(got[i] for i in range(240, 280)) <= 4
+    gains = {(r.doc_id, r.planted): r.gain for r in backoff.order_gains(docs, 1).collect()}
+    assert len(gains) == 560 and all(gains[i, False] > gains[i, True] for i in range(240))
+
+
 # ---------------------------------------------------------------- 3
 
 
