@@ -123,6 +123,12 @@ class Words:
         return np.bincount(self.text, weights=per_word[self.codes], minlength=len(self.counts)) if len(self.codes) else np.zeros(len(self.counts))
 
 
+def numbered(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal values as equal numbers from 0 on, and how many there are."""
+    coded = pa.array(key).dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+
+
 @functools.cache
 def letter_table() -> np.ndarray:
     """For each code point: its lower case if it is a letter or a mark, else a space."""
