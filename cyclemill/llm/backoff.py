@@ -1,255 +1,221 @@
 """Stupid-backoff scores of documents, worked out as joins.
 
 S(w2 | w1) = c(w1 w2) / c(w1) if the bigram was seen, else ALPHA * c(w2) / N, each count taken without the document's own,
-so that a document is scored by the rest of the corpus. A word's key is the 64-bit hash of its bytes and a bigram's the
-64-bit hash of the two keys: at ten million words two of them share a key with probability 3e-6, at a billion bigrams with
-3%. Counts of words and of bigrams are tables partitioned by key, without those that one document alone has, as they
-never count for it. Each document's bigrams are exploded and joined to the table by key, and the parts are summed per
-document.
-
-What the scoring gathers is of a fixed size and only saves rows: the exact counts of up to KNOWN frequent words, and Bloom
-filters that leave out rows that can't be in a table; what they let pass by mistake, the join settles. The count of any
-other word comes from a join with the table of words: a document's score is linear in the logarithms of its words'
-counts, so the rows that need one carry the word, its own count there and a factor.
-
-Null and empty texts and texts of one word have no events: n_events 0, score null. Repeated rows are documents each, and
-count for each other. A word's unigram count without the document's own is taken as ADD at least.
+so that a document is scored by the rest of the corpus. A word's key is the 64-bit hash of its bytes: at ten million words
+two of them share a key with probability 3e-6.
+
+Each document's distinct bigrams are exploded, one row each, and dealt by hash once: there the rows of a bigram meet, their
+sum is the bigram's count, and each row gets its part of the document's score. Of the two words only the counts of frequent
+ones are known beforehand: those with a share of SHARE of all words at least, so 1/SHARE at most whatever the corpus, and
+they are joined by a broadcast. A bigram with a rarer word is dealt by that word, whose rows then meet too: their sum is its
+count (the last word of a text, or the first, has a row without a bigram, so that it is counted too). A bigram of two rare
+words has two rows, one dealt by each of them: the first word's row counts if the bigram was seen, the second's if not.
+
+A rare word's group is small by definition. A bigram of two frequent words has as many rows as documents; where both words
+are in over SPLIT documents its rows are dealt in several parts, and the parts' counts are added up and joined.
+
+Null and empty texts and texts of one word have no events: n_events 0, score null. Repeated rows are documents each, give a
+row each and count for each other; null doc_ids too. A word's unigram count without the document's own is taken as ADD at
+least, N as 1 at least. An empty table gives an empty result. Other columns are passed over. doc_id is a whole number.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import Words, chained, mixed, slices, stored, table, utf8
+from cyclemill.llm.shared import Words, chained, mixed, numbered, slices, stored, table, utf8
 
 ALPHA = 0.4
 ADD = 0.5
-#: Counts of so many frequent words at most are broadcast, 16 bytes each; those of other words are joined.
-KNOWN = 1 << 18
-BLOOM_BITS = 26
-BLOOM_HASHES = 2
-#: Kinds of counted rows.
-BIGRAM, WORD, TOTAL = 0, 1, 2
-
+SHARE = 1e-6
+SPLIT = 1_000_000
+#: Rows that a task holds before it adds up equal words.
+HELD = 1_000_000
 
-def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, Words]:
-    """The key of each word of the texts."""
-    words = Words(texts)
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words.distinct], np.uint64).view(np.int64)
-    return own[words.codes], words
+#: Kinds of exploded rows. BOTH: two frequent words. FIRST, SECOND: dealt by a rare first or second word, with a frequent
+#: other. FIRST_OF, SECOND_OF: the same of two rare words. ALONE: no bigram. PART: as BOTH, one of several parts. TEXT: a document.
+BOTH, FIRST, SECOND, FIRST_OF, SECOND_OF, ALONE, PART, TEXT = range(8)
+_ROWS = "kind byte, key long, other long, doc long, n int, own_x int, own_y int"
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return chained([first.view(np.uint64), second.view(np.uint64)]).view(np.int64)
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
 
 
-def events(texts: list[bytes]):
-    """(first, second, text) of each pair of neighbouring words, and how many words each text has."""
-    number, words = word_numbers(texts)
-    inner = words.text[:-1] == words.text[1:]
-    return number[:-1][inner], number[1:][inner], words.text[:-1][inner], number, words
-
+def _count(batches):
+    """(key, n, docs) of a task's words, added up now and then."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
 
-def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of (text, key) and their counts."""
-    order = np.lexsort(keys[::-1])
-    k = [x[order] for x in keys]
-    if not len(order):
-        return k, np.zeros(0, np.int64)
-    new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in k], axis=0)])
-    at = np.flatnonzero(new)
-    return [x[at] for x in k], np.diff(np.append(at, len(order)))
+    def summed():
+        keys, n, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+        of, size = numbered(keys)
+        first = np.empty(size, np.int64)
+        first[of] = keys
+        return first, *(np.bincount(of, weights=x, minlength=size).astype(np.int64) for x in (n, docs))
 
+    def batch_of(parts):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["key", "n", "docs"])
 
-def _count(batches):
-    """(kind, gram, n, docs) summed over a slice, and a row of kind TOTAL with its number of words."""
     for batch in batches:
         for a, b in slices(batch.column("text")):
-            first, second, text, number, words = events(utf8(batch.column("text").slice(a, b - a)))
-            kinds, grams, totals, docs = [np.array([TOTAL])], [np.zeros(1, np.int64)], [np.array([len(number)])], [np.array([2])]
-            for kind, of, key in ((BIGRAM, text, pair_keys(first, second)), (WORD, words.text, number)):
-                (_, gram), n = _distinct([of, key])
-                u, back, d = np.unique(gram, return_inverse=True, return_counts=True)
-                kinds.append(np.full(len(u), kind))
-                grams.append(u)
-                totals.append(np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))
-                docs.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds).astype(np.int8)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (grams, totals, docs))], ["kind", "gram", "n", "docs"])
-
-
-def _bits(keys: np.ndarray, k: int) -> np.ndarray:
-    return (mixed(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-
-
-def _set_bits(batches):
+            words = Words(utf8(batch.column("text").slice(a, b - a)))
+            if not len(words.codes):
+                continue
+            size = len(words.distinct)
+            pair, kinds = numbered(words.text.astype(np.int64) * size + words.codes)
+            code = np.empty(kinds, np.int64)
+            code[pair] = words.codes
+            held.append((word_keys(words.distinct), np.bincount(words.codes, minlength=size), np.bincount(code, minlength=size)))
+            rows += size
+            if rows > HELD:
+                held = [summed()]
+                rows = len(held[0][0])
+                if rows > HELD // 2:
+                    yield batch_of(held[0])
+                    held, rows = [], 0
+    if held:
+        yield batch_of(summed())
+
+
+def frequent(docs: DataFrame, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Keys (sorted), counts and documents of the words with at least this share of all words, 1/share at most; and how many words
+    there are."""
+    counts = stored(docs.select("text").where("text is not null").mapInArrow(_count, "key long, n long, docs long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") >= share * total).toArrow()
+    order = np.argsort(often["key"].to_numpy())
+    return *(often[c].to_numpy()[order] for c in ("key", "n", "docs")), int(total)
+
+
+class Bigrams:
+    """The distinct bigrams of each of some texts: text, the words' numbers x and y, counts n, and the text's own counts of x and y."""
+
+    def __init__(self, words: Words):
+        size = max(len(words.distinct), 1)
+        place, kinds = numbered(words.text.astype(np.int64) * size + words.codes)
+        own = np.bincount(place, minlength=kinds)[place] if len(place) else place
+        at = np.flatnonzero(words.text[:-1] == words.text[1:])
+        of, found = numbered(place[at] * size + words.codes[at + 1])  # a place stands for its text and word
+        first = np.empty(found, np.int64)
+        first[of] = at
+        self.text, self.x, self.y = words.text[first], words.codes[first].astype(np.int64), words.codes[first + 1].astype(np.int64)
+        self.n, self.own_x, self.own_y = np.bincount(of, minlength=found), own[first], own[first + 1]
+
+
+def _exploded(batches, often: np.ndarray, in_docs: np.ndarray, split: int):
+    """Rows of all kinds, sorted by key within a slice, which makes them smaller when they are dealt."""
     for batch in batches:
-        keys = np.asarray(batch.column("gram"))
-        for k in range(BLOOM_HASHES):
-            at = _bits(keys, k)
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["kind", "slot", "mask"])
-
-
-def _may_have(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    may = np.ones(len(keys), bool)
-    for k in range(BLOOM_HASHES):
-        at = _bits(keys, k)
-        may &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return may
-
-
-def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
-    """The tables (gram, n, docs) of bigrams and (gram, n) of words, and what is broadcast, of a fixed size: keys and counts of frequent
-    words, the Bloom filters of both tables, and the number of all words."""
-    counted = docs.select("text").where("text is not null").mapInArrow(_count, "kind byte, gram long, n long, docs long")
-    counted = stored(counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs > 1"))
-    total = counted.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
-    words = counted.where(F.col("kind") == WORD).select("gram", "n")
-    digits = F.length(F.bin("n"))
-    least, held = 64, 0
-    for r in sorted(words.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
-        held += r["rows"]
-        if held > KNOWN:
-            break
-        least = r["digits"]
-    often = words.where(digits >= least).toArrow()
-    keys = np.asarray(often["gram"])
-    order = np.argsort(keys)
-    blooms = np.zeros((2, 1 << BLOOM_BITS - 6), np.uint64)
-    rows = counted.where(F.col("kind") != TOTAL).select("kind", "gram").mapInArrow(_set_bits, "kind byte, slot long, mask long").groupBy("kind", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    blooms[np.asarray(rows["kind"]), np.asarray(rows["slot"])] = np.asarray(rows["mask"]).view(np.uint64)
-    return counted.where(F.col("kind") == BIGRAM).select("gram", "n", "docs"), words, (keys[order], np.asarray(often["n"])[order], blooms, int(total))
-
-
-def _shuffled(code: np.ndarray, words: Words, texts: list[bytes], share: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each text in another order, and at each place whether its text is one in `share` by hash."""
-    starts = np.cumsum(words.counts) - words.counts
-    within = np.arange(len(code)) - starts[words.text]
-    own = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
-    taken = own % np.uint64(share) == 0
-    return code[np.lexsort([mixed(own[words.text] ^ mixed(within)), words.text])], taken[words.text]
-
-
-def scored(docs: DataFrame) -> DataFrame:
+        for a, b in slices(batch.column("text")):
+            words = Words(utf8(batch.column("text").slice(a, b - a)))
+            doc, ids = batch.column("row_key_").slice(a, b - a).to_numpy(), batch.column("doc_id").slice(a, b - a)
+            keys = word_keys(words.distinct)
+            at = np.minimum(np.searchsorted(often, keys), max(len(often) - 1, 0))
+            rank = np.where(often[at] == keys, at, -1) if len(often) else np.full(len(keys), -1)
+            by_first, by_second = (chained([keys.view(np.uint64)], seed).view(np.int64) for seed in (1, 2))
+            g = Bigrams(words)
+            rx, ry = (rank[g.x], rank[g.y]) if len(g.n) else (g.n, g.n)
+            parts = []
+
+            def add(kind, key, other, of, n, own_x, own_y, parts=parts, doc=doc):
+                parts.append([np.full(len(key), kind, np.int8), key, other, doc[of], n, own_x, own_y])
+
+            def bigrams(kind, which, key, other, g=g):
+                add(kind, key, other, g.text[which], g.n[which], g.own_x[which], g.own_y[which])
+
+            both = np.flatnonzero((rx >= 0) & (ry >= 0))
+            pair = (rx[both] << 32) | ry[both]
+            cuts = -(-np.minimum(in_docs[rx[both]], in_docs[ry[both]]) // split) if len(both) else pair
+            one = cuts <= 1
+            bigrams(BOTH, both[one], pair[one], pair[one])
+            more = both[~one]
+            salt = mixed(doc[g.text[more]].view(np.uint64)) % cuts[~one].astype(np.uint64)
+            bigrams(PART, more, chained([pair[~one].view(np.uint64), salt], 3).view(np.int64), pair[~one])
+            own = np.flatnonzero((rx < 0) & (ry >= 0))
+            bigrams(FIRST, own, by_first[g.x[own]], ry[own])
+            own = np.flatnonzero((rx >= 0) & (ry < 0))
+            bigrams(SECOND, own, by_second[g.y[own]], rx[own])
+            own = np.flatnonzero((rx < 0) & (ry < 0))
+            bigrams(FIRST_OF, own, by_first[g.x[own]], keys[g.y[own]])
+            bigrams(SECOND_OF, own, by_second[g.y[own]], keys[g.x[own]])
+            # texts' last words have no bigram that they begin, their first words none that they end
+            has = np.flatnonzero(words.counts)
+            ends = np.cumsum(words.counts)[has]
+            for place, key in ((ends - 1, by_first), (ends - words.counts[has], by_second)):
+                code = words.codes[place]
+                rare = rank[code] < 0
+                none = np.zeros(int(rare.sum()), np.int64)
+                add(ALONE, key[code[rare]], none, has[rare], none + 1, none, none)
+            every = np.arange(b - a)
+            add(TEXT, mixed(doc.view(np.uint64)).view(np.int64), np.asarray(ids.fill_null(0)).astype(np.int64), every, words.counts, np.asarray(ids.is_valid()).astype(np.int64), every * 0)
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.argsort(columns[1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[order].astype(t)) for x, t in zip(columns, (np.int8, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)], ["kind", "key", "other", "doc", "n", "own_x", "own_y"])
+
+
+def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, n_events, score) of docs with doc_id and text; score is the mean natural logarithm of S."""
-    sums = _sums(docs)
-    return sums.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), "n_events", F.round(F.try_divide("total", "n_events"), 6).alias("score"))
-
-
-def order_gains(docs: DataFrame, share: int) -> DataFrame:
-    """(doc_id, planted, gain) of docs with a doc_id that tells rows apart, and text. gain is what the order of the words
-    is worth: the mean of log S less the back-off score, over all events; 0 for a pair that less than two other
-    documents have.
-    planted: the same for the words of one text in `share` in another order, less the counts of the text itself."""
-    sums = _sums(docs, gain=True, share=share)
-    return sums.select(F.col("doc").alias("doc_id"), F.col("planted"), F.try_divide("total", "n_events").alias("gain"))
-
-
-def _sums(docs: DataFrame, gain: bool = False, share: int = 0) -> DataFrame:
-    """(doc, planted, n_events, total); with gain the total leaves out the back-off scores. Texts are planted if share > 0."""
-    docs = docs.select("doc_id", "text")
-    bigrams, words, small = model(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(small)
-
-    def rows(planted, texts, ids, words, w1, own, log, open_, t1, t, at_x, at_y, n, less):
-        """The rows of a slice, from its distinct bigrams."""
-        total = sent.value[3]
-        back = np.log(ALPHA) + log[at_y] - np.log(np.maximum(total - words.counts[t], 1))
-        sums = np.bincount(t, weights=n * back, minlength=len(texts))
-        times = np.bincount(at_y, weights=n, minlength=len(w1)).astype(np.int64)
-        gram = pair_keys(w1[at_x], w1[at_y])
-        may = _may_have(sent.value[2][BIGRAM], gram)
-        at_x, at_y = at_x[may], at_y[may]
-        lone = np.flatnonzero(open_ & (times > 0)) if not gain else np.zeros(0, np.int64)
-        size = np.maximum(words.counts - 1, 0) if not planted else np.bincount(t, weights=n, minlength=len(texts)).astype(np.int64)
-        ids_of = np.flatnonzero(size > 0) if planted else np.arange(len(texts))
-        size, sums = size[ids_of], (sums if not gain else np.zeros(len(texts)))[ids_of]
-        k, m, z = len(at_x), len(ids_of), len(lone)
-        none = np.zeros(m, np.int64)
-        open_x, open_y = (np.concatenate([open_[i], np.zeros(m, bool), np.full(z, end)]) for i, end in ((at_x, False), (at_y, True)))
-        place_x, place_y = np.concatenate([at_x, none, lone]), np.concatenate([at_y, none, lone])
-        w, o = (w1, own) if len(w1) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(k + m + z, planted)),
-                pa.array(np.repeat(np.array([BIGRAM, TOTAL, WORD], np.int8), [k, m, z])),
-                pa.array(np.concatenate([gram[may], mixed(ids[ids_of].astype(np.int64).view(np.uint64)).view(np.int64), w1[lone]])),
-                pa.array(np.concatenate([ids[t[may]], ids[ids_of], ids[t1[lone]]])),
-                pa.array(np.concatenate([n[may], size, times[lone]]).astype(np.int32)),
-                pa.array(np.concatenate([less[may], np.zeros(m + z)]).astype(np.int32)),
-                pa.array(np.concatenate([(log[at_x] + back[may]), sums, np.zeros(z)])),
-                *(pa.array(v.astype(kind), mask=~mask) for at, mask in ((place_x, open_x), (place_y, open_y)) for v, kind in ((w[at], np.int64), (o[at], np.int32))),
-            ],
-            ["planted", "kind", "gram", "doc", "n", "less", "base", "x", "own_x", "y", "own_y"],
-        )
-
-    def explode(batches):
-        """Rows of three kinds. BIGRAM: a bigram that may be in the table, and in base log c(w1) and the back-off score
-        together. TOTAL: a text's number of events and, in base, its sum of back-off scores. WORD: a word y that is
-        n times the second of a bigram. The logarithm of a word's count is left out where it is not known here; the
-        word is in x or y then, with the document's own count of it beside."""
-        often, counts, blooms, _ = sent.value
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                texts = utf8(batch.column("text").slice(a, b - a))
-                ids = np.asarray(batch.column("doc_id").slice(a, b - a).fill_null(-1))
-                number, words = word_numbers(texts)
-                code = words.codes
-                (t1, c1), own = _distinct([words.text, code])  # the document's own counts of its words
-                w1 = np.zeros(len(words.distinct), np.int64)
-                w1[code] = number
-                w1 = w1[c1]
-                at = np.minimum(np.searchsorted(often, w1), max(len(often) - 1, 0))
-                known = often[at] == w1 if len(often) else np.zeros(len(w1), bool)
-                rest = np.full(len(w1), ADD)
-                rest[known] = np.maximum(counts[at[known]] - own[known], ADD)
-                open_ = ~known & _may_have(blooms[WORD], w1)
-                log = np.where(open_, 0.0, np.log(rest))
-
-                inner = words.text[:-1] == words.text[1:]
-                size = max(len(words.distinct), 1)
-                place = t1 * size + c1
-
-                def pairs(code, inner):
-                    """Distinct bigrams: their text, the places of their words in w1, and their counts."""
-                    (t, x, y), n = _distinct([words.text[:-1][inner], code[:-1][inner], code[1:][inner]])
-                    return t, np.searchsorted(place, t * size + x), np.searchsorted(place, t * size + y), n
-
-                found = pairs(code, inner)
-                yield rows(False, texts, ids, words, w1, own, log, open_, t1, *found, found[3])
-                if share:
-                    again, taken = _shuffled(code, words, texts, share)
-                    t, x, y, n = pairs(again, inner & taken[1:])
-                    have, want = found[1] * len(w1) + found[2], x * len(w1) + y
-                    at = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
-                    less = np.where(have[at] == want, found[3][at], 0) if len(have) else n
-                    yield rows(True, texts, ids, words, w1, own, log, open_, t1, t, x, y, n, less)
-
-    exploded = docs.mapInArrow(explode, "planted boolean, kind byte, gram long, doc long, n int, less int, base double, x long, own_x int, y long, own_y int")
-    kind, n, zero = F.col("kind"), F.col("n"), F.lit(0).cast("long")
-    seen = (kind == BIGRAM) & (F.col("c") > F.col("less"))
-    if gain:  # the table has no bigrams of one document, which a planted text could meet and others not
-        seen &= F.col("docs") - (F.col("less") > 0).cast("int") >= 2
-    value = F.when(kind == TOTAL, F.col("base")).when(seen, n * (F.log(F.col("c") - F.col("less")) - F.col("base"))).otherwise(0.0)
-
-    def part(count, value, word, own, factor):
-        return F.struct(count.cast("long").alias("n"), value.alias("value"), word.alias("word"), own.alias("own"), factor.cast("long").alias("factor"))
-
-    def word_part(of: str, when, factor):
-        return F.when(when & F.col(of).isNotNull(), part(zero, F.lit(0.0), F.col(of), F.col(f"own_{of}"), factor))
-
-    own = part(F.when(kind == TOTAL, n).otherwise(0), value, F.lit(None).cast("long"), F.lit(None).cast("int"), zero)
-    parts = F.array(F.when((kind == TOTAL) | seen, own), word_part("x", seen, -n), word_part("y", seen, -n), word_part("y", kind == WORD, n))
-    each = exploded.join(bigrams.withColumnRenamed("n", "c"), "gram", "left").where((kind != BIGRAM) | seen).select("doc", "planted", F.explode(parts).alias("p")).where("p is not null").select("doc", "planted", "p.*")
-    each = each.groupBy("doc", "planted", "word", "own").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.sum("factor").alias("factor"))
-    each = each.withColumn("gram", F.coalesce("word", F.xxhash64("doc")))  # so that rows without a word are not dealt to one task
-    rest = F.log(F.greatest(F.coalesce(F.col("c") - F.col("own"), F.lit(0)).cast("double"), F.lit(ADD)))
-    value = F.col("value") + F.when(F.col("own").isNotNull(), F.col("factor") * rest).otherwise(0.0)
-    return each.join(words.withColumnRenamed("n", "c"), "gram", "left").groupBy("doc", "planted").agg(F.sum("n").alias("n_events"), F.sum(value).alias("total"))
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text").withColumn("row_key_", F.monotonically_increasing_id())
+    often, counts, in_docs, total = frequent(docs, share)
+    known = spark.createDataFrame(pa.table({"rank_": pa.array(np.arange(len(often), dtype=np.int64)), "known": pa.array(counts)}))
+    sent = spark.sparkContext.broadcast((often, in_docs, SPLIT))
+    rows = docs.mapInArrow(lambda batches: _exploded(batches, *sent.value), _ROWS)
+    dealt = rows.repartition("key").sortWithinPartitions("key", "other")
+
+    kind = F.col("kind")
+    met = dealt.where(kind != PART).withColumn("pair_", F.sum("n").over(Window.partitionBy("key", "other"))).withColumn("word_", F.sum("n").over(Window.partitionBy("key")))
+    if len(in_docs) and in_docs.max() > SPLIT:
+        parts = dealt.where(kind == PART)
+        whole = parts.groupBy("other").agg(F.sum("n").alias("pair_"))
+        met = met.unionByName(parts.join(whole, "other").withColumn("word_", F.lit(None).cast("long")))
+
+    rest = F.col("pair_") - F.col("n")
+    seen, is_both = rest > 0, kind.isin(BOTH, PART)
+    counted = (kind < ALONE) & ~((kind == FIRST_OF) & ~seen) & ~((kind == SECOND_OF) & seen) | (kind == PART)
+    first, second = F.shiftright("other", 32), F.col("other").bitwiseAND(F.lit(0xFFFFFFFF))
+    rank = F.when(is_both, F.when(seen, first).otherwise(second)).when((kind == FIRST) & ~seen | (kind == SECOND) & seen, F.col("other"))
+    each = met.where(counted | (kind == TEXT)).withColumn("rank_", rank).withColumn("seen", seen)
+    word = F.coalesce("known", "word_") - F.when(F.col("seen"), F.col("own_x")).otherwise(F.col("own_y"))
+    log = F.log(F.greatest(word.cast("double"), F.lit(ADD)))
+    value = F.col("n") * F.when(F.col("seen"), F.log(rest) - log).otherwise(F.lit(math.log(ALPHA)) + log)
+    text = kind == TEXT
+    sums = (
+        each.join(F.broadcast(known), "rank_", "left")
+        .select("doc", F.when(~text, value).alias("value"), F.when(~text & F.col("seen"), F.col("n")).alias("seen_n"), F.when(text, F.struct(F.col("n").alias("words"), F.when(F.col("own_x") == 1, F.col("other")).alias("doc_id"))).alias("text"))
+        .groupBy("doc")
+        .agg(F.sum("value").alias("value"), F.sum("seen_n").alias("seen_n"), F.max("text").alias("text"))
+    )
+    events = F.greatest(F.col("text.words") - 1, F.lit(0)).cast("long")
+    others = F.log(F.greatest(F.lit(total) - F.col("text.words"), F.lit(1)).cast("double"))
+    score = F.try_divide(F.col("value") - (events - F.coalesce("seen_n", F.lit(0))) * others, events)
+    return sums.select(F.col("text.doc_id").alias("doc_id"), events.alias("n_events"), F.round(score, 6).alias("score"))
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT r, unnest(w) AS x FROM texts),
+own AS (SELECT r, x, count(*) AS n FROM word GROUP BY ALL),
+uni AS (SELECT x, sum(n) AS n FROM own GROUP BY ALL),
+every AS (SELECT sum(n) AS n FROM own),
+pair AS (SELECT r, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM texts WHERE len(w) > 1),
+pairs AS (SELECT r, x, y, count(*) AS n FROM pair GROUP BY ALL),
+bi AS (SELECT x, y, sum(n) AS n FROM pairs GROUP BY ALL),
+part AS (SELECT p.r, p.n, bi.n - p.n AS rest, greatest(ux.n - ox.n, 0.5) AS first, greatest(uy.n - oy.n, 0.5) AS second
+  FROM pairs p JOIN bi USING (x, y) JOIN uni ux ON ux.x = p.x JOIN uni uy ON uy.x = p.y
+  JOIN own ox ON ox.r = p.r AND ox.x = p.x JOIN own oy ON oy.r = p.r AND oy.x = p.y),
+total AS (SELECT t.r, t.doc_id, CAST(greatest(len(t.w) - 1, 0) AS BIGINT) AS n_events, CAST(greatest(every.n - len(t.w), 1) AS DOUBLE) AS others FROM texts t, every)
+SELECT any_value(t.doc_id) AS doc_id, any_value(t.n_events) AS n_events,
+  round(sum(p.n * CASE WHEN p.rest > 0 THEN ln(CAST(p.rest AS DOUBLE)) - ln(CAST(p.first AS DOUBLE)) ELSE ln(0.4) + ln(CAST(p.second AS DOUBLE)) - ln(t.others) END) / nullif(any_value(t.n_events), 0), 6) AS score
+FROM total t LEFT JOIN part p USING (r) GROUP BY t.r
+"""

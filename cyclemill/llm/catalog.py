@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_preference_formatting": preferences.ORACLE,
         "op4_token_rollups": token_rollups.ORACLE,
         "op7_url_filters": url_rules.ORACLE,
+        "op8_stupid_backoff": backoff.ORACLE,
     }
