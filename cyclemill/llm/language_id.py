@@ -18,23 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import Words, chained, code_points, letter_table, mixed, slices, stored, table, utf8, widened
+from cyclemill.llm.shared import Words, chained, code_points, letter_table, mixed, numbered, slices, stored, table, utf8, widened
 
 SIZES = (3, 4)
-SLOT_BITS = 21
 HASHES = 3
+#: The filter has 2**LEAST_BITS slots at least, and at least SLOTS for each n-gram of the language with the most.
+LEAST_BITS, SLOTS = 16, 12
 #: A language contains an n-gram if the n-gram's share of its n-grams is MIN_SHARE at least,
 #: and RATIO at least of that share in the language where it is highest.
 MIN_SHARE = 1e-6
 RATIO = 0.2
 UNKNOWN = "und"
+#: Rows that a task holds before it adds up equal n-grams.
+HELD = 400_000
 
 
 @dataclass
 class Filter:
-    """masks has a fixed size, 2**SLOT_BITS slots by one word per 64 languages, whatever the corpus."""
+    """masks: 2**bits slots by one word per 64 languages. A language has 1 / MIN_SHARE n-grams at most, as their shares add up
+    to one, so bits is 24 at most, whatever the corpus."""
 
     languages: list[str]
+    bits: int
     masks: np.ndarray  # (slots, words)
     false_rate: np.ndarray  # by language
 
@@ -54,6 +59,8 @@ def grams(words: list[bytes], sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarra
         at = np.flatnonzero(ok)
         hashes.append(chained([points[at + k] for k in range(n)], n))
         owners.append(number[at + 1])
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)
 
 
@@ -68,82 +75,93 @@ def letters(words: list[bytes]) -> np.ndarray:
     return np.bincount(number[found], minlength=len(words))[: len(words)]
 
 
-def slots(h: np.ndarray, k: int) -> np.ndarray:
-    return (mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slots(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return (mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _count(batches):
-    """(lang, gram, n) of a partition, summed over its batches."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(lang, gram, n) of a task's texts, added up now and then."""
+    names: dict[str, int] = {}
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
 
-    def total(parts):
-        h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        u, back = np.unique(h, return_inverse=True)
-        return u, np.bincount(back, weights=w).astype(np.int64)
+    def summed() -> tuple[np.ndarray, ...]:
+        lang, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        of, size = numbered(numbered(gram)[0] * len(names) + lang)
+        first = np.empty(size, np.int64)
+        first[of] = np.arange(len(of))
+        return lang[first], gram[first], np.bincount(of, weights=n, minlength=size).astype(np.int64)
 
-    def rows(lang, u, n):
-        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(u), np.int32))), pa.array(u.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+    def batch_of(lang, gram, n):
+        return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
         for a, b in slices(batch.column("text")):
             words = Words(utf8(batch.column("text").slice(a, b - a)))
             if not len(words.codes):
                 continue
-            h, owner = grams(words.distinct)
-            names = sorted(set(langs[a:b]))
-            of = np.array([names.index(x) for x in langs[a:b]])[words.text]
-            for i, lang in enumerate(names):
+            gram, owner = grams(words.distinct)
+            of = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").slice(a, b - a).to_pylist()])[words.text]
+            gram, n_grams = gram.view(np.int64), len(gram)
+            code, size = numbered(gram) if n_grams else (gram, 0)
+            first = np.empty(size, np.int64)
+            first[code] = gram
+            for i in np.unique(of).tolist():
                 weight = np.bincount(words.codes[of == i], minlength=len(words.distinct))
-                keep = weight[owner] > 0
-                held.setdefault(lang, []).append((h[keep], weight[owner][keep]))
-        for lang, parts in list(held.items()):
-            if sum(len(p[0]) for p in parts) > 2_000_000:
-                u, n = total(parts)
-                if len(u) > 1_000_000:
-                    yield rows(lang, u, n)
-                    del held[lang]
-                else:
-                    held[lang] = [(u, n)]
-    for lang, parts in held.items():
-        yield rows(lang, *total(parts))
-
-
-def _set_bits(batches):
+                n = np.bincount(code, weights=weight[owner], minlength=size).astype(np.int64)
+                own = np.flatnonzero(n)
+                held.append((np.full(len(own), i, np.int32), first[own], n[own]))
+                rows += len(own)
+            if rows > HELD:
+                held = [summed()]
+                rows = len(held[0][0])
+                if rows > HELD // 2:
+                    yield batch_of(*held[0])
+                    held, rows = [], 0
+    if held:
+        yield batch_of(*summed())
+
+
+def _set_bits(batches, bits: int):
     """(slot, word, mask) of each n-gram and its languages."""
     for batch in batches:
         h = np.asarray(batch.column("gram")).view(np.uint64)
         lang = np.asarray(batch.column("number")).astype(np.int64)
         bit = (np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64)
         for k in range(HASHES):
-            yield pa.RecordBatch.from_arrays([pa.array(slots(h, k)), pa.array(lang // 64), pa.array(bit)], ["slot", "word", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots(h, k, bits)), pa.array(lang // 64), pa.array(bit)], ["slot", "word", "mask"])
 
 
 def fit(training: DataFrame) -> Filter:
-    """Learn from text and lang. Only the filter, of a fixed size, and one row per language reach the driver."""
+    """Learn from text and lang. Only the filter, of a bounded size, and one row per language reach the driver."""
     spark = training.sparkSession
     rows = training.where("text is not null and lang is not null").select("lang", "text")
     counts = stored(rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted((r["lang"] for r in totals.select("lang").collect()), key=lambda x: x.encode())
-    masks = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), np.uint64)
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    languages = sorted(totals, key=lambda x: x.encode())
+    bits, words = LEAST_BITS, max(1, -(-len(languages) // 64))
+    masks = np.zeros((1 << bits, words), np.uint64)
     if languages:
-        numbers = spark.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, number int")
-        share = counts.join(totals.join(numbers, "lang"), "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("share"))
-        top = share.groupBy("gram").agg(F.max("share").alias("top"))
-        kept = share.join(top, "gram").where((F.col("share") >= MIN_SHARE) & (F.col("share") >= RATIO * F.col("top"))).select("gram", "number")
-        bits = kept.mapInArrow(_set_bits, "slot bigint, word bigint, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        masks[np.asarray(bits["slot"]), np.asarray(bits["word"])] = np.asarray(bits["mask"]).view(np.uint64)
+        numbers = spark.createDataFrame([(x, i, totals[x]) for i, x in enumerate(languages)], "lang string, number int, total long")
+        share = counts.join(F.broadcast(numbers), "lang").select("gram", F.struct((F.col("n") / F.col("total")).alias("share"), "number").alias("s"))
+        each = share.where(F.col("s.share") >= MIN_SHARE).groupBy("gram").agg(F.collect_list("s").alias("s"))  # of as many as languages
+        top = F.array_max("s")["share"]
+        kept = stored(each.select("gram", F.explode(F.filter("s", lambda x: x["share"] >= RATIO * top)).alias("s")).select("gram", "s.number"))
+        most = kept.groupBy("number").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        bits = max(bits, int(SLOTS * most).bit_length())
+        found = kept.mapInArrow(lambda batches: _set_bits(batches, bits), "slot bigint, word bigint, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        masks = np.zeros((1 << bits, words), np.uint64)
+        masks[np.asarray(found["slot"]), np.asarray(found["word"])] = np.asarray(found["mask"]).view(np.uint64)
     full = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return Filter(languages, masks, full**HASHES)
+    return Filter(languages, bits, masks, full**HASHES)
 
 
 def hits(model: Filter, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per word the n-grams, and those that each language contains."""
     h, owner = grams(words)
-    found = model.masks[slots(h, 0)]
+    found = model.masks[slots(h, 0, model.bits)]
     for k in range(1, HASHES):
-        found &= model.masks[slots(h, k)]
+        found &= model.masks[slots(h, k, model.bits)]
     n = np.bincount(owner, minlength=len(words))[: len(words)]
     per = np.empty((len(words), len(model.languages)))
     for i in range(len(model.languages)):
@@ -170,7 +188,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see Filter
 
     def run(batches):
         for batch in batches:

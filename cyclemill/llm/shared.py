@@ -24,11 +24,19 @@ SLICE_BYTES = 3 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Spark's setting of the bytes in a batch of rows for Python, and what it is set to where the session leaves it open.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package; on a cluster it is installed or sent with --py-files."""
+    """Let Python workers import this package (on a cluster it is installed or sent with --py-files), and keep their memory
+    small: batches of a few megabytes, and what is freed goes back to the system."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 @functools.cache
