@@ -8,7 +8,9 @@ Spark then numbers the pieces of each length and looks up each one's place in th
 counts of hashed chunks of a length, then a rank within a chunk; so a length that a third of all pieces share is split.
 
 Null and empty texts are documents of no tokens: they have the end id alone. Repeated rows are packed each, as separate
-pieces. Documents longer than the capacity, and only those, are cut.
+pieces; a null doc_id is packed like any other. Documents longer than the capacity, and only those, are cut. Pieces of
+equal length are told apart by doc_id, place and content; those equal in all of these may change places. Other columns are
+passed over. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import Words, ranked, slices, stored, table, utf8, widened
+from cyclemill.llm.shared import Words, code_points, ranked, slices, stored, table, utf8, widened
 
 CAPACITY = 2048
 END_ID = 0
@@ -145,6 +147,44 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFra
 
 #: The tokenizer file's own pattern of its split step, a fixed value.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How all special tokens of the tokenizer file begin.
+SPECIAL = b"<|"
+
+
+def normal(text: str) -> str:
+    """As the tokenizer file's normalizer, but for its white space: composed, and lower case character by character."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+
+@functools.cache
+def odd_points(path: str) -> np.ndarray:
+    """Whether the tokenizer normalizes or splits a code point in another way than Python here does: its Unicode tables are
+    of another version. Code points that Python does not know count as odd."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    odd = np.ones(0x110000, bool)
+    known = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    odd[known] = False
+    marks = [c for c in known if unicodedata.combining(chr(c))]
+    same = lambda text: tokenizer.normalizer.normalize_str(text) == normal(text)
+    for c in known:
+        x = chr(c)
+        if regex.match(r"\s", x):
+            continue  # the splits below tell
+        whole = unicodedata.normalize("NFD", x)
+        odd[c] = not same(x)
+        if whole != x and not same(whole):
+            odd[[ord(y) for y in whole]] = True
+    for c in marks:  # their order among others
+        odd[c] |= not (same(f"a{chr(c)}\u0323") and same(f"a\u0323{chr(c)}") and same(f"a{chr(c)}\u0345\u0334"))
+    for i in range(0, len(known), 4096):
+        some = known[i : i + 4096]
+        text = "".join(f"a{chr(c)}{chr(c)} " for c in some)
+        spans = {span for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+        for start, _ in spans ^ {m.span() for m in PRE_TOKEN.finditer(text)}:
+            odd[some[start // 4]] = True
+    return odd
 
 
 class WordIds:
@@ -152,18 +192,19 @@ class WordIds:
 
     No token of it spans white space, so a text's ids are those of its words one after another, and a word's are those of
     its pre-tokens. Only pre-tokens not met before are given to the tokenizer, many at once; which ids are whose is told
-    by the ends.
+    by the ends. Texts with a code point that is odd, or with the begin of a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: np.ndarray):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.odd = odd
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _encode(self, parts: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
@@ -175,48 +216,75 @@ class WordIds:
             for p, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
                 self.known[p] = np.array(e.ids, np.uint32).tobytes()
 
+    def apart(self, words: list[bytes]) -> np.ndarray:
+        """Which words make their texts go to the tokenizer whole."""
+        out = np.array([SPECIAL in w for w in words], bool) if SPECIAL in b" ".join(words) else np.zeros(len(words), bool)
+        points, number = code_points(words)
+        out[number[np.flatnonzero(self.odd[points])]] = True
+        return out
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids one after another, and how many each has."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        text = b"\n".join(words).decode("utf-8", "replace")
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()  # sigma by character, not by its place
-        split = [PRE_TOKEN.findall(w) for w in text.split("\n")] if words else []
-        known = self.known
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        seen, known = self.words, self.known
+        new = [w for w in words if w not in seen]
+        text = normal(b"\n".join(new).decode("utf-8", "replace"))
+        split = [PRE_TOKEN.findall(w) for w in text.split("\n")] if new else []
         fresh = list({p for parts in split for p in parts if p not in known})
         for i in range(0, len(fresh), 50_000):
             self._encode(fresh[i : i + 50_000])
-        own = [b"".join([known[p] for p in parts]) for parts in split]
+        seen.update((w, b"".join([known[p] for p in parts])) for w, parts in zip(new, split, strict=True))
+        own = [seen[w] for w in words]
         return np.frombuffer(b"".join(own), np.uint32), np.array([len(x) for x in own], np.int64) // 4
 
 
 @functools.cache
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _word_ids(path: str, odd: bytes) -> WordIds:
+    return WordIds(path, np.unpackbits(np.frombuffer(odd, np.uint8)).astype(bool))
 
 
 def document_ids(texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """All documents' ids, each with END_ID after it, and their ends."""
     words = Words(texts)
+    apart = ids.apart(words.distinct)
+    whole = np.unique(words.text[apart[words.codes]]) if apart.any() else np.zeros(0, np.int64)
+    if len(whole):
+        texts = list(texts)
+        for i in whole.tolist():
+            texts[i], whole_text = b"", texts[i]
+            texts.append(whole_text)
+        kept, more = texts[: len(words.counts)], ids.whole(texts[len(words.counts) :])
+        words = Words(kept)
     flat, sizes = ids.of(words.distinct)
     starts = np.cumsum(sizes) - sizes
     own = sizes[words.codes]
     at = np.cumsum(own)
     tokens = flat[np.repeat(starts[words.codes] - (at - own), own) + np.arange(at[-1] if len(at) else 0)]
-    lengths = np.bincount(words.text, weights=own, minlength=len(texts)).astype(np.int64)
+    lengths = np.bincount(words.text, weights=own, minlength=len(words.counts)).astype(np.int64)
+    by_words = lengths.copy()
+    if len(whole):
+        lengths[whole] = [len(x) for x in more]
     ends = np.cumsum(lengths + 1)
     out = np.full(ends[-1] if len(ends) else 0, END_ID, "<u4")
-    keep = np.ones(len(out), bool)
-    keep[ends - 1] = False
-    out[keep] = tokens
+    put = np.repeat(ends - lengths - 1 - (np.cumsum(by_words) - by_words), by_words) + np.arange(len(tokens))
+    out[put] = tokens
+    for i, x in zip(whole.tolist(), more if len(whole) else [], strict=True):
+        out[ends[i] - 1 - len(x) : ends[i] - 1] = x
     return out, ends
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of docs with doc_id and text."""
+    odd = np.packbits(odd_points(path)).tobytes()  # 136 KB
 
     def run(batches):
-        ids = _word_ids(path)
+        ids = _word_ids(path, odd)
         for batch in batches:
             for a, b in slices(batch.column("text"), 8 << 20):
                 tokens, ends = document_ids(utf8(batch.column("text").slice(a, b - a)), ids)

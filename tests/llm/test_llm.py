@@ -506,7 +506,8 @@ def test_packing(spark, odd):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = ["a <|endoftext|> b", "<|startoftext|>x", "x<|endoftext|>y <|endoftext|>", "<| endoftext |>", "<|ENDOFTEXT|> it's 'super' '' --'s"]
+    odd = odd.unionByName(spark.createDataFrame([(40_000 + i, t, "en", "s", 0) for i, t in enumerate(special)], SCHEMA))
     got = defaultdict(list)
     bins = defaultdict(list)
     for r in rows_of(packing.pack_documents(clashing(odd), path)):
@@ -531,6 +532,37 @@ def test_packing(spark, odd):
     assert packing.pack_documents(odd.limit(0), path).count() == 0
 
 
+def test_ids_of_any_unicode():
+    """10,000 strings of all code points, unassigned and newest ones too, and of special tokens, against the tokenizer as it is."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(6)
+    odd = packing.odd_points(path)
+    ids = packing.WordIds(path, odd)
+    assert not odd[:0x250].any() and odd[0xE0FFF]
+    pools = [range(32, 127), range(9, 0x250), range(0x250, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x10000), range(0x10000, 0x20000), range(0x20000, 0x110000), [ord(c) for c in "ab 's 1."]]
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "'re", " ", "\u00c5", "A\u030a", "\u03a3", "\u0130", "\u212a"]
+    texts = []
+    for _ in range(10_000):
+        pool = [rng.choice(pools) for _ in range(rng.randrange(1, 4))]
+        texts.append("".join(rng.choice(pieces) if rng.random() < 0.1 else chr(rng.choice(rng.choice(pool))) for _ in range(rng.randrange(1, 30))))
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        got, ends = packing.document_ids([t.encode() for t in some], ids)
+        want = [[*e.ids, packing.END_ID] for e in tok.encode_batch(some, add_special_tokens=False)]
+        for t, g, w in zip(some, np.split(got, ends[:-1]), want, strict=True):
+            assert g.tolist() == w, ascii(t)
+
+
+def test_packing_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None), (None, ""), (2, "x " * 5000), (2, "x " * 5000)], "doc_id long, text string")
+    got = rows_of(packing.pack_documents(docs.withColumn("piece", F.lit("p")).withColumn("length", F.lit(0))))
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in got) == Counter([(1, 0, 3), (1, 0, 3), (None, 0, 3), (None, 0, 1), (None, 0, 1), *[(2, k, n) for k, n in ((0, 2048), (1, 2048), (2, 905)) for _ in range(2)]])
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
 def test_plan():
     rng = random.Random(8)
     for _ in range(40):
