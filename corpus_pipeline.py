@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators. Each stage takes (spark, docs, sf_dir) and returns documents; the last packs them."""
+"""A corpus pipeline of five operators. Each stage takes (spark, docs, sf_dir) and returns documents; the last packs them.
+
+For all stages: columns beside doc_id, text, lang and source are carried along, whatever their names; an empty table gives an
+empty table; texts are worked on whole, however long. Rows are told apart by themselves, not by doc_id: repeated and null
+doc_ids are documents each.
+"""
 
 from __future__ import annotations
 
@@ -13,32 +18,42 @@ LEAST_SCORE = 0.3
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised. Those without text or a letter, or like none of the languages, go."""
+    """Documents in a language that is recognised, with lang set to it. Those without text or a letter, or like none of the
+    languages, go. A null lang is filled in; it teaches nothing. Repeated rows stay, each. Ties go to the smallest lang."""
     ship(spark)
     model = language_id.fit(docs.where(f"not coalesce({language_id.HELD_OUT}, false)"))
-    found = language_id.predict(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    columns = docs.columns
+    inner = [c if c in ("text", "lang") else f"column_{i}_" for i, c in enumerate(columns)]  # so that no name clashes
+    found = language_id.predict(docs.toDF(*inner), model)
+    found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred"))
+    return found.select(*inner).toDF(*columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's band of perplexity."""
+    """Documents that pass the base rules and lie in their language's band of perplexity. Null and empty texts go. A null lang
+    is a language of its own. Equal rows stay or go together; ties at a band's ends stay."""
     ship(spark)
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    columns = docs.columns
+    inner = [c if c in ("text", "lang") else f"column_{i}_" for i, c in enumerate(columns)]
+    return quality.judge(docs.toDF(*inner)).where("kept").select(*inner).toDF(*columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row, with the smallest doc_id. Repeated and null ids are told apart by row."""
+    """Of each group of near-duplicates one row, with the smallest doc_id; a null one is the last, and between equal ones any row
+    stays. Texts without words are alike to nothing and stay, each."""
     ship(spark)
     return near_dedup.deduplicated(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each copy, none for those it leaves out."""
+    """Documents as often as the mix takes them: a row for each copy, none for those it leaves out. A null source is a source.
+    Texts without words have size 0 and are taken once, if their source's target is above 0."""
     return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences. Copies of a document are packed each."""
+    """The pieces of all documents and their places in sequences. Copies of a document are packed each; texts without words
+    are one piece, the end id."""
     ship(spark)
     return packing.pack_documents(docs)
 
