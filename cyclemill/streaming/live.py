@@ -2,8 +2,9 @@
 
 The batch plan compares a row with the valid row before it in its file. A stream keeps what that comparison needs: per
 (machine, file) the counts of the last valid row. Rows are taken in the order of `at` within a micro-batch; a row that
-comes in a later batch than its successor is compared with what came before it, as nothing can tell it was late. A source
-that ends (a day-file) can be timed out by processing time, which frees its state.
+comes in a later batch than its successor is compared with what came before it, as nothing can tell it was late. The state
+is an array of counts for each file seen, some 300 bytes, without a timeout: a file may go on at any later time, and a
+timeout by processing time would keep an `availableNow` query from ending.
 
 Duplicates of (machine, head, ts) that a re-sent file brings are dropped within the watermark.
 """
@@ -18,41 +19,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cyclemill.schema import EVENTS, KEY
+from cyclemill.schema import KEY
 from cyclemill.sources.extract import INT_MAX
 
 STATE = "counts array<bigint>"
 _OUT = "machine_id string, head_id short, ts timestamp_ntz, cap_seq long, app_torque float, status float, delta int, is_fault boolean, aggregated boolean, is_reset boolean"
 
 
-def _is_reject(status: float) -> bool:
-    return not np.isfinite(status) or abs(status) > 2**53 or int(status) % 2 != 0
-
-
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = np.array(state.get[0], np.int64) if state.exists else None
     rows = pd.concat(list(frames)).sort_values("at", kind="stable")  # one source's rows of one micro-batch
-    out = []
-    for r in rows.itertuples(index=False):
-        now = np.array(r.counts, float)
-        now = (np.sign(now) * np.floor(np.abs(now) + 0.5)).astype(np.int64)
-        if last is not None:
-            for i in np.flatnonzero(now != last).tolist():
-                step = int(now[i] - last[i])
-                out.append((key[0], i + 1, r.ts, int(now[i]), r.torques[i], r.statuses[i], max(0, min(step, INT_MAX)), _is_reject(r.statuses[i]), step > 1, step < 0))
-        last = now
-    state.update(([int(x) for x in last],))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame(out, columns=[f.name for f in EVENTS.fields])
+    counts, torques, statuses = (np.array(rows[c].tolist(), float) for c in ("counts", "torques", "statuses"))
+    counts = (np.sign(counts) * np.floor(np.abs(counts) + 0.5)).astype(np.int64)
+    last = np.array(state.get[0], np.int64) if state.exists else counts[0]  # nothing is before a file's first row
+    step = np.diff(counts, axis=0, prepend=last[None, :])
+    row, head = np.nonzero(step)
+    step, status = step[row, head], statuses[row, head]
+    whole = np.where(np.isfinite(status) & (np.abs(status) <= 2**53), status, 1).astype(np.int64)
+    state.update((counts[-1].tolist(),))
+    yield pd.DataFrame(
+        {
+            "machine_id": key[0],
+            "head_id": (head + 1).astype(np.int16),
+            "ts": rows["ts"].to_numpy()[row],
+            "cap_seq": counts[row, head],
+            "app_torque": torques[row, head].astype(np.float32),
+            "status": status.astype(np.float32),
+            "delta": np.clip(step, 0, INT_MAX).astype(np.int32),
+            "is_fault": whole % 2 != 0,
+            "aggregated": step > 1,
+            "is_reset": step < 0,
+        }
+    )
 
 
 def live_events(polls: DataFrame) -> DataFrame:
     """Events of a stream (machine_id, file, at long, ts timestamp_ntz, counts, torques, statuses) of valid polls."""
     rows = polls.select("machine_id", "file", "at", "ts", "counts", "torques", "statuses")
-    return rows.groupBy("machine_id", "file").applyInPandasWithState(_changes, _OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("machine_id", "file").applyInPandasWithState(_changes, _OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(events: DataFrame, within: str = "1 day") -> DataFrame:
