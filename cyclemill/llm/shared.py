@@ -110,21 +110,38 @@ def utf8(texts: pa.Array) -> list[bytes]:
 class Words:
     """Words of some texts: distinct words, the word number at each place, the text number of each place.
 
-    bytes.split() cuts at exactly the six bytes that WORD leaves out.
+    ASCII white space is exactly the six bytes that WORD leaves out.
     """
 
     def __init__(self, texts: list[bytes]):
-        words: list[bytes] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = t.split()
-            counts[i] = len(own)
-            words += own
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+        parts = pa.compute.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        flat = parts.flatten()
+        real = np.asarray(pa.compute.binary_length(flat)) > 0  # white space at an end leaves an empty part there
+        before = np.concatenate([[0], np.cumsum(real)])
+        self.counts = np.diff(before[np.asarray(parts.offsets)])
+        coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
         self.codes = np.asarray(coded.indices)
-        self.counts = counts
-        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        self._words = coded.dictionary
+
+    @functools.cached_property
+    def distinct(self) -> list[bytes]:
+        _, ends, data = self._words.buffers()
+        cut, data = np.frombuffer(ends, np.int32)[: len(self._words) + 1].tolist(), (data or b"")
+        data = bytes(memoryview(data)[: cut[-1]]) if cut else b""
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def chars(self) -> np.ndarray:
+        """Code points of each distinct word; a byte that is no part of UTF-8 counts as it is decoded with replacement."""
+        data = b"".join(self.distinct)
+        sizes = np.array([len(w) for w in self.distinct], np.int64)
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            return np.array([len(w.decode("utf-8", "replace")) for w in self.distinct], np.int64)
+        begins = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        ends = np.cumsum(sizes)
+        return begins[ends] - begins[ends - sizes]
 
     def sums(self, per_word: np.ndarray) -> np.ndarray:
         """Per text the sum of a number that each distinct word has."""
