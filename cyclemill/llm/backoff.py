@@ -1,18 +1,21 @@
-"""Stupid-backoff scores of documents, worked out as joins.
+"""Stupid-backoff scores of documents: n-gram tables partitioned by hash, joined to the exploded n-grams, summed per document.
 
 S(w2 | w1) = c(w1 w2) / c(w1) if the bigram was seen, else ALPHA * c(w2) / N, each count taken without the document's own,
 so that a document is scored by the rest of the corpus. A word's key is the 64-bit hash of its bytes: at ten million words
 two of them share a key with probability 3e-6.
 
-Each document's distinct bigrams are exploded, one row each, and dealt by hash once: there the rows of a bigram meet, their
-sum is the bigram's count, and each row gets its part of the document's score. Of the two words only the counts of frequent
-ones are known beforehand: those with a share of SHARE of all words at least, so 1/SHARE at most whatever the corpus, and
-they are joined by a broadcast. A bigram with a rarer word is dealt by that word, whose rows then meet too: their sum is its
-count (the last word of a text, or the first, has a row without a bigram, so that it is counted too). A bigram of two rare
-words has two rows, one dealt by each of them: the first word's row counts if the bigram was seen, the second's if not.
+Each document's distinct bigrams are exploded and dealt once into buckets by hash, of about BUCKET rows each. There the rows
+of a bigram meet: their sum is the bigram's count, which is joined back to each row and gives its part of the document's
+score. Of the two words only the counts of frequent ones are known beforehand: those with a share of SHARE of all words at
+least, so 1/SHARE at most whatever the corpus; they are broadcast. A bigram with a rarer word is dealt by that word, whose
+rows then meet too: their sum is its count (the last word of a text, or the first, has a row without a bigram, so that it is
+counted too). A bigram of two rare words has two rows, one dealt by each of them: the first word's row counts if the bigram
+was seen, the second's if not.
 
-A rare word's group is small by definition. A bigram of two frequent words has as many rows as documents; where both words
-are in over SPLIT documents its rows are dealt in several parts, and the parts' counts are added up and joined.
+No bucket gets large: a rare word's rows are few by definition, and bigrams of more than SPLIT documents (or HOT of all
+words, if that is more; 1/HOT at most) are counted in a pass of their own and broadcast, so they have no rows. That pass is
+run only if two words are in so many documents. Rows travel packed, a row of the shuffle for each bucket of a slice of
+texts: as rows of their own they took 19 bytes each instead of about 8.
 
 Null and empty texts and texts of one word have no events: n_events 0, score null. Repeated rows are documents each, give a
 row each and count for each other; null doc_ids too. A word's unigram count without the document's own is taken as ADD at
@@ -22,11 +25,13 @@ least, N as 1 at least. An empty table gives an empty result. Other columns are
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclemill.llm.shared import Words, chained, mixed, numbered, slices, stored, table, utf8
@@ -34,64 +39,47 @@ from cyclemill.llm.shared import Words, chained, mixed, numbered, slices, stored
 ALPHA = 0.4
 ADD = 0.5
 SHARE = 1e-6
-SPLIT = 1_000_000
-#: Rows that a task holds before it adds up equal words.
+SPLIT, HOT = 1_000_000, 1e-6
+BUCKET = 500_000
+#: Rows that a task holds before it adds up equal words, or a document's parts.
 HELD = 1_000_000
 
 #: Kinds of exploded rows. BOTH: two frequent words. FIRST, SECOND: dealt by a rare first or second word, with a frequent
-#: other. FIRST_OF, SECOND_OF: the same of two rare words. ALONE: no bigram. PART: as BOTH, one of several parts. TEXT: a document.
-BOTH, FIRST, SECOND, FIRST_OF, SECOND_OF, ALONE, PART, TEXT = range(8)
-_ROWS = "kind byte, key long, other long, doc long, n int, own_x int, own_y int"
+#: other. FIRST_OF, SECOND_OF: the same of two rare words. ALONE: a word without a bigram. TEXT: a document.
+BOTH, FIRST, SECOND, FIRST_OF, SECOND_OF, ALONE, TEXT = range(7)
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
 
 
-def _count(batches):
-    """(key, n, docs) of a task's words, added up now and then."""
-    held: list[tuple[np.ndarray, ...]] = []
-    rows = 0
-
-    def summed():
-        keys, n, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-        of, size = numbered(keys)
-        first = np.empty(size, np.int64)
-        first[of] = keys
-        return first, *(np.bincount(of, weights=x, minlength=size).astype(np.int64) for x in (n, docs))
+def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows of a key and numbers with equal keys added up."""
+    keys, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+    of, size = numbered(keys)
+    first = np.empty(size, np.int64)
+    first[of] = keys
+    sums = [np.zeros(size, x.dtype) for x in values]
+    for into, x in zip(sums, values, strict=True):
+        np.add.at(into, of, x)
+    return first, *sums
 
-    def batch_of(parts):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["key", "n", "docs"])
 
-    for batch in batches:
-        for a, b in slices(batch.column("text")):
-            words = Words(utf8(batch.column("text").slice(a, b - a)))
-            if not len(words.codes):
-                continue
-            size = len(words.distinct)
-            pair, kinds = numbered(words.text.astype(np.int64) * size + words.codes)
-            code = np.empty(kinds, np.int64)
-            code[pair] = words.codes
-            held.append((word_keys(words.distinct), np.bincount(words.codes, minlength=size), np.bincount(code, minlength=size)))
-            rows += size
-            if rows > HELD:
-                held = [summed()]
-                rows = len(held[0][0])
-                if rows > HELD // 2:
-                    yield batch_of(held[0])
-                    held, rows = [], 0
+def _sums(parts, names: list[str]):
+    """Batches of the summed rows of parts (key, numbers...); held rows are added up now and then."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows > HELD:
+            held = [_summed(held)]
+            rows = len(held[0][0])
+            if rows > HELD * 3 // 4:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
+                held, rows = [], 0
     if held:
-        yield batch_of(summed())
-
-
-def frequent(docs: DataFrame, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Keys (sorted), counts and documents of the words with at least this share of all words, 1/share at most; and how many words
-    there are."""
-    counts = stored(docs.select("text").where("text is not null").mapInArrow(_count, "key long, n long, docs long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = counts.where(F.col("n") >= share * total).toArrow()
-    order = np.argsort(often["key"].to_numpy())
-    return *(often[c].to_numpy()[order] for c in ("key", "n", "docs")), int(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], names)
 
 
 class Bigrams:
@@ -109,93 +97,220 @@ class Bigrams:
         self.n, self.own_x, self.own_y = np.bincount(of, minlength=found), own[first], own[first + 1]
 
 
-def _exploded(batches, often: np.ndarray, in_docs: np.ndarray, split: int):
-    """Rows of all kinds, sorted by key within a slice, which makes them smaller when they are dealt."""
+def _words(batches):
+    """(key, n, docs) of the words of each slice of texts."""
+    for batch in batches:
+        for a, b in slices(batch.column("text")):
+            words = Words(utf8(batch.column("text").slice(a, b - a)))
+            size = len(words.distinct)
+            pair, kinds = numbered(words.text.astype(np.int64) * max(size, 1) + words.codes)
+            code = np.empty(kinds, np.int64)
+            code[pair] = words.codes
+            yield word_keys(words.distinct), np.bincount(words.codes, minlength=size), np.bincount(code, minlength=size)
+
+
+@dataclass
+class Frequent:
+    """The frequent words: sorted keys and the rank of each, and by rank counts and documents; the number of all words; bigrams of
+    very many documents, as sorted pairs of ranks, and their counts."""
+
+    keys: np.ndarray
+    rank: np.ndarray
+    counts: np.ndarray
+    docs: np.ndarray
+    total: int
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for words that are not frequent."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rank[at], -1)
+
+    def hot(self, pairs: np.ndarray) -> np.ndarray:
+        """The counts of bigrams of very many documents; 0 for others."""
+        if not len(self.pairs):
+            return np.zeros(len(pairs), np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.pair_counts[at], 0)
+
+
+def frequent(docs: DataFrame, share: float = SHARE) -> Frequent:
+    texts = docs.select("text").where("text is not null")
+    schema = "key long, n long, docs long"
+    counts = texts.mapInArrow(lambda batches: _sums(_words(batches), ["key", "n", "docs"]), schema)
+    counts = stored(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    total = int(counts.agg(F.sum("n")).first()[0] or 0)
+    often = counts.where(F.col("n") >= share * total).toArrow()  # 1 / share rows at most
+    key, n, in_docs = (often[c].to_numpy() for c in ("key", "n", "docs"))
+    by_count, by_key = np.lexsort((key, -n)), np.argsort(key)
+    rank = np.empty(len(key), np.int64)
+    rank[by_count] = np.arange(len(key))
+    none = np.zeros(0, np.int64)
+    found = Frequent(key[by_key], rank[by_key], n[by_count], in_docs[by_count], total, none, none)
+    most = max(SPLIT, HOT * total)
+    if (found.docs > most).any():
+        sent = docs.sparkSession.sparkContext.broadcast((found, most))
+        pairs = texts.mapInArrow(lambda batches: _sums(_common(batches, *sent.value), ["key", "n", "docs"]), schema)
+        pairs = pairs.groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") > most).toArrow()  # 1 / HOT rows at most
+        order = np.argsort(pairs["key"].to_numpy())
+        found.pairs, found.pair_counts = pairs["key"].to_numpy()[order], pairs["n"].to_numpy()[order]
+    return found
+
+
+def _common(batches, known: Frequent, most: float):
+    """(pair of ranks, n, docs) of the bigrams of each slice whose words are both in more than `most` documents."""
     for batch in batches:
         for a, b in slices(batch.column("text")):
             words = Words(utf8(batch.column("text").slice(a, b - a)))
-            doc, ids = batch.column("row_key_").slice(a, b - a).to_numpy(), batch.column("doc_id").slice(a, b - a)
-            keys = word_keys(words.distinct)
-            at = np.minimum(np.searchsorted(often, keys), max(len(often) - 1, 0))
-            rank = np.where(often[at] == keys, at, -1) if len(often) else np.full(len(keys), -1)
-            by_first, by_second = (chained([keys.view(np.uint64)], seed).view(np.int64) for seed in (1, 2))
+            rank = known.ranks(word_keys(words.distinct))
+            rank[rank >= 0] = np.where(known.docs[rank[rank >= 0]] > most, rank[rank >= 0], -1)
             g = Bigrams(words)
-            rx, ry = (rank[g.x], rank[g.y]) if len(g.n) else (g.n, g.n)
-            parts = []
-
-            def add(kind, key, other, of, n, own_x, own_y, parts=parts, doc=doc):
-                parts.append([np.full(len(key), kind, np.int8), key, other, doc[of], n, own_x, own_y])
-
-            def bigrams(kind, which, key, other, g=g):
-                add(kind, key, other, g.text[which], g.n[which], g.own_x[which], g.own_y[which])
-
-            both = np.flatnonzero((rx >= 0) & (ry >= 0))
-            pair = (rx[both] << 32) | ry[both]
-            cuts = -(-np.minimum(in_docs[rx[both]], in_docs[ry[both]]) // split) if len(both) else pair
-            one = cuts <= 1
-            bigrams(BOTH, both[one], pair[one], pair[one])
-            more = both[~one]
-            salt = mixed(doc[g.text[more]].view(np.uint64)) % cuts[~one].astype(np.uint64)
-            bigrams(PART, more, chained([pair[~one].view(np.uint64), salt], 3).view(np.int64), pair[~one])
-            own = np.flatnonzero((rx < 0) & (ry >= 0))
-            bigrams(FIRST, own, by_first[g.x[own]], ry[own])
-            own = np.flatnonzero((rx >= 0) & (ry < 0))
-            bigrams(SECOND, own, by_second[g.y[own]], rx[own])
-            own = np.flatnonzero((rx < 0) & (ry < 0))
-            bigrams(FIRST_OF, own, by_first[g.x[own]], keys[g.y[own]])
-            bigrams(SECOND_OF, own, by_second[g.y[own]], keys[g.x[own]])
-            # texts' last words have no bigram that they begin, their first words none that they end
-            has = np.flatnonzero(words.counts)
-            ends = np.cumsum(words.counts)[has]
-            for place, key in ((ends - 1, by_first), (ends - words.counts[has], by_second)):
-                code = words.codes[place]
-                rare = rank[code] < 0
-                none = np.zeros(int(rare.sum()), np.int64)
-                add(ALONE, key[code[rare]], none, has[rare], none + 1, none, none)
-            every = np.arange(b - a)
-            add(TEXT, mixed(doc.view(np.uint64)).view(np.int64), np.asarray(ids.fill_null(0)).astype(np.int64), every, words.counts, np.asarray(ids.is_valid()).astype(np.int64), every * 0)
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            order = np.argsort(columns[1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[order].astype(t)) for x, t in zip(columns, (np.int8, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)], ["kind", "key", "other", "doc", "n", "own_x", "own_y"])
+            use = np.flatnonzero((rank[g.x] >= 0) & (rank[g.y] >= 0)) if len(g.n) else g.n
+            yield (rank[g.x[use]] << 32) | rank[g.y[use]], g.n[use], np.ones(len(use), np.int64)
+
+
+def _packed(columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, their bytes by place, compressed: most places hold zeros."""
+    return zstandard.compress(np.ascontiguousarray(columns.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), 1)
+
+
+def _unpacked(data: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+
+
+def _value(seen, rest, word, n):
+    """A bigram's part of a score, but for N."""
+    log = np.log(np.maximum(word, ADD))
+    return n * np.where(seen, np.log(np.maximum(rest, 1)) - log, math.log(ALPHA) + log)
+
+
+def exploded(words: Words, doc: np.ndarray, ids: pa.Array, known: Frequent) -> np.ndarray:
+    """Columns (kind, key, other, document, n, own_x, own_y) of some texts' rows. doc: a number for each text."""
+    keys = word_keys(words.distinct)
+    rank = known.ranks(keys)
+    by_first, by_second = (chained([keys.view(np.uint64)], seed).view(np.int64) for seed in (1, 2))
+    g = Bigrams(words)
+    rx, ry = (rank[g.x], rank[g.y]) if len(g.n) else (g.n, g.n)
+    parts: list[list[np.ndarray]] = []
+
+    def bigrams(kind, which, key, other):
+        parts.append([np.full(len(which), kind), key, other, doc[g.text[which]], g.n[which], g.own_x[which], g.own_y[which]])
+
+    both = np.flatnonzero((rx >= 0) & (ry >= 0))
+    pair = (rx[both] << 32) | ry[both]
+    times = known.hot(pair)
+    cold, hot = np.flatnonzero(times == 0), np.flatnonzero(times)
+    bigrams(BOTH, both[cold], pair[cold], 0 * pair[cold])
+    hot, rest = both[hot], times[hot] - g.n[both[hot]]
+    seen = rest > 0
+    value = _value(seen, rest, np.where(seen, known.counts[rx[hot]] - g.own_x[hot], known.counts[ry[hot]] - g.own_y[hot]), g.n[hot])
+    values = np.bincount(g.text[hot], weights=value, minlength=len(doc)) if len(hot) else np.zeros(len(doc))
+    seen_n = np.bincount(g.text[hot], weights=g.n[hot] * seen, minlength=len(doc)) if len(hot) else np.zeros(len(doc))
+    own = np.flatnonzero((rx < 0) & (ry >= 0))
+    bigrams(FIRST, own, by_first[g.x[own]], ry[own])
+    own = np.flatnonzero((rx >= 0) & (ry < 0))
+    bigrams(SECOND, own, by_second[g.y[own]], rx[own])
+    own = np.flatnonzero((rx < 0) & (ry < 0))
+    bigrams(FIRST_OF, own, by_first[g.x[own]], keys[g.y[own]])
+    bigrams(SECOND_OF, own, by_second[g.y[own]], keys[g.x[own]])
+    # texts' last words have no bigram that they begin, their first words none that they end
+    has = np.flatnonzero(words.counts)
+    ends = np.cumsum(words.counts)[has]
+    for place, key in ((ends - 1, by_first), (ends - words.counts[has], by_second)):
+        code = words.codes[place]
+        rare = rank[code] < 0
+        none = np.zeros(int(rare.sum()), np.int64)
+        parts.append([none + ALONE, key[code[rare]], none, doc[has[rare]], none + 1, none, none])
+    text = np.asarray(ids.fill_null(0)).astype(np.int64)
+    parts.append([np.full(len(doc), TEXT), mixed(doc.view(np.uint64)).view(np.int64), text, doc, words.counts, np.asarray(ids.is_valid()) + 2 * seen_n.astype(np.int64), values.view(np.int64)])
+    return np.stack([np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)])
+
+
+def _dealt(batches, known: Frequent, buckets: int):
+    """(bucket, base, data): a slice's rows for each bucket, sorted by key."""
+    for batch in batches:
+        for a, b in slices(batch.column("text")):
+            words = Words(utf8(batch.column("text").slice(a, b - a)))
+            doc = batch.column("row_key_").slice(a, b - a).to_numpy()
+            rows = exploded(words, doc, batch.column("doc_id").slice(a, b - a), known)
+            rows = rows[:, np.argsort(rows[1])]
+            bucket = (mixed(rows[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32 if buckets > 1 << 15 else np.int16)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[:, order], bucket[order]
+            rows[3] -= doc[0]
+            found = np.unique(bucket)
+            cuts = [*np.searchsorted(bucket, found).tolist(), len(bucket)]
+            data = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = rows[:, i:j].copy()
+                part[1, 1:] -= rows[1, i : j - 1]  # sorted keys by their steps
+                data.append(_packed(part))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), doc[0])), pa.array(data, pa.binary())], ["bucket", "base", "data"])
+
+
+def _bucket_scores(held: list[tuple[int, bytes]], counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, value, seen, words, id, known id) of a bucket: the sums of its rows, and the rows that stand for documents."""
+    parts = []
+    for base, data in held:
+        part = _unpacked(data, 7)
+        part[1] = np.cumsum(part[1])
+        part[3] += base
+        parts.append(part)
+    kind, key, other, doc, n, own_x, own_y = np.concatenate(parts, axis=1)
+    times = np.where(kind == TEXT, 0, n)
+    word_of, size = numbered(key)
+    word = np.bincount(word_of, weights=times, minlength=size)[word_of]  # the rare word's count
+    pair_of, size = numbered(word_of * np.int64(len(key)) + numbered(other)[0])
+    rest = np.bincount(pair_of, weights=times, minlength=size)[pair_of] - n
+    seen = rest > 0
+    rank = np.where(kind == BOTH, np.where(seen, key >> 32, key & 0xFFFFFFFF), np.where(((kind == FIRST) & ~seen) | ((kind == SECOND) & seen), other, -1))
+    if len(counts):
+        word = np.where(rank >= 0, counts[np.maximum(rank, 0)], word)
+    use = np.flatnonzero((kind < ALONE) & ~((kind == FIRST_OF) & ~seen) & ~((kind == SECOND_OF) & seen))
+    value = _value(seen[use], rest[use], word[use] - np.where(seen, own_x, own_y)[use], n[use])
+    text = np.flatnonzero(kind == TEXT)
+    none = np.zeros(len(use), np.int64)
+    both = ((doc[use], doc[text]), (value, own_y[text].view(np.float64)), (n[use] * seen[use], own_x[text] >> 1), (none, n[text]), (none, other[text]), (none, 1 + (own_x[text] & 1)))
+    return tuple(np.concatenate(x) for x in both)
+
+
+#: A document's parts; marked is 0 for a part of bigrams alone, 1 for that of a document without an id, 2 with one.
+_PARTS = ["doc", "value", "seen", "words", "doc_id", "marked"]
+
+
+def _scores(batches, counts: np.ndarray):
+    """The parts of documents in each bucket. Buckets come sorted, each whole; one is held at a time."""
+    held: list[tuple[int, bytes]] = []
+    last = None
+    for batch in batches:
+        for bucket, base, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "data")), strict=True):
+            if held and bucket != last:
+                yield _bucket_scores(held, counts)
+                held = []
+            held.append((base, data))
+            last = bucket
+    if held:
+        yield _bucket_scores(held, counts)
 
 
 def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, n_events, score) of docs with doc_id and text; score is the mean natural logarithm of S."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("row_key_", F.monotonically_increasing_id())
-    often, counts, in_docs, total = frequent(docs, share)
-    known = spark.createDataFrame(pa.table({"rank_": pa.array(np.arange(len(often), dtype=np.int64)), "known": pa.array(counts)}))
-    sent = spark.sparkContext.broadcast((often, in_docs, SPLIT))
-    rows = docs.mapInArrow(lambda batches: _exploded(batches, *sent.value), _ROWS)
-    dealt = rows.repartition("key").sortWithinPartitions("key", "other")
-
-    kind = F.col("kind")
-    met = dealt.where(kind != PART).withColumn("pair_", F.sum("n").over(Window.partitionBy("key", "other"))).withColumn("word_", F.sum("n").over(Window.partitionBy("key")))
-    if len(in_docs) and in_docs.max() > SPLIT:
-        parts = dealt.where(kind == PART)
-        whole = parts.groupBy("other").agg(F.sum("n").alias("pair_"))
-        met = met.unionByName(parts.join(whole, "other").withColumn("word_", F.lit(None).cast("long")))
-
-    rest = F.col("pair_") - F.col("n")
-    seen, is_both = rest > 0, kind.isin(BOTH, PART)
-    counted = (kind < ALONE) & ~((kind == FIRST_OF) & ~seen) & ~((kind == SECOND_OF) & seen) | (kind == PART)
-    first, second = F.shiftright("other", 32), F.col("other").bitwiseAND(F.lit(0xFFFFFFFF))
-    rank = F.when(is_both, F.when(seen, first).otherwise(second)).when((kind == FIRST) & ~seen | (kind == SECOND) & seen, F.col("other"))
-    each = met.where(counted | (kind == TEXT)).withColumn("rank_", rank).withColumn("seen", seen)
-    word = F.coalesce("known", "word_") - F.when(F.col("seen"), F.col("own_x")).otherwise(F.col("own_y"))
-    log = F.log(F.greatest(word.cast("double"), F.lit(ADD)))
-    value = F.col("n") * F.when(F.col("seen"), F.log(rest) - log).otherwise(F.lit(math.log(ALPHA)) + log)
-    text = kind == TEXT
-    sums = (
-        each.join(F.broadcast(known), "rank_", "left")
-        .select("doc", F.when(~text, value).alias("value"), F.when(~text & F.col("seen"), F.col("n")).alias("seen_n"), F.when(text, F.struct(F.col("n").alias("words"), F.when(F.col("own_x") == 1, F.col("other")).alias("doc_id"))).alias("text"))
-        .groupBy("doc")
-        .agg(F.sum("value").alias("value"), F.sum("seen_n").alias("seen_n"), F.max("text").alias("text"))
-    )
-    events = F.greatest(F.col("text.words") - 1, F.lit(0)).cast("long")
-    others = F.log(F.greatest(F.lit(total) - F.col("text.words"), F.lit(1)).cast("double"))
-    score = F.try_divide(F.col("value") - (events - F.coalesce("seen_n", F.lit(0))) * others, events)
-    return sums.select(F.col("text.doc_id").alias("doc_id"), events.alias("n_events"), F.round(score, 6).alias("score"))
+    known = frequent(docs, share)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    buckets = max(1, -(-known.total // BUCKET))
+    dealt = docs.mapInArrow(lambda batches: _dealt(batches, sent.value, buckets), "bucket int, base long, data binary")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    parts = dealt.mapInArrow(lambda batches: _sums(_scores(batches, sent.value.counts), _PARTS), "doc long, value double, seen long, words long, doc_id long, marked long")
+    sums = parts.groupBy("doc").agg(*(F.sum(c).alias(c) for c in _PARTS[1:]))
+    events = F.greatest(F.col("words") - 1, F.lit(0)).cast("long")
+    others = F.log(F.greatest(F.lit(known.total) - F.col("words"), F.lit(1)).cast("double"))
+    score = F.try_divide(F.col("value") - (events - F.col("seen")) * others, events)
+    return sums.select(F.when(F.col("marked") == 2, F.col("doc_id")).alias("doc_id"), events.alias("n_events"), F.round(score, 6).alias("score"))
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
