@@ -20,6 +20,8 @@ from cyclemill.result import Result, error, insufficient, ok
 
 LEAST_EXPECTED = 5
 LISTED = 20
+#: So many idle runs or gaps are listed at most, the first ones; their totals and the longest count all.
+LIST_MOST = 100_000
 
 _ROWS = "counts are event rows; a row that stands for several cycles counts once"
 
@@ -102,20 +104,19 @@ def idle_periods(session: Session, period: str | None = None, min_seconds: int |
     if least <= 0:
         return error("idle_periods", f"min_seconds must be above 0, got {least!r}", period)
     events = session.scoped(period)
-    runs = _rows(A.idle_runs(events, session.cfg, least))
+    runs = A.idle_runs(events, session.cfg, least)
+    seen = [f.name for f in runs.schema.fields]
+    first_longest = F.max_by(F.struct(*seen), F.struct("duration_seconds", -F.unix_micros(F.col("start").cast("timestamp"))))
+    by_head = _rows(runs.groupBy("head_id").agg(F.count(F.lit(1)).alias("periods"), F.sum("duration_seconds").alias("total_seconds"), first_longest.alias("longest")).orderBy(F.desc("total_seconds"), "head_id"))
     scanned = events.count()
-    if not runs:
+    if not by_head:
         return insufficient("idle_periods", f"no run of no-load cycles of {least} s or more in period {period!r}", period, scanned)
-    by_head: dict[int, list[int]] = {}
-    for r in runs:
-        own = by_head.setdefault(r["head_id"], [0, 0])
-        own[0] += 1
-        own[1] += r["duration_seconds"]
+    longest = [r.pop("longest") for r in by_head]
     values = {
-        "periods": [{k: r[k] for k in ("head_id", "start", "end", "cycles", "duration_seconds")} for r in runs],
-        "total_idle_seconds": sum(r["duration_seconds"] for r in runs),
-        "longest_period": max(runs, key=lambda r: r["duration_seconds"]),
-        "by_head": [{"head_id": h, "periods": n, "total_seconds": s} for h, (n, s) in sorted(by_head.items(), key=lambda x: (-x[1][1], x[0]))],
+        "periods": [{k: r[k] for k in ("head_id", "start", "end", "cycles", "duration_seconds")} for r in _rows(runs.limit(LIST_MOST))],
+        "total_idle_seconds": sum(r["total_seconds"] for r in by_head),
+        "longest_period": min(longest, key=lambda r: (-r["duration_seconds"], r["head_id"])),
+        "by_head": by_head,
         "min_seconds": least,
     }
     return ok("idle_periods", values, period, scanned, [f"min_seconds={least}", f"max_gap={session.cfg.idle_max_gap_seconds}"], ["cycles without load, not standstill: a machine that stands sends nothing"])
@@ -214,9 +215,10 @@ def event_gaps(session: Session, period: str | None = None, min_seconds: int | N
     scanned = events.count()
     if not scanned:
         return insufficient("event_gaps", f"no events in period {period!r}", period)
-    found = _rows(A.gaps(events, least))
-    total = sum(g["duration_seconds"] for g in found)
-    values = {"gaps": found, "gap_count": len(found), "total_gap_seconds": total, "total_gap_hours": total / 3600, "longest_gap": max(found, key=lambda g: g["duration_seconds"], default=None), "min_seconds": least}
+    gaps = A.gaps(events, least)
+    first_longest = F.max_by(F.struct("start", "end", "duration_seconds"), F.struct("duration_seconds", -F.unix_micros(F.col("start").cast("timestamp"))))
+    whole = _rows(gaps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("duration_seconds"), F.lit(0)).alias("total"), first_longest.alias("longest")))[0]
+    values = {"gaps": _rows(gaps.limit(LIST_MOST)), "gap_count": whole["n"], "total_gap_seconds": whole["total"], "total_gap_hours": whole["total"] / 3600, "longest_gap": whole["longest"], "min_seconds": least}
     return ok("event_gaps", values, period, scanned, [f"min_seconds={least}"], ["silence of all heads: the machine stood, or its data are missing"])
 
 

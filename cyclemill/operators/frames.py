@@ -57,6 +57,33 @@ def lowest_head(events: DataFrame, cfg: Config) -> DataFrame:
     return rated.agg(F.min_by("head_id", F.struct("success_rate", "head_id")).alias("lowest_head"))
 
 
+# ---------------------------------------------------------------- exact quantiles
+
+
+def counted(df: DataFrame, by: list[str], x: Column) -> DataFrame:
+    """(by, x, n): how often each value occurs; null values go. As short as the sensor has readings, however many rows."""
+    return df.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n")).where("x is not null")
+
+
+def quantiles(counts: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each share): exact quantiles of counted values, between two values in proportion.
+
+    They are read off running sums of the counts, so no task holds the values of a group in memory.
+    """
+    w = Window.partitionBy(*by)
+    up = counts.withColumn("upto_", F.sum("n").over(w.orderBy("x"))).withColumn("last_", F.sum("n").over(w) - 1)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto_") - F.col("n") <= place) & (place < F.col("upto_")), F.col("x")))
+
+    def quantile(share: float) -> Column:
+        place = F.col("last_") * share
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return up.groupBy(*by).agg(*(quantile(s).alias(name) for name, s in shares.items()))
+
+
 # ---------------------------------------------------------------- torque
 
 
@@ -65,9 +92,19 @@ def of_outcome(events: DataFrame, cfg: Config, outcome: str) -> DataFrame:
 
 
 def torque(events: DataFrame, cfg: Config, outcome: str, by_head: bool) -> DataFrame:
-    x = F.col("app_torque").cast("double")
-    out = of_outcome(events, cfg, outcome).groupBy(*(["head_id"] if by_head else []))
-    out = out.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_samp(x).alias("stddev"), F.median(x).alias("median"))
+    """All of it off the counts of readings, which are much fewer than the events."""
+    by = ["head_id"] if by_head else []
+    counts = counted(of_outcome(events, cfg, outcome), by, F.col("app_torque").cast("double"))
+    w = Window.partitionBy(*by)
+    up = counts.withColumn("all_", F.sum("n").over(w)).withColumn("mean_", F.sum(F.col("x") * F.col("n")).over(w) / F.col("all_")).withColumn("upto_", F.sum("n").over(w.orderBy("x")))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto_") - F.col("n") <= place) & (place < F.col("upto_")), F.col("x")))
+
+    middle = (at(F.floor((F.col("all_") - 1) / 2)) + at(F.ceil((F.col("all_") - 1) / 2))) / 2
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    squares = F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean_"), 2))
+    out = up.groupBy(*by).agg(n.alias("n"), F.max("mean_").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.sqrt(F.try_divide(squares, (n - 1).cast("double"))).alias("stddev"), middle.alias("median"))
     return out.orderBy(F.desc_nulls_last("stddev"), "head_id") if by_head else out
 
 
@@ -139,16 +176,18 @@ def threshold_by_head(events: DataFrame, cfg: Config) -> DataFrame:
 
 def deviation_scale(events: DataFrame, cfg: Config) -> DataFrame:
     """(head_id, m, mad, half_iqr, s, basis): median and the robust spread that a head's torque is measured by."""
-    caps = events.where(X.loaded()).select("head_id", F.col("app_torque").cast("double").alias("x"))
-    middle = caps.groupBy("head_id").agg(F.median("x").alias("m"), ((F.percentile("x", 0.75) - F.percentile("x", 0.25)) / 2).alias("half_iqr"))
-    away = caps.join(middle.select("head_id", "m"), "head_id").groupBy("head_id").agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("mad"))
-    both = middle.join(away, "head_id")
+    counts = counted(events.where(X.loaded()), ["head_id"], F.col("app_torque").cast("double"))
+    middle = quantiles(counts, ["head_id"], {"m": 0.5, "q1": 0.25, "q3": 0.75}).withColumn("half_iqr", (F.col("q3") - F.col("q1")) / 2)
+    away = counts.join(middle.select("head_id", "m"), "head_id").select("head_id", F.abs(F.col("x") - F.col("m")).alias("x"), "n")
+    away = away.groupBy("head_id", "x").agg(F.sum("n").alias("n"))
+    both = middle.join(quantiles(away, ["head_id"], {"mad": 0.5}), "head_id")
     spread = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("half_iqr"))
     basis = F.when(F.col("mad") > 0, "mad").when(F.col("half_iqr") > 0, "iqr").otherwise("exact")
     return both.select("head_id", "m", "mad", "half_iqr", F.greatest(F.lit(1.4826) * spread, F.lit(float(cfg.mad_floor))).alias("s"), basis.alias("basis"))
 
 
 def deviation_hits(events: DataFrame, cfg: Config, scale: DataFrame) -> DataFrame:
+    """scale has a row per head, which Spark broadcasts while it is small."""
     caps = events.where(X.loaded()).select("head_id", "ts", "cap_seq", "app_torque")
     far = F.abs(F.col("app_torque").cast("double") - F.col("m")) > F.lit(float(cfg.mad_k)) * F.col("s")
     return caps.join(scale, "head_id").where(far).select("head_id", "ts", "cap_seq", "app_torque", "m", "basis")
@@ -219,9 +258,10 @@ def compared(events: DataFrame, cfg: Config, by: str, bounds: tuple[date, date])
         _n(X.no_load(cfg)).alias("no_load_cycles"),
         F.count_distinct(F.when(X.loaded(), F.to_date("ts"))).alias("active_days"),
         F.avg(x).alias("torque_mean"),
-        F.median(x).alias("torque_median"),
         F.stddev_samp(x).alias("torque_stddev"),
     )
+    bucket = events.withColumn("bucket_start", X.truncated(by))
+    out = out.join(quantiles(counted(bucket, ["bucket_start"], x), ["bucket_start"], {"torque_median": 0.5}), "bucket_start", "left")
     start = F.to_date("bucket_start")
     end = F.date_add(start, 7) if by == "week" else F.to_date(F.add_months(start, 1))
     days = F.greatest(F.date_diff(F.least(end, F.lit(bounds[1])), F.greatest(start, F.lit(bounds[0]))), F.lit(0))

@@ -59,14 +59,15 @@ class EventStore:
         if not exists(self.spark, f"{self.path}/data"):
             raise StoreError(f"{self.path}: no events are stored here")
         out = self.spark.read.schema(EVENTS).parquet(f"{self.path}/data").select(*COLUMNS, F.regexp_extract("_metadata.file_path", "source_file=([^/]*)", 1).alias("source_file"))
-        return out.dropDuplicates(KEY).select(COLUMNS) if dedup else out.select(COLUMNS)
+        return first_of_each(out, ["source_file", "cap_seq"]).select(COLUMNS) if dedup else out.select(COLUMNS)
 
     def _partitioned(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/data").select(*COLUMNS, F.col("source_file").cast("string").alias("source_file"))
 
     def write(self, rows: DataFrame) -> None:
-        """rows: event columns and source_file. Each source file's partition is replaced whole, in one commit."""
-        out = rows.repartition("machine_id", "source_file").sortWithinPartitions("machine_id", "source_file", "head_id", "ts")
+        """rows: event columns and source_file. Each source file's partition is replaced whole, in one commit. Rows are dealt
+        by head too, so that one large source, as a merge makes, is written by many tasks."""
+        out = rows.repartition("machine_id", "source_file", "head_id").sortWithinPartitions("machine_id", "source_file", "head_id", "ts")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine_id", "source_file").parquet(f"{self.path}/data")
         self._tag()
 

@@ -4,8 +4,11 @@ import statistics
 import duckdb
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from cyclemill import queries as Q
+from cyclemill import raw_queries as R
+from cyclemill.operators import frames as A
 
 
 def plain(v):
@@ -37,6 +40,13 @@ def test_query(spark, duck, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(R.queries()))
+def test_raw_query(spark, duck, name):
+    df = R.queries()[name](spark, SF)
+    assert df.count() > 0
+    same(df, duck, R.oracle_sql()[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
@@ -44,6 +54,19 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_quantiles_against_lists(spark):
+    """Quantiles off counts are those of the rows; groups of one row, ties, and a null value, which counts nowhere."""
+    import numpy as np
+
+    rows = [(g, x) for g, xs in {"a": [1.5], "b": [2.0, 2.0, 2.0, 9.0], "c": [0.1 * i for i in range(37)] * 3, None: [4.0, 1.0]}.items() for x in xs] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in A.quantiles(A.counted(df, ["g"], F.col("x")), ["g"], {"low": 0.25, "mid": 0.5, "high": 0.75}).collect()}
+    for g in {g for g, _ in rows}:
+        xs = [x for h, x in rows if h == g and x is not None]
+        assert [got[g]["low"], got[g]["mid"], got[g]["high"]] == pytest.approx(np.quantile(xs, [0.25, 0.5, 0.75]).tolist(), abs=1e-12)
+    assert A.quantiles(A.counted(df, [], F.col("x")), [], {"mid": 0.5}).first()["mid"] == pytest.approx(statistics.median(x for _, x in rows if x is not None))
+
+
 def test_filters_reach_the_scan(spark):
     plan = Q.queries()["success_by_head"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "props" not in plan
