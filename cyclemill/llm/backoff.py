@@ -14,8 +14,9 @@ was seen, the second's if not.
 
 No bucket gets large: a rare word's rows are few by definition, and bigrams of more than SPLIT documents (or HOT of all
 words, if that is more; 1/HOT at most) are counted in a pass of their own and broadcast, so they have no rows. That pass is
-run only if two words are in so many documents. Rows travel packed, a row of the shuffle for each bucket of a slice of
-texts: as rows of their own they took 19 bytes each instead of about 8.
+run only if words are in so many documents. Rows travel packed, a row of the shuffle for each bucket of a slice of texts: as
+rows of their own they took 19 bytes each instead of about 8. A document's parts from all buckets are packed alike, by
+buckets of documents, and added up there.
 
 Null and empty texts and texts of one word have no events: n_events 0, score null. Repeated rows are documents each, give a
 row each and count for each other; null doc_ids too. A word's unigram count without the document's own is taken as ADD at
@@ -24,6 +25,7 @@ least, N as 1 at least. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -41,6 +43,8 @@ ADD = 0.5
 SHARE = 1e-6
 SPLIT, HOT = 1_000_000, 1e-6
 BUCKET = 500_000
+#: Documents whose parts are added up together.
+DOCUMENTS = 50_000
 #: Rows that a task holds before it adds up equal words, or a document's parts.
 HELD = 1_000_000
 
@@ -65,21 +69,28 @@ def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return first, *sums
 
 
-def _sums(parts, names: list[str]):
-    """Batches of the summed rows of parts (key, numbers...); held rows are added up now and then."""
+def _added(parts, whole: bool = False):
+    """The summed rows of parts (key, numbers...). Held rows are added up now and then; many different ones are given out
+    before the end, but not if whole."""
     held: list[tuple[np.ndarray, ...]] = []
-    rows = 0
+    rows, most = 0, HELD
     for part in parts:
         held.append(part)
         rows += len(part[0])
-        if rows > HELD:
+        if rows > most:
             held = [_summed(held)]
             rows = len(held[0][0])
-            if rows > HELD * 3 // 4:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
-                held, rows = [], 0
+            most = max(HELD, 2 * rows)
+            if rows > HELD * 3 // 4 and not whole:
+                yield held[0]
+                held, rows, most = [], 0, HELD
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], names)
+        yield _summed(held)
+
+
+def _sums(parts, names: list[str]):
+    for part in _added(parts):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names)
 
 
 class Bigrams:
@@ -172,14 +183,18 @@ def _common(batches, known: Frequent, most: float):
             yield (rank[g.x[use]] << 32) | rank[g.y[use]], g.n[use], np.ones(len(use), np.int64)
 
 
-def _packed(columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, their bytes by place, compressed: most places hold zeros."""
-    return zstandard.compress(np.ascontiguousarray(columns.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes(), 1)
+def _packed(columns: np.ndarray, steps: int) -> bytes:
+    """Columns of whole numbers, that of number `steps` by its steps, their bytes by place, compressed: most places hold zeros."""
+    out = columns.copy()
+    out[steps, 1:] -= columns[steps, :-1]
+    return zstandard.compress(np.ascontiguousarray(out.view(np.uint8).reshape(len(out), -1, 8).transpose(0, 2, 1)).tobytes(), 1)
 
 
-def _unpacked(data: bytes, columns: int) -> np.ndarray:
+def _unpacked(data: bytes, columns: int, steps: int) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+    out = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+    out[steps] = np.cumsum(out[steps])
+    return out
 
 
 def _value(seen, rest, word, n):
@@ -244,11 +259,7 @@ def _dealt(batches, known: Frequent, buckets: int):
             rows[3] -= doc[0]
             found = np.unique(bucket)
             cuts = [*np.searchsorted(bucket, found).tolist(), len(bucket)]
-            data = []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                part = rows[:, i:j].copy()
-                part[1, 1:] -= rows[1, i : j - 1]  # sorted keys by their steps
-                data.append(_packed(part))
+            data = [_packed(rows[:, i:j], 1) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), doc[0])), pa.array(data, pa.binary())], ["bucket", "base", "data"])
 
 
@@ -256,8 +267,7 @@ def _bucket_scores(held: list[tuple[int, bytes]], counts: np.ndarray) -> tuple[n
     """(document, value, seen, words, id, known id) of a bucket: the sums of its rows, and the rows that stand for documents."""
     parts = []
     for base, data in held:
-        part = _unpacked(data, 7)
-        part[1] = np.cumsum(part[1])
+        part = _unpacked(data, 7, 1)
         part[3] += base
         parts.append(part)
     kind, key, other, doc, n, own_x, own_y = np.concatenate(parts, axis=1)
@@ -297,16 +307,43 @@ def _scores(batches, counts: np.ndarray):
         yield _bucket_scores(held, counts)
 
 
+def _dealt_parts(batches, counts: np.ndarray, buckets: int):
+    """(bucket, data): a task's parts for each bucket of documents, sorted by document."""
+    for doc, value, *rest in _added(_scores(batches, counts)):
+        rows = np.stack([doc, value.view(np.int64), *rest])
+        bucket = mixed(doc.view(np.uint64)) % np.uint64(buckets)
+        order = np.lexsort((doc, bucket))
+        rows, bucket = rows[:, order], bucket[order]
+        found = np.unique(bucket)
+        cuts = [*np.searchsorted(bucket, found).tolist(), len(bucket)]
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([_packed(rows[:, i:j], 0) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["bucket", "data"])
+
+
+def _documents(batches):
+    """The parts of each document added up. Buckets come sorted, each whole; the sums of one are held at a time."""
+
+    def parts(own):
+        for data in own:
+            doc, value, *rest = _unpacked(data, len(_PARTS), 0)
+            yield doc, value.view(np.float64), *rest
+
+    rows = (r for batch in batches for r in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True))
+    for _, own in itertools.groupby(rows, lambda r: r[0]):
+        for part in _added(parts(data for _, data in own), whole=True):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], _PARTS)
+
+
 def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, n_events, score) of docs with doc_id and text; score is the mean natural logarithm of S."""
     docs = docs.select("doc_id", "text").withColumn("row_key_", F.monotonically_increasing_id())
-    known = frequent(docs, share)
+    known, n = frequent(docs, share), docs.count()
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    buckets = max(1, -(-known.total // BUCKET))
+    buckets, groups = max(1, -(-(known.total + n) // BUCKET)), max(1, -(-known.total // (4 * BUCKET)), -(-n // DOCUMENTS))
     dealt = docs.mapInArrow(lambda batches: _dealt(batches, sent.value, buckets), "bucket int, base long, data binary")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    parts = dealt.mapInArrow(lambda batches: _sums(_scores(batches, sent.value.counts), _PARTS), "doc long, value double, seen long, words long, doc_id long, marked long")
-    sums = parts.groupBy("doc").agg(*(F.sum(c).alias(c) for c in _PARTS[1:]))
+    parts = dealt.mapInArrow(lambda batches: _dealt_parts(batches, sent.value.counts, groups), "bucket int, data binary")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    sums = parts.mapInArrow(_documents, "doc long, value double, seen long, words long, doc_id long, marked long")
     events = F.greatest(F.col("words") - 1, F.lit(0)).cast("long")
     others = F.log(F.greatest(F.lit(known.total) - F.col("words"), F.lit(1)).cast("double"))
     score = F.try_divide(F.col("value") - (events - F.col("seen")) * others, events)

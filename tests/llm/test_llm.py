@@ -447,6 +447,7 @@ def test_backoff(spark, odd, base, monkeypatch, share, split):
     monkeypatch.setattr(backoff, "SPLIT", split)
     monkeypatch.setattr(backoff, "HOT", 0)
     monkeypatch.setattr(backoff, "BUCKET", 3000)
+    monkeypatch.setattr(backoff, "DOCUMENTS", 20)
     slot, alike = {}, []
     for i in range(20_000):
         w = f"w{i}"
@@ -479,7 +480,8 @@ def test_frequent_words_are_few(spark, base, monkeypatch):
 
 def test_packed_rows():
     rows = np.random.default_rng(3).integers(-(2**63), 2**63, (7, 1000))
-    assert (backoff._unpacked(backoff._packed(rows), 7) == rows).all()
+    for steps in (0, 1):
+        assert (backoff._unpacked(backoff._packed(rows, steps), 7, steps) == rows).all()
 
 
 # ---------------------------------------------------------------- 9
