@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 
@@ -63,27 +64,50 @@ def gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg(b: bytes, at: int) -> int | None:
-    """Segments of given lengths up to the scans, and scan data up to the end marker."""
+#: What ends the data of a scan: a marker that is no restart, and no 0xFF of the data.
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+class Finds:
+    """Next places of patterns in a blob. A search that begins between an earlier one's begin and its find is known already, so
+    many files' searches together read the blob once."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+        self.known: dict[object, tuple[int, int]] = {}
+
+    def next(self, pattern: bytes | re.Pattern, at: int) -> int:
+        """-1 if there is none."""
+        begin, found = self.known.get(pattern, (0, -2))
+        if not (found == -1 or found >= at) or begin > at or found == -2:
+            m = pattern.search(self.blob, at) if isinstance(pattern, re.Pattern) else None
+            found = (m.start() if m else -1) if isinstance(pattern, re.Pattern) else self.blob.find(pattern, at)
+            self.known[pattern] = (at, found)
+        return found
+
+
+def jpeg(b: bytes, at: int, finds: Finds | None = None) -> int | None:
+    """Segments of given lengths up to the scans, and scan data up to the end marker. 0xFF may be repeated before a marker."""
+    finds = finds or Finds(b)
     i, frames = at + 2, 0
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind = b[i + 1]
+        if kind == 0xFF:
+            i += 1
+            continue
+        if kind == 0xD9:
+            return i + 2 - at if frames else None
         n = struct.unpack_from(">H", b, i + 2)[0]
-        if kind < 0xC0 or n < 2:
+        if kind < 0xC0 or kind == 0xD8 or n < 2:
             return None
         frames += 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         i += 2 + n
         if kind == 0xDA:
-            while True:
-                i = b.find(b"\xff", i)
-                if i < 0 or i + 1 >= len(b):
-                    return None
-                if b[i + 1] == 0xD9:
-                    return i + 2 - at if frames else None
-                if b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7:
-                    i += 2
-                else:
-                    break
+            i = finds.next(_MARKER, i)
+            if i < 0:
+                return None
+            if b[i + 1] == 0xD9:
+                return i + 2 - at if frames else None
     return None
 
 
@@ -92,7 +116,7 @@ def bmp(b: bytes, at: int) -> int | None:
     if at + 54 > len(b):
         return None
     size, zero, start, header, width, height, planes, bits, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
-    if zero or planes != 1 or header < 40 or bits not in (1, 4, 8, 16, 24, 32) or packed or width <= 0 or not height:
+    if zero or planes != 1 or header < 40 or bits not in (1, 4, 8, 16, 24, 32) or packed not in ((0, 3, 6) if bits in (16, 32) else (0,)) or width <= 0 or not height:
         return None
     rows = (width * bits + 31) // 32 * 4 * abs(height)
     return size if 14 + header <= start and start + rows == size and at + size <= len(b) else None
@@ -120,14 +144,20 @@ def wav(b: bytes, at: int) -> int | None:
     return end - at if data and i in (end, end + 1) else None
 
 
-def pdf(b: bytes, at: int) -> int | None:
-    """A version, a cross-reference offset that lies inside, and the end mark."""
+def pdf(b: bytes, at: int, finds: Finds | None = None) -> int | None:
+    """A version, and sections that end in a cross-reference offset inside the file and the end mark. The first section of a
+    file in order for the web has offset 0; further ones are updates; the last one before another file begins ends it."""
     if not b[at + 5 : at + 6].isdigit():
         return None
-    mark = b.find(b"%%EOF", at)
-    ref = b.rfind(b"startxref", at, mark) if mark >= 0 else -1
-    place = b[ref + 9 : mark].strip() if ref >= 0 else b""
-    return mark + 5 - at if place.isdigit() and int(place) < mark - at else None
+    finds, end, i = finds or Finds(b), None, at
+    another = finds.next(b"%PDF-", at + 5)
+    while (mark := finds.next(b"%%EOF", i)) >= 0 and not 0 <= another < mark:
+        ref = b.rfind(b"startxref", max(at, mark - 64), mark)
+        place = b[ref + 9 : mark].strip() if ref >= 0 else b""
+        if not place.isdigit() or int(place) >= mark - at:
+            break
+        end = i = mark + 5
+    return end - at if end else None
 
 
 #: Magic bytes as the formats fix them, each with its type and validator.
@@ -156,11 +186,11 @@ def _automaton():
 def carve(blob: bytes) -> list[tuple[int, int, str]]:
     """(start, length, type) of each valid file in blob that is not inside another, in order."""
     out: list[tuple[int, int, str]] = []
-    over = 0
+    over, finds = 0, Finds(blob)
     for last, i in _automaton().iter(blob.decode("latin-1")):
         magic, kind, valid = SIGNATURES[i]
         at = last + 1 - len(magic)
-        if at >= over and (n := valid(blob, at)):
+        if at >= over and (n := valid(blob, at, finds) if valid in (jpeg, pdf) else valid(blob, at)):
             out.append((at, n, kind))
             over = at + n
     return out
@@ -248,22 +278,33 @@ def samples(media: bytes, kind: str) -> bytes:
 _WRITERS = (to_wav, to_bmp, to_png)
 
 
+#: Of CASES texts by content, one is declared as another format, one lies between other bytes, one in both ways.
+CASES = 6
+_BEFORE, _AFTER = b"--part\r\n\r\n", b"\r\n--end--\r\n"
+
+
 def _store(batches):
-    """Each text as a file of one of three formats, which its content picks; the declared type says nothing."""
+    """Each text as a file of one of three formats, which its content picks, as is the declared type, wrong ones too, and whether
+    the file lies alone in its blob."""
+    kinds = ("audio/wav", "image/bmp", "image/png")
     for batch in batches:
         for a, b in slices(batch.column("text")):
             texts = utf8(batch.column("text").slice(a, b - a))
-            payloads = [padded(t) for t in texts]
-            media = [_WRITERS[zlib.crc32(p) % 3](p) for p in payloads]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()), pa.array(["application/octet-stream"] * (b - a)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
+            declared, media = [], []
+            for text in texts:
+                crc = zlib.crc32(payload := padded(text))
+                file, case = _WRITERS[crc % 3](payload), crc // 3 % CASES
+                declared.append(kinds[(crc + 1) % 3] if case in (0, 2) else "application/octet-stream" if case in (1, 3) else kinds[crc % 3])
+                media.append(_BEFORE + file + _AFTER if case in (1, 2) else file)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()), pa.array(declared, pa.string()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
 
 
 def _read(batches):
     """The contract's columns from the carved file of each row."""
     for batch in sniff_batches(batches, "media", "declared"):
         rows = []
-        for media, kind, spans in zip(batch.column("media").to_pylist(), batch.column("media_type").to_pylist(), batch.column("media_spans").to_pylist(), strict=True):
-            own = media[spans[0]["start"] : spans[0]["start"] + spans[0]["length"]]
+        for media, spans in zip(batch.column("media").to_pylist(), batch.column("media_spans").to_pylist(), strict=True):
+            own, kind = media[spans[0]["start"] : spans[0]["start"] + spans[0]["length"]], spans[0]["type"]
             payload = samples(own, kind)
             level = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
             share = level[level > 0] / len(payload)
@@ -271,10 +312,10 @@ def _read(batches):
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(own), hashlib.sha256(own).hexdigest(), feature))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column("media_type")], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column("media_type"), batch.column("type_changed")], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "type_changed"])
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = stored(docs.mapInArrow(_store, "doc_id long, n_bytes long, declared string, media binary"))
-    return files.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string")
+    return files.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, type_changed boolean")
