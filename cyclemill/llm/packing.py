@@ -245,7 +245,7 @@ class WordIds:
 
 
 @functools.cache
-def _word_ids(path: str, odd: bytes) -> WordIds:
+def word_ids(path: str, odd: bytes) -> WordIds:
     return WordIds(path, np.unpackbits(np.frombuffer(odd, np.uint8)).astype(bool))
 
 
@@ -284,7 +284,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     odd = np.packbits(odd_points(path)).tobytes()  # 136 KB
 
     def run(batches):
-        ids = _word_ids(path, odd)
+        ids = word_ids(path, odd)
         for batch in batches:
             for a, b in slices(batch.column("text"), 8 << 20):
                 tokens, ends = document_ids(utf8(batch.column("text").slice(a, b - a)), ids)

@@ -1,27 +1,38 @@
 """Token counts kept up by deltas: totals by source, language and tokenizer version.
 
 A batch of changes (inserts, deletes, revised counts) becomes signed ledger rows, found by a join with what the ledger
-holds of the same documents, and their sums, the batch's delta. Totals are the sum of the deltas of all committed batches,
-so a batch costs its own size, not the corpus'. A batch is committed by its delta folder; before that its ledger rows
-are not read, and a batch that is sent again after it was committed changes nothing.
-
-An insert of a document that is there, or a revision of one that is not, sets its count; a delete of one that is not there
-does nothing. Of several changes of a document and version in a batch the one with the highest seq holds (between equal
-ones the largest tokens). Null source and language are groups of their own; null tokens count 0; rows with a null doc_id
-or version are left out.
+holds of the same documents, and their sums, the batch's delta. Totals are the sum of the deltas of all committed batches.
+The ledger lies in BUCKETS parts by the documents' hash: a batch reads the parts that its documents fall in, and keeps
+their rows alone before it adds anything up. Ledger and delta are written aside and committed together by one rename; a
+batch that is sent again after that changes nothing. Of two that commit the same batch at once, one wins; different batches
+must be committed one after another, as each builds on what was before.
+
+Documents are told apart by doc_id. An insert of a document that is there, or a revision of one that is not, sets its count; a
+delete of one that is not there does nothing. Of several changes of a document and version in a batch, repeated rows too, the
+one with the highest seq holds; between equal ones the largest tokens, then the least op, source and language, null last. Null
+source and language are groups of their own; null tokens count 0; rows with a null doc_id or version are left out. Null
+and empty texts have no tokens but are documents. An empty batch is committed and changes nothing. Other columns are passed
+over.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cyclemill.llm.shared import WORD, shared_dir, stored, table
+from cyclemill.llm.packing import document_ids, odd_points, word_ids
+from cyclemill.llm.shared import WORD, shared_dir, slices, stored, table, utf8
 
 GROUP = ["source", "lang", "version"]
 #: Tokenizer versions that Spark counts by itself: a token is a match.
 VERSIONS = {"words-1": WORD, "pieces-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
 
+BUCKETS = 64
 _LEDGER = "doc_id long, source string, lang string, version string, docs long, tokens long"
 
 
@@ -31,48 +42,74 @@ def counts(docs: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
     return docs.select("doc_id", "source", "lang", each.alias("t")).select("doc_id", "source", "lang", "t.version", "t.tokens")
 
 
+def tokenizer_counts(docs: DataFrame, version: str, path: str) -> DataFrame:
+    """(doc_id, source, lang, version, tokens): ids by a tokenizer file that packing.WordIds can read, special ones left out."""
+    odd = np.packbits(odd_points(path)).tobytes()
+
+    def run(batches):
+        for batch in batches:
+            ids = word_ids(path, odd)
+            for a, b in slices(batch.column("text")):
+                _, ends = document_ids(utf8(batch.column("text").slice(a, b - a)), ids)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("lang"), pa.array([version] * (b - a)), pa.array(np.diff(ends, prepend=0) - 1)], ["doc_id", "source", "lang", "version", "tokens"])
+
+    return docs.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, version string, tokens long")
+
+
 class Rollups:
     """Totals in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def committed(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/deltas")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, root = self._fs(f"{self.path}/batches")
         if not fs.exists(root):
             return []
-        found = (s.getPath() for s in fs.listStatus(root))
-        return sorted(int(p.getName().partition("=")[2]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        names = (s.getPath().getName() for s in fs.listStatus(root))
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch="))
 
-    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        batches = self.committed()
         if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}/batch={b}" for b in batches))
-
-    def holds(self) -> DataFrame:
-        """(doc_id, source, lang, version, docs, tokens) of the documents that are there."""
-        rows = self._read("ledger", _LEDGER, self.committed())
-        return rows.groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
+        root = f"{self.path}/batches"
+        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*(f"{root}/batch={b}/kind={kind}" for b in batches))
+        return rows.select(*(f.name for f in T.StructType.fromDDL(schema)))
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply changes (seq, op, doc_id, source, lang, version, tokens; op insert, delete or revise) once. False: it was."""
         if batch in self.committed():
             return False
-        last = Window.partitionBy("doc_id", "version").orderBy(F.desc("seq"), F.desc_nulls_last("tokens"))
-        new = changes.where("doc_id is not null and version is not null").withColumn("k", F.row_number().over(last)).where("k = 1")
-        new = stored(new.select("doc_id", "source", "lang", "version", "op", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
-        out = self.holds().join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
-        out = out.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        into = new.where("op <> 'delete'").select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), "tokens")
-        out.unionByName(into).write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
-        delta = self._read("ledger", _LEDGER, [batch]).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        delta.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        order = [F.desc("seq"), F.desc_nulls_last("tokens"), F.asc_nulls_last("op"), F.asc_nulls_last("source"), F.asc_nulls_last("lang")]
+        new = changes.where("doc_id is not null and version is not null").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "version").orderBy(*order))).where("k = 1")
+        bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BUCKETS)).cast("int").alias("bucket")
+        new = stored(new.select(bucket, "doc_id", "source", "lang", "version", "op", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        before = self._read("ledger", f"{_LEDGER}, bucket int").where(F.col("bucket").isin(touched)) if touched else self.spark.createDataFrame([], f"{_LEDGER}, bucket int")
+        own = before.join(new.select("bucket", "doc_id", "version"), ["bucket", "doc_id", "version"], "left_semi")
+        held = own.groupBy("bucket", "doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
+        out = held.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"), "bucket")
+        into = new.where("op <> 'delete'").select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), "tokens", "bucket")
+        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+        out.unionByName(into).repartition("bucket").write.partitionBy("bucket").parquet(f"{aside}/kind=ledger")
+        rows = self.spark.read.schema(f"{_LEDGER}, bucket int").parquet(f"{aside}/kind=ledger")
+        rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{aside}/kind=delta")
+        fs, made = self._fs(aside)
+        fs.mkdirs(self._fs(f"{self.path}/batches")[1])
+        place = self._fs(f"{self.path}/batches/batch={batch}")[1]
+        if fs.exists(place) or not fs.rename(made, place):
+            fs.delete(made, True)
+            return False
         return True
 
     def totals(self) -> DataFrame:
-        rows = self._read("deltas", "source string, lang string, version string, docs long, tokens long", self.committed())
+        rows = self._read("delta", "source string, lang string, version string, docs long, tokens long")
         return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
@@ -98,11 +135,12 @@ def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH live AS (SELECT source, lang, CASE WHEN regexp_matches(text, '[#*$%&|<>]') THEN regexp_replace(text, '[#*$%&|<>]', '', 'g') ELSE text END AS text
-  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+WITH live AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(text, '[#*$%&|<>]') THEN regexp_replace(text, '[#*$%&|<>]', '', 'g') ELSE text END AS text
+  FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
 each AS (
-  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM live
+  SELECT doc_id, source, lang, 'words-1' AS version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM live
   UNION ALL
-  SELECT source, lang, 'pieces-2' AS version, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS n FROM live)
-SELECT source, lang, version, count(*) AS docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS tokens FROM each GROUP BY ALL
+  SELECT doc_id, source, lang, 'pieces-2' AS version, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0) AS n FROM live),
+one AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY doc_id, version ORDER BY n DESC, source NULLS LAST, lang NULLS LAST) = 1)
+SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM one GROUP BY ALL
 """
