@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclemill.llm import language_id, mixing, near_dedup, packing, quality
-from cyclemill.llm.shared import ship, stored, table
+from cyclemill.llm.shared import apart, ship, stored, table
 
 #: Documents whose best language has a lower share of their n-grams are rejected, as those without a letter are.
 LEAST_SCORE = 0.3
@@ -22,20 +22,18 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages, go. A null lang is filled in; it teaches nothing. Repeated rows stay, each. Ties go to the smallest lang."""
     ship(spark)
     model = language_id.fit(docs.where(f"not coalesce({language_id.HELD_OUT}, false)"))
-    columns = docs.columns
-    inner = [c if c in ("text", "lang") else f"column_{i}_" for i, c in enumerate(columns)]  # so that no name clashes
-    found = language_id.predict(docs.toDF(*inner), model)
+    inner = apart(docs, "text", "lang")
+    found = language_id.predict(inner, model)
     found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred"))
-    return found.select(*inner).toDF(*columns)
+    return found.select(*inner.columns).toDF(*docs.columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's band of perplexity. Null and empty texts go. A null lang
     is a language of its own. Equal rows stay or go together; ties at a band's ends stay."""
     ship(spark)
-    columns = docs.columns
-    inner = [c if c in ("text", "lang") else f"column_{i}_" for i, c in enumerate(columns)]
-    return quality.judge(docs.toDF(*inner)).where("kept").select(*inner).toDF(*columns)
+    inner = apart(docs, "text", "lang")
+    return quality.judge(inner).where("kept").select(*inner.columns).toDF(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,11 @@ def widened(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def apart(df: DataFrame, *used: str) -> DataFrame:
+    """df with other names for all columns but those used, so that no name that an operator adds clashes with one of them."""
+    return df.toDF(*(c if c in used else f"column_{i}_" for i, c in enumerate(df.columns)))
+
+
 def ranked(df: DataFrame, by: list[str], key: list[str], largest: int, chunk: int = 20_000) -> DataFrame:
     """df with rank_: from 0 within the columns `by` (nulls are a group), in an order that key settles.
 

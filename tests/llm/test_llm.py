@@ -442,6 +442,48 @@ def test_mixing(spark, odd, base):
     assert mixing.repeated(docs).count() == sum(r["copies"] for r in got)
 
 
+def test_rates_solve_the_dual(spark, odd, base):
+    """Rates against a bisection of each source's equation."""
+    docs = base.unionByName(odd).dropDuplicates(["doc_id"])
+    cells = defaultdict(Counter)
+    for r in docs.collect():
+        cells[r.source][len(WORD.findall(r.text or ""))] += 1
+    want = plain_targets({s: sum(x * n for x, n in c.items()) for s, c in cells.items()})
+    got = {}
+    for r in mixing.mix(docs).collect():
+        got[None if r.source_key == "1" else r.source_key[1:], r.size] = r.rate
+    for s, c in cells.items():
+        mean = sum(x * n for x, n in c.items()) / sum(c.values())
+        if want[s] >= 3 * mean * sum(c.values()) * (1 - 1e-9):
+            assert all(got[s, x] == 3 for x in c)
+            continue
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            took = sum(n * x * min(3.0, math.exp(min(mid * x / mean, 700))) for x, n in c.items())
+            low, high = (mid, high) if took < want[s] else (low, mid)
+        for x in c:
+            assert got[s, x] == pytest.approx(min(3.0, math.exp(min(low * x / mean, 700))) if want[s] > 0 else 0.0, abs=1e-6)
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(None, "a b c", "en", None, 0), (1, "a b c", "en", "s", 0), (1, "a b c", "en", "s", 0), (1, None, "en", "s", 0), (2, "a", "en", "t", 0), (None, "a", "en", "t", 0)] * 7
+    docs = shared.stored(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got, texts = mixing.mix(clashing(docs.drop("n_chars"))), Counter((r[0], r[1], r[3]) for r in rows)
+    assert got.count() == len(rows)
+    again = mixing.repeated(docs)
+    assert again.columns == docs.columns
+    for k, n in Counter((r.doc_id, r.text, r.source) for r in again.collect()).items():
+        assert n <= 3 * texts[k]
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len((text or "").split())
+    want, taken = plain_targets(sizes), Counter()
+    for r in again.collect():
+        taken[r.source] += len((r.text or "").split())
+    assert all(abs(taken[s] - t) <= 3 for s, t in want.items())
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -578,6 +620,43 @@ def test_filter_against_exact_sets(spark, base):
         assert (per[:, i] >= exact).all() and per[:, i].sum() - exact.sum() <= 0.02 * n.sum()
 
 
+def test_predictions_against_exact_sets(spark, base, odd):
+    """Language and score by sets of n-grams: with a filter of few false positives they are nearly the same."""
+    model = language_id.fit(base)
+    counts = defaultdict(Counter)
+
+    def grams_of(text):
+        w = shared.Words([utf8(text)])
+        h, owner = language_id.grams(w.distinct)
+        return Counter(dict(zip(*(x.tolist() for x in np.unique(np.repeat(h, np.bincount(w.codes, minlength=len(w.distinct))[owner]), return_counts=True)), strict=True)))
+
+    for r in base.where("text is not null and lang is not null").collect():
+        counts[r.lang].update(grams_of(r.text))
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    top = Counter()
+    for k, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[k])
+    sets = {k: {g for g, n in c.items() if n / total[k] >= language_id.MIN_SHARE and n / total[k] >= language_id.RATIO * top[g]} for k, c in counts.items()}
+    rows, same = rows_of(language_id.predict(clashing(odd.unionByName(odd)), model)), []
+    for r in rows:
+        own = grams_of(r["text"])
+        if not re.search(r"[^\W\d_]", r["text"] or "") or not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        hits = {k: sum(n for g, n in own.items() if g in x) / sum(own.values()) for k, x in sets.items()}
+        best = max(hits.values())
+        same.append(hits[r["lang_pred"]] == best)
+        assert hits[r["lang_pred"]] >= best - 0.02 and r["score"] == pytest.approx(best, abs=0.02)
+    assert len(rows) == 2 * odd.count() and np.mean(same) >= 0.99
+
+
+def test_the_filter_grows_with_its_grams(spark):
+    rows = [("x", " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=8)) for i in range(j, j + 400))) for j in range(0, 8000, 400)]
+    model = language_id.fit(spark.createDataFrame([*rows, ("y", "la le li lo")], "lang string, text string"))
+    assert model.bits > language_id.LEAST_BITS and model.false_rate.max() < 0.05
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -670,7 +749,9 @@ def test_plan():
 
 
 def test_pipeline(spark, odd):
-    docs = odd.withColumn("extra", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("lang_pred", F.lit("x"))
+    docs = odd
+    for c in ["extra", "kept", "lang_pred", *(c for c in CLASHES if c not in ("kept", "lang_pred")), "column_1_", "row_key_", "copies_", "size", "nats"]:
+        docs = docs.withColumn(c, F.lit("x"))
     seen = [{r.doc_id for r in docs.collect()}]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = shared.stored(stage(spark, docs, SF))
