@@ -1,4 +1,4 @@
-"""python -m cyclemill ingest | merge | export | compact | report | ask. Exit 0, 1 if nothing worked, 2 for wrong use."""
+"""python -m cyclemill ingest | clean | merge | export | compact | report | ask. Exit 0, 1 if nothing worked, 2 for wrong use."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from cyclemill.plans.planning import REPORTS, canned, route, with_level_check
 from cyclemill.plans.report import write
 from cyclemill.result import ERROR
 from cyclemill.sources.raw import RawError
-from cyclemill.sources.store import EventStore, StoreError
+from cyclemill.sources.store import EventStore, StoreError, clean_to_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +25,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("raw", nargs="+")
     p.add_argument("--store", required=True)
     p.add_argument("--machine", required=True)
+    p = sub.add_parser("clean", help="the events of a raw file or folder as CSV")
+    p.add_argument("raw")
+    p.add_argument("into")
     p = sub.add_parser("merge", help="stores into one")
     p.add_argument("store")
     p.add_argument("sources", nargs="+")
@@ -56,6 +59,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             store = EventStore(spark, args.store)
             for path in args.raw:
                 print(json.dumps({"file": path} | store.ingest(path, args.machine)))
+        elif args.command == "clean":
+            print(json.dumps({"file": args.raw} | clean_to_csv(spark, args.raw, args.into)))
         elif args.command == "merge":
             print(json.dumps({"failed": EventStore(spark, args.store).merge(args.sources)}))
         elif args.command == "compact":

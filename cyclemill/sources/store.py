@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cyclemill.schema import EVENTS, KEY
-from cyclemill.sources.extract import changes, events
+from cyclemill.sources.extract import changes, csv_rows, events
 from cyclemill.sources.raw import policy_counts, polls
 
 TAG = {"identity": ",".join(KEY)}
@@ -36,6 +37,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def publish(spark: SparkSession, into: str, make) -> None:
+    """Give make() a folder beside `into`, and rename that once it is whole: nobody sees a half of it. An existing place is
+    refused, and what a failed attempt left aside is not in the way."""
+    if exists(spark, into):
+        raise StoreError(f"{into} exists")
+    half = f"{into.rstrip('/')}.part-{uuid.uuid4().hex[:8]}"
+    fs, p = _fs(spark, half)
+    try:
+        make(half)
+    except BaseException:
+        fs.delete(p, True)
+        raise
+    if not fs.rename(p, _fs(spark, into)[1]):
+        fs.delete(p, True)
+        raise StoreError(f"{into} could not be published")
+
+
+def clean_to_csv(spark: SparkSession, path: str, into: str, kind: str | None = None) -> dict:
+    """Events of a raw file or folder as a folder of CSV with a header, in the order of files, rows and heads; how many rows were
+    skipped or out of order. Times stay as they were read. No duplicates are dropped: that is the store's work."""
+    raw = polls(spark, path, kind)
+    publish(spark, into, lambda half: csv_rows(changes(raw)).write.option("header", True).csv(half))
+    counts = policy_counts(raw).agg(F.sum("valid").alias("valid"), F.sum("skipped").alias("skipped"), F.sum("out_of_order").alias("out_of_order")).first()
+    return {k: v or 0 for k, v in counts.asDict().items()}
+
+
 def first_of_each(df: DataFrame, order: list[str]) -> DataFrame:
     """One row per key, the first in the given order."""
     w = Window.partitionBy(*KEY).orderBy(*order)
@@ -85,9 +112,8 @@ class EventStore:
 
     def compact(self, into: str) -> EventStore:
         """A store without duplicates at a new place; of equal keys the first source file's row stays."""
-        out = EventStore(self.spark, into)
-        out.write(first_of_each(self._partitioned(), ["source_file", "cap_seq"]))
-        return out
+        publish(self.spark, into, lambda half: EventStore(self.spark, half).write(first_of_each(self._partitioned(), ["source_file", "cap_seq"])))
+        return EventStore(self.spark, into)
 
     def merge(self, sources: list[str]) -> list[str]:
         """Add the rows of other stores whose keys are not here; rows here, and earlier sources, win. Returns the sources
@@ -111,8 +137,6 @@ class EventStore:
     def export(self, into: str, since: str | None = None, until: str | None = None) -> int:
         """A Parquet folder ordered by machine, head and time; bounds are inclusive, a bare date as the upper one means
         its whole day. An existing destination is refused."""
-        if exists(self.spark, into):
-            raise StoreError(f"{into} exists")
         rows = self.read()
         if since:
             rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
@@ -120,12 +144,12 @@ class EventStore:
             until = f"{until} 23:59:59.999999" if re.fullmatch(r"\d{4}-\d{2}-\d{2}", until.strip()) else until
             rows = rows.where(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
         wanted = rows.count()
-        half = f"{into}.part"
-        rows.orderBy("machine_id", "head_id", "ts").write.mode("overwrite").parquet(half)
-        got = self.spark.read.schema(EVENTS).parquet(half).count()
-        fs, p = _fs(self.spark, half)
-        if got != wanted:
-            fs.delete(p, True)
-            raise StoreError(f"{into}: {got} rows were written, {wanted} expected")
-        fs.rename(p, _fs(self.spark, into)[1])
-        return got
+
+        def make(half: str) -> None:
+            rows.orderBy("machine_id", "head_id", "ts").write.parquet(half)
+            got = self.spark.read.schema(EVENTS).parquet(half).count()
+            if got != wanted:
+                raise StoreError(f"{into}: {got} rows were written, {wanted} expected")
+
+        publish(self.spark, into, make)
+        return wanted

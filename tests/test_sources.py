@@ -134,3 +134,29 @@ def test_other_identity_is_refused(spark, tmp_path):
     spark.range(1).select(F.lit('{"identity": "machine_id,head_id,cap_seq"}').alias("value")).write.mode("overwrite").text(str(tmp_path / "store/_meta"))
     with pytest.raises(StoreError):
         EventStore(spark, str(tmp_path / "store"))
+
+
+def test_clean_to_csv(spark, tmp_path, capsys):
+    from cyclemill.__main__ import main
+
+    into = str(tmp_path / "out")
+    assert main(["clean", example(tmp_path / "a.csv"), into], spark) == 0
+    assert json.loads(capsys.readouterr().out)["valid"] == 5
+    got = spark.read.option("header", True).csv(into)
+    assert got.columns == ["head_id", "ts", "cap_seq", "app_torque", "status", "delta", "is_fault", "aggregated", "reset"]
+    rows = [(int(r["head_id"]), r["ts"][-6:], int(r["cap_seq"]), float(r["app_torque"]), float(r["status"]), int(r["delta"]), *(r[c] == "1" for c in ("is_fault", "aggregated", "reset"))) for r in got.collect()]
+    assert sorted(rows) == sorted(EXPECTED)
+    assert main(["clean", example(tmp_path / "a.csv"), into], spark) == 1
+    assert not [p for p in tmp_path.iterdir() if ".part" in p.name]
+
+
+def test_publishing_a_failure_leaves_nothing(spark, tmp_path):
+    from cyclemill.sources.store import publish
+
+    def fail(half):
+        spark.range(3).write.parquet(half)
+        raise ValueError("half way")
+
+    with pytest.raises(ValueError):
+        publish(spark, str(tmp_path / "x"), fail)
+    assert list(tmp_path.iterdir()) == []
