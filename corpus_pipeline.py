@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclemill.llm import language_id, mixing, near_dedup, packing, quality
-from cyclemill.llm.shared import apart, ship, stored, table
+from cyclemill.llm.shared import apart, keyed, ship, stored, table, without
 
 #: Documents whose best language has a lower share of their n-grams are rejected, as those without a letter are.
 LEAST_SCORE = 0.3
@@ -33,7 +33,9 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is a language of its own. Equal rows stay or go together; ties at a band's ends stay."""
     ship(spark)
     inner = apart(docs, "text", "lang")
-    return quality.judge(inner).where("kept").select(*inner.columns).toDF(*docs.columns)
+    rows = keyed(inner)
+    judged = quality.judge(rows.select("row_key_", "text", "lang"), carry=False)  # so that texts are not written again
+    return without(rows, judged.where("not kept")).select(*inner.columns).toDF(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import WORD, apart, ranked, stored, table
+from cyclemill.llm.shared import MAX_IDS, WORD, apart, keyed, ranked, stored, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -113,12 +113,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs, each row as often as the mix takes it. Rows are told apart by a stored key of their own."""
+    """docs, each row as often as the mix takes it. Rows are told apart by a key of their own. Texts are shuffled only if the mix
+    takes more than MAX_IDS rows."""
     columns, docs = docs.columns, apart(docs, "text", "source")
     own = docs.columns
-    docs = stored(docs.withColumn("row_key_", F.monotonically_increasing_id()))
-    number = mix(docs, weights, most, "row_key_").where("copies > 0").select("row_key_", F.col("copies").alias("copies_"))
-    again = docs.join(number, "row_key_").select(*own, "copies_")
+    docs = keyed(docs)
+    number = stored(mix(docs, weights, most, "row_key_").where("copies > 0").select("row_key_", F.col("copies").cast("byte").alias("copies_")))
+    again = docs.join(F.broadcast(number) if number.count() <= MAX_IDS else number, "row_key_").select(*own, "copies_")
     return again.withColumn("copies_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).drop("copies_").toDF(*columns)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclemill.llm.components import components
-from cyclemill.llm.shared import Words, apart, mixed, slices, stored, table, utf8
+from cyclemill.llm.shared import MAX_IDS, Words, apart, keyed, mixed, slices, stored, table, utf8, without
 
 SHINGLE = 5
 PERMUTATIONS = 100
@@ -40,8 +40,6 @@ HUB_ROUNDS = 2
 #: Groups up to so many documents are compared by a join; larger ones in blocks.
 SMALL = 16
 BLOCK = 512
-#: So many ids are broadcast at most, 8 bytes each, to pick the texts to confirm; more are joined.
-MAX_IDS = 2_000_000
 
 _RNG = np.random.default_rng(20240531)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,15 +284,15 @@ def link(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, that with the smallest doc_id (a null one is the last). Rows are told apart by a
-    stored key of their own, not by doc_id. The texts are shuffled only if more than MAX_IDS rows go."""
+    key of their own, not by doc_id. The texts are shuffled only if more than MAX_IDS rows go."""
     columns, docs = docs.columns, apart(docs, "doc_id", "text")
     own = docs.columns
-    rows = stored(docs.withColumn("row_key_", F.monotonically_increasing_id()))
+    rows = keyed(docs)
     linked = link(rows.select(F.col("row_key_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key_"), "component_id")
     linked = stored(linked.join(rows.select("row_key_", "doc_id"), "row_key_"))
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key_")).alias("x"))
-    gone = stored(linked.join(first.select(F.col("x.row_key_").alias("row_key_")), "row_key_", "left_anti").select("row_key_"))
-    return rows.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "row_key_", "left_anti").select(*own).toDF(*columns)
+    gone = linked.join(first.select(F.col("x.row_key_").alias("row_key_")), "row_key_", "left_anti")
+    return without(rows, gone).select(*own).toDF(*columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -203,18 +204,21 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self._forget()
 
-    def _encode(self, parts: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+    def _forget(self) -> None:
+        """known: a number for each pre-token; its ids are size[number] ones from start[number] on in flat."""
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens one after another, and how many each has."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) == len(parts) and (not len(ids) or stop[-1] == len(ids)):
-            start = [0, *stop.tolist()]
-            self.known.update((p, ids[a:b].tobytes()) for p, a, b in zip(parts, start, start[1:], strict=False))
-        else:
-            for p, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32).tobytes()
+            return ids, np.diff(stop, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
 
     def apart(self, words: list[bytes]) -> np.ndarray:
         """Which words make their texts go to the tokenizer whole."""
@@ -224,24 +228,23 @@ class WordIds:
         return out
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids one after another, and how many each has."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        seen, known = self.words, self.known
-        new = [w for w in words if w not in seen]
-        text = normal(b"\n".join(new).decode("utf-8", "replace"))
-        split = [PRE_TOKEN.findall(w) for w in text.split("\n")] if new else []
-        fresh = list({p for parts in split for p in parts if p not in known})
-        for i in range(0, len(fresh), 50_000):
-            self._encode(fresh[i : i + 50_000])
-        seen.update((w, b"".join([known[p] for p in parts])) for w, parts in zip(new, split, strict=True))
-        own = [seen[w] for w in words]
-        return np.frombuffer(b"".join(own), np.uint32), np.array([len(x) for x in own], np.int64) // 4
+            self._forget()
+        split = [PRE_TOKEN.findall(w) for w in normal(b"\n".join(words).decode("utf-8", "replace")).split("\n")] if words else []
+        parts, known = list(itertools.chain.from_iterable(split)), self.known
+        fresh = list(dict.fromkeys(p for p in parts if p not in known))
+        new = [self._encode(fresh[i : i + 50_000]) for i in range(0, len(fresh), 50_000)]
+        known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        self.flat, self.size = np.concatenate([self.flat, *(x for x, _ in new)]), np.concatenate([self.size, *(n for _, n in new)])
+        number = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        size = self.size[number]
+        ends, last = np.cumsum(size), np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        ids = self.flat[np.repeat((np.cumsum(self.size) - self.size)[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[last], prepend=0)
 
 
 @functools.cache

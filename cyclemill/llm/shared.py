@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,35 @@ def apart(df: DataFrame, *used: str) -> DataFrame:
     return df.toDF(*(c if c in used else f"column_{i}_" for i, c in enumerate(df.columns)))
 
 
+#: So many ids or files are broadcast at most, some 8 or 100 bytes each; more go another way.
+MAX_IDS, MAX_FILES = 2_000_000, 100_000
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with row_key_, a whole number for each row that every later job finds the same, whatever is lost in between.
+
+    Rows that are read straight from Parquet files are told by file and place, so that their texts need not be written
+    again; others, or those of very many files, get a number and are stored with it.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("keyed_file_"), F.col("_metadata.row_index").alias("keyed_row_"))
+        files = sorted(df.inputFiles())
+    except AnalysisException:  # it is no plain scan
+        files = []
+    if not files or len(files) > MAX_FILES:
+        return stored(df.withColumn("row_key_", F.monotonically_increasing_id()))
+    found = placed.select("keyed_file_").distinct()  # the spelling of paths in rows; at most as many as files
+    number = stored(found.withColumn("keyed_number_", F.row_number().over(Window.orderBy("keyed_file_")) - 1))
+    key = F.shiftleft(F.col("keyed_number_").cast("long"), 40).bitwiseOR(F.col("keyed_row_")).alias("row_key_")
+    return placed.join(F.broadcast(number), "keyed_file_").select(*df.columns, key)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (row_key_ and others) but those whose row_key_ is in gone. Texts are shuffled only if more than MAX_IDS go."""
+    gone = stored(gone.select("row_key_"))
+    return rows.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "row_key_", "left_anti")
+
+
 def ranked(df: DataFrame, by: list[str], key: list[str], largest: int, chunk: int = 20_000) -> DataFrame:
     """df with rank_: from 0 within the columns `by` (nulls are a group), in an order that key settles.
 

@@ -767,6 +767,20 @@ def test_pipeline(spark, odd):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_keys_of_rows(spark, tmp_path):
+    """The same in every job, for files whose names need escapes too, and for rows that are no plain scan."""
+    path = str(tmp_path / "a b%20c")
+    spark.range(1000).withColumn("text", F.lit("x")).repartition(5).write.parquet(path)
+    for df in (spark.read.parquet(path), spark.read.parquet(path).select(F.col("id").alias("row_"), "text").where("row_ > 10"), spark.read.parquet(path).groupBy("id").count()):
+        rows = shared.keyed(df)
+        name = df.columns[0]
+        once = {r[name]: r.row_key_ for r in rows.select(name, "row_key_").collect()}
+        again = {r[name]: r.row_key_ for r in rows.where(F.col(name) % 7 == 0).coalesce(1).collect()}
+        assert len(set(once.values())) == len(once) == df.count() and all(once[k] == v for k, v in again.items())
+        assert rows.columns == [*df.columns, "row_key_"]
+        assert shared.without(rows, rows.where(F.col(name) % 2 == 0)).count() == df.where(F.col(name) % 2 == 1).count()
+
+
 def test_stages_with_repeated_and_null_ids(spark):
     a, b = "a b c d e f g h", "p q r s t u v w"
     rows = [(None, a), (None, a), (7, a), (7, a), (7, b), (8, b), (None, "only one of this kind"), (5, "one more text of five"), (5, "and another under its id"), (None, None), (None, None)]
