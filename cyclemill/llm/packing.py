@@ -188,6 +188,43 @@ def odd_points(path: str) -> np.ndarray:
     return odd
 
 
+#: Classes of code points: white space, letters, numbers, others; ODD is added to those of an odd one.
+SPACE, LETTER, NUMBER, OTHER, ODD = 0, 1, 2, 3, 4
+
+
+@functools.cache
+def classes(path: str) -> bytes:
+    """The class of each code point, compressed."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, text):
+            a, b = (x if x < 0xD800 else x + 0x800 for x in m.span())
+            out[a:b] = kind
+    return zlib.compress((out | ODD * odd_points(path).astype(np.uint8)).tobytes())
+
+
+def pre_tokens(text: str, kinds: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """What PRE_TOKEN finds in a text, and where each begins: runs of letters, single numbers, runs of others; but a single
+    apostrophe takes an ending after it along."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = kinds[points]
+    change = kind[1:] != kind[:-1]
+    begin = np.concatenate([[True], change | (kind[1:] == NUMBER)])
+    for p in np.flatnonzero(points == ord("'")).tolist():
+        if begin[p] and p + 1 < len(points) and kind[p + 1] == LETTER:
+            n = 1 if text[p + 1] in "stmd" else 2 if text[p + 1 : p + 3] in ("re", "ve", "ll") else 0
+            if n:
+                begin[p + 1] = False
+                if p + 1 + n < len(points):
+                    begin[p + 1 + n] = True
+    at = np.flatnonzero(begin)
+    ends = np.append(at[1:], len(points))
+    own = kind[at] != SPACE
+    at, ends = at[own], ends[own]
+    return [text[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)], at
+
+
 class WordIds:
     """Token ids by a tokenizer that drops white space and ends each pre-token's last token with '</w>'.
 
@@ -196,11 +233,12 @@ class WordIds:
     by the ends. Texts with a code point that is odd, or with the begin of a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, odd: np.ndarray):
+    def __init__(self, path: str, kinds: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd = odd
+        both = np.frombuffer(zlib.decompress(kinds), np.uint8)
+        self.odd, self.kinds = both >= ODD, both & (ODD - 1)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -234,22 +272,26 @@ class WordIds:
         """All words' ids one after another, and how many each has."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        split = [PRE_TOKEN.findall(w) for w in normal(b"\n".join(words).decode("utf-8", "replace")).split("\n")] if words else []
-        parts, known = list(itertools.chain.from_iterable(split)), self.known
-        fresh = list(dict.fromkeys(p for p in parts if p not in known))
-        new = [self._encode(fresh[i : i + 50_000]) for i in range(0, len(fresh), 50_000)]
+        text = normal(b"\n".join([*words, b""]).decode("utf-8", "replace"))
+        parts, at = pre_tokens(text, self.kinds) if words else ([], np.zeros(0, np.int64))
+        known = self.known
+        number = np.fromiter(map(known.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(number < 0).tolist()
+        fresh = list(dict.fromkeys(parts[i] for i in new))
         known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-        self.flat, self.size = np.concatenate([self.flat, *(x for x, _ in new)]), np.concatenate([self.size, *(n for _, n in new)])
-        number = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        number[new] = [known[parts[i]] for i in new]
+        made = [self._encode(fresh[i : i + 50_000]) for i in range(0, len(fresh), 50_000)]
+        self.flat, self.size = np.concatenate([self.flat, *(x for x, _ in made)]), np.concatenate([self.size, *(n for _, n in made)])
         size = self.size[number]
-        ends, last = np.cumsum(size), np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        ends = np.cumsum(size)
         ids = self.flat[np.repeat((np.cumsum(self.size) - self.size)[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(np.concatenate([[0], ends])[last], prepend=0)
+        stops = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == ord("\n"))  # the end of each word
+        return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(at, stops)], prepend=0)
 
 
 @functools.cache
-def word_ids(path: str, odd: bytes) -> WordIds:
-    return WordIds(path, np.unpackbits(np.frombuffer(odd, np.uint8)).astype(bool))
+def word_ids(path: str, kinds: bytes) -> WordIds:
+    return WordIds(path, kinds)
 
 
 def document_ids(texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
@@ -284,10 +326,10 @@ def document_ids(texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarr
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of docs with doc_id and text."""
-    odd = np.packbits(odd_points(path)).tobytes()  # 136 KB
+    kinds = classes(path)  # some 10 KB
 
     def run(batches):
-        ids = word_ids(path, odd)
+        ids = word_ids(path, kinds)
         for batch in batches:
             for a, b in slices(batch.column("text"), 8 << 20):
                 tokens, ends = document_ids(utf8(batch.column("text").slice(a, b - a)), ids)

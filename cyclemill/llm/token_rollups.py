@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclemill.llm.packing import document_ids, odd_points, word_ids
+from cyclemill.llm.packing import classes, document_ids, word_ids
 from cyclemill.llm.shared import WORD, shared_dir, slices, stored, table, utf8
 
 GROUP = ["source", "lang", "version"]
@@ -44,11 +44,11 @@ def counts(docs: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
 
 def tokenizer_counts(docs: DataFrame, version: str, path: str) -> DataFrame:
     """(doc_id, source, lang, version, tokens): ids by a tokenizer file that packing.WordIds can read, special ones left out."""
-    odd = np.packbits(odd_points(path)).tobytes()
+    kinds = classes(path)
 
     def run(batches):
         for batch in batches:
-            ids = word_ids(path, odd)
+            ids = word_ids(path, kinds)
             for a, b in slices(batch.column("text")):
                 _, ends = document_ids(utf8(batch.column("text").slice(a, b - a)), ids)
                 part = batch.slice(a, b - a)

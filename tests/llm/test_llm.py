@@ -700,7 +700,7 @@ def test_ids_of_any_unicode():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, rng = Tokenizer.from_file(path), random.Random(6)
     odd = packing.odd_points(path)
-    ids = packing.WordIds(path, odd)
+    ids = packing.WordIds(path, packing.classes(path))
     assert not odd[:0x250].any() and odd[0xE0FFF]
     pools = [range(32, 127), range(9, 0x250), range(0x250, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x10000), range(0x10000, 0x20000), range(0x20000, 0x110000), [ord(c) for c in "ab 's 1."]]
     pieces = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "'re", " ", "\u00c5", "A\u030a", "\u03a3", "\u0130", "\u212a"]
