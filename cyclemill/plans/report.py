@@ -12,6 +12,14 @@ from cyclemill.plans.execution import Execution
 from cyclemill.result import OK, Result
 
 
+#: Fixed values. Between two buckets: how much larger a reject rate is that has moved, how many of the steadier bucket's standard
+#: deviations apart two levels are, how much wider a spread is. Buckets with less than this share of the operations are not
+#: compared. A head stands out whose spread is so many percent over the median of the others.
+RATE_STEP, LEVEL_STEP, SPREAD_STEP, LEAST_SHARE, STANDOUT = 1.1, 5, 2.0, 0.01, 10.0
+#: Mean correlations that differ by less are the same.
+SAME_CORRELATION = 0.001
+
+
 def _percent(x: float | None) -> str:
     return "none" if x is None else f"{100 * x:.2f} %"
 
@@ -39,6 +47,74 @@ def _trend(v) -> list[str]:
     return out
 
 
+def _spread(heads: list[dict]) -> list[str]:
+    first, *rest = heads  # widest first
+    if first["stddev"] is None:
+        return ["No head has two closures, so none has a spread."]
+    others = [h["stddev"] for h in rest if h["stddev"] is not None]
+    out = [f"Head {first['head_id']} varies most: {first['stddev']:.4f} Nm" + (f", the other {len(others)} from {min(others):.4f} to {max(others):.4f}." if others else ".")]
+    middle = median(others) if others else 0
+    if not middle:
+        return out
+    over = 100 * (first["stddev"] / middle - 1)
+    return out + [f"It stands out: {over:.1f} % over the median of the others." if over >= STANDOUT else "No head stands out."]
+
+
+def _compared(v) -> list[str]:
+    step = v["change_first_to_last"] and v["change_first_to_last"]["caps_per_day_pct"]
+    out = [f"{len(v['buckets'])} buckets." + (f" Capping operations per day changed by {step:+.1f} % from the first to the last." if step is not None else "")]
+    total = sum(b["caps"] for b in v["buckets"])
+    full = [b for b in v["buckets"] if b["caps"] and b["caps"] >= LEAST_SHARE * total]
+    if left := len(v["buckets"]) - len(full):
+        out.append(f"{left} buckets hold too few operations to be compared.")
+    if len(full) < 2:
+        return out
+    a, b = full[0], full[-1]
+    rates = [x["reject_rate"] for x in (a, b)]
+    if None not in rates and any(rates):
+        moved = min(rates) == 0 or max(rates) / min(rates) >= RATE_STEP
+        out.append(f"The reject rate {'went' if moved else 'stayed, going'} from {rates[0]:.3%} in {a['bucket_start']} to {rates[1]:.3%} in {b['bucket_start']}.")
+    wide = [x for x in full if x["torque_stddev"]]
+    if wide:
+        most, least = max(wide, key=lambda x: x["torque_stddev"]), min(wide, key=lambda x: x["torque_stddev"])
+        low, high = min(wide, key=lambda x: x["torque_mean"]), max(wide, key=lambda x: x["torque_mean"])
+        if (apart := (high["torque_mean"] - low["torque_mean"]) / least["torque_stddev"]) >= LEVEL_STEP:
+            out.append(f"Torque is at another level: {low['torque_mean']:.3f} Nm in {low['bucket_start']}, {high['torque_mean']:.3f} in {high['bucket_start']}, {apart:.1f} standard deviations of the steadiest bucket apart.")
+        if most["torque_stddev"] >= SPREAD_STEP * least["torque_stddev"]:
+            out.append(f"Torque spreads {most['torque_stddev'] / least['torque_stddev']:.1f} times as wide in {most['bucket_start']} as in {least['bucket_start']}.")
+    return out
+
+
+def next_checks(r: Result) -> list[str]:
+    """What a result gives reason to look at next."""
+    if r.status != OK:
+        return []
+    v = r.values
+    if r.tool == "overview" and v["invalid_torque"]:
+        return ["See whether the torque band in the settings is that of the product that runs."]
+    if r.tool == "success_rates" and isinstance(v, list):
+        rated = [x for x in v if "head_id" in x and x["success_rate"] is not None and x["failed"]]
+        low = min(rated, key=lambda x: (x["success_rate"], x["head_id"]), default=None)
+        return [f"Look at head {low['head_id']} on the machine."] if low else []
+    if r.tool == "trend":
+        moving = [d for d in v["drift"] if d["drifting"]]
+        if moving:
+            return [f"Repeat the trend of head {moving[0]['head_id']} in a month: if it goes on in the same direction, the head wants service."]
+        return ["Repeat the trend over a longer period."] * bool(v["drift"] and all(d["insufficient"] for d in v["drift"]))
+    if r.tool == "head_correlation" and v["outliers"]:
+        low, high = v["outliers"][0], v["outliers"][-1]
+        if high["mean_correlation"] - low["mean_correlation"] < SAME_CORRELATION:
+            return ["Compare the heads' median torque: a correlation does not see a head that runs at another level."]
+        return [f"Lay head {low['head_id']}'s torque beside that of head {high['head_id']} over the same days."]
+    if r.tool == "anomalies" and v["counts"]["faults"]:
+        return ["See by day whether rejects come together in time."]
+    if r.tool == "event_gaps" and v["gaps"]:
+        return ["Ask whether the machine stood in the longest gap or its files are missing."]
+    if r.tool == "compare_periods" and len(_compared(v)) > 2:
+        return ["Ask what was changed on the line between the buckets that differ."]
+    return []
+
+
 def findings(r: Result) -> list[str]:
     """Sentences about one result."""
     if r.status != OK:
@@ -52,9 +128,7 @@ def findings(r: Result) -> list[str]:
         return _success(v, by)
     if r.tool == "torque_stats":
         if isinstance(v, list):
-            wide, middle = v[0], [h["stddev"] for h in v if h["stddev"] is not None]
-            out = [f"Head {wide['head_id']} varies most: {wide['stddev'] or 0:.4f} Nm."]
-            return out + ["That is twice the median spread or more."] * bool(middle and wide["stddev"] and wide["stddev"] >= 2 * median(middle))
+            return _spread(v)
         return [f"Torque {v['mean']:.3f} Nm in the mean, {v['min']:.3f} to {v['max']:.3f}, median {v['median']:.3f}, over {v['n']:,} closures."]
     if r.tool == "capping_speed":
         return [f"{v['mean_pieces_per_hour']:,.1f} pieces per active hour, over {len(v['buckets'])} buckets."]
@@ -74,9 +148,7 @@ def findings(r: Result) -> list[str]:
         x = v["longest_gap"]
         return [f"{v['gap_count']} gaps of more than {v['min_seconds']} s, {v['total_gap_hours']:.2f} h together." + (f" The longest, {x['duration_seconds']:,} s, begins at {x['start']}." if x else "")]
     if r.tool == "compare_periods":
-        x = v["change_first_to_last"]
-        step = x and x["caps_per_day_pct"]
-        return [f"{len(v['buckets'])} buckets." + (f" Capping operations per day changed by {step:+.1f} % from the first to the last." if step is not None else "")]
+        return _compared(v)
     if r.tool == "closure_filter":
         return [f"{v['count']:,} of {v['capping_operations']:,} capping operations match."]
     if r.tool == "failure_correlation":
@@ -118,6 +190,8 @@ def markdown(run: Execution) -> str:
     out += ["## Findings", ""]
     for r in done:
         out += [f"### {r.tool}", "", *(f"- {x}" for x in findings(r)), ""]
+    checks = list(dict.fromkeys(x for r in done for x in next_checks(r)))
+    out += ["## Next checks", "", *([f"- {x}" for x in checks] or ["- none that these results call for"]), ""]
     out += ["## Tables", "", *(x for r in done for x in tables(r))]
     out += ["## Method", "", *dict.fromkeys(f"- {r.tool}: {a}" for r in run.results for a in r.provenance.assumptions), ""]
     out += ["## Limits", "", *([f"- {r.tool}: {r.status}, {r.message}" for r in failed] or ["- every step had an answer"]), ""]
@@ -176,5 +250,5 @@ _FIGURE = re.compile(r"\d[\d,]*\.?\d*")
 
 def ungrounded(answer: str, run: Execution, question: str = "") -> list[str]:
     """Numbers in a text that are in no finding and not in the question: a written answer with any is not to be shown."""
-    known = {x.replace(",", "").rstrip(".") for t in [question, *(s for r in run.results for s in findings(r))] for x in _FIGURE.findall(t)}
+    known = {x.replace(",", "").rstrip(".") for t in [question, *(s for r in run.results for s in [*findings(r), *next_checks(r)])] for x in _FIGURE.findall(t)}
     return [x for x in _FIGURE.findall(answer) if x.replace(",", "").rstrip(".") not in known]

@@ -79,3 +79,28 @@ def test_command_line(spark, tmp_path):
     assert main(["report", "kpi", "--config", str(tmp_path / "none.json")], spark) == 2
     (tmp_path / "n.json").write_text(json.dumps({"store_path": str(tmp_path / "no")}))
     assert main(["report", "kpi", "--config", str(tmp_path / "n.json")], spark) == 1
+
+
+def test_findings_name_steps_and_next_checks():
+    from datetime import datetime
+
+    from cyclemill.plans.report import findings, next_checks
+    from cyclemill.result import ok
+
+    def bucket(month, caps, rate, mean, sd):
+        return {"bucket_start": datetime(2026, month, 1), "caps": caps, "reject_rate": rate, "torque_mean": mean, "torque_stddev": sd}
+
+    steady = [bucket(2, 1000, 0.01, 2.0, 0.02), bucket(3, 1000, 0.0105, 2.05, 0.03)]
+    moved = [bucket(1, 5, 0.5, 9.0, 0.0001), bucket(2, 1000, 0.01, 2.0, 0.02), bucket(3, 1000, 0.02, 2.2, 0.05)]
+    said = {}
+    for name, buckets in (("steady", steady), ("moved", moved)):
+        r = ok("compare_periods", {"buckets": buckets, "change_first_to_last": None}, None, 1)
+        said[name] = " ".join(findings(r)), next_checks(r)
+    assert "stayed" in said["steady"][0] and "level" not in said["steady"][0] and "spreads" not in said["steady"][0] and not said["steady"][1]
+    assert all(x in said["moved"][0] for x in ("1 buckets hold too few", "went from 1.000%", "10.0 standard deviations", "2.5 times as wide")) and said["moved"][1]
+    heads = [{"head_id": h, "stddev": x} for h, x in ((7, 0.03), (1, 0.021), (2, 0.02))]
+    assert "stands out" in " ".join(findings(ok("torque_stats", heads, None, 1))) and "No head stands out" in " ".join(findings(ok("torque_stats", heads[1:], None, 1)))
+    same = [{"head_id": h, "mean_correlation": x} for h, x in ((1, 0.9991), (2, 0.9995))]
+    assert "median torque" in next_checks(ok("head_correlation", {"outliers": same}, None, 1))[0]
+    apart = [{"head_id": 3, "mean_correlation": 0.2}, *same]
+    assert "head 3" in next_checks(ok("head_correlation", {"outliers": apart}, None, 1))[0]
