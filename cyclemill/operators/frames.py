@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cyclemill.config import Config
 from cyclemill.functions import exprs as X
 from cyclemill.functions.stats import DRIFT_SCHEMA, drift_of
+from cyclemill.workers import ship
 
 BIN = 0.01
 
@@ -222,6 +223,7 @@ def series(events: DataFrame, cfg: Config, signal: str, by: str, window: int) ->
 
 def drift(buckets: DataFrame) -> DataFrame:
     """Mann-Kendall per head. A head's buckets, a few thousand hours or days, are one small group."""
+    ship(buckets.sparkSession)
     found = buckets.select("head_id", "bucket", "value").groupBy("head_id").applyInPandas(drift_of, DRIFT_SCHEMA)
     return found.orderBy(F.desc(F.abs("tau")), "head_id")
 

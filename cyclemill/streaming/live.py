@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cyclemill.schema import KEY
 from cyclemill.sources.extract import INT_MAX
+from cyclemill.workers import ship
 
 STATE = "counts array<bigint>"
 _OUT = "machine_id string, head_id short, ts timestamp_ntz, cap_seq long, app_torque float, status float, delta int, is_fault boolean, aggregated boolean, is_reset boolean"
@@ -54,6 +55,7 @@ def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def live_events(polls: DataFrame) -> DataFrame:
     """Events of a stream (machine_id, file, at long, ts timestamp_ntz, counts, torques, statuses) of valid polls."""
+    ship(polls.sparkSession)
     rows = polls.select("machine_id", "file", "at", "ts", "counts", "torques", "statuses")
     return rows.groupBy("machine_id", "file").applyInPandasWithState(_changes, _OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
