@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from cyclemill.llm import backoff, language_id, media, mixing, near_dedup, packing, preferences, quality, token_rollups, url_rules
+from cyclemill.llm import backoff, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, quality, token_rollups, url_rules
 
 
 def queries() -> dict[str, Callable]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op8_stupid_backoff": backoff.op8_stupid_backoff,
         "op9_language_id": language_id.op9_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_token_rollups": token_rollups.ORACLE,
         "op7_url_filters": url_rules.ORACLE,
         "op8_stupid_backoff": backoff.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
     }

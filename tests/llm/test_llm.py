@@ -52,7 +52,7 @@ def utf8(text):
 
 
 def test_registered():
-    assert list(catalog.queries()) == ["pipeline", *(k for n in range(1, 11) for k in catalog.queries() if k.startswith(f"op{n}_"))]
+    assert list(catalog.queries()) == ["pipeline", *(k for n in range(1, 14) for k in catalog.queries() if k.startswith(f"op{n}_"))]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
