@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from cyclemill.llm import backoff, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, quality, token_rollups, url_rules
+from cyclemill.llm import backoff, conversation_repair, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, quality, token_rollups, url_rules
 
 
 def queries() -> dict[str, Callable]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable]:
         "op9_language_id": language_id.op9_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": url_rules.ORACLE,
         "op8_stupid_backoff": backoff.ORACLE,
         "op11_hard_negatives": hard_negatives.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE,
     }
