@@ -379,7 +379,7 @@ with recursive polynomials as (
 ), rows as materialized (
   select conv_id, i, role, text, initial, blank or again > 1 as must, (cut and not blank and again = 1)::bigint as late from faults
 ), counts as (
-  select conv_id, coalesce(least(max(turn)::hugeint - min(turn) + 1 - count(distinct turn), 9223372036854775807), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (not blank and again > 1) as duplicate, count(*) filter (not blank and again = 1 and cut) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  select conv_id, least(coalesce(max(turn)::hugeint - min(turn) + 1 - count(distinct turn), 0), 9223372036854775807) as gaps, count(*) filter (blank) as blank, count(*) filter (not blank and again > 1) as duplicate, count(*) filter (not blank and again = 1 and cut) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
   from faults group by conv_id
 ), ways as (
   select conv_id, n as i, {{'c': 0::bigint, 'e': '', 't': []::varchar[]}} as f0, {{'c': 4::bigint, 'e': 'II', 't': ['user:', 'assistant:']}} as f1, {{'c': 2::bigint, 'e': 'I', 't': ['assistant:']}} as f2, {{'c': 0::bigint, 'e': '', 't': []::varchar[]}} as f3
