@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from cyclemill.llm import backoff, conversation_repair, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, quality, token_rollups, url_rules
+from cyclemill.llm import backoff, conversation_repair, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, pu_quality, quality, token_rollups, url_rules
 
 
 def queries() -> dict[str, Callable]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable]:
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_quality_classifier": pu_quality.op13_quality_classifier,
     }
 
 

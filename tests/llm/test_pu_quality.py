@@ -1,0 +1,117 @@
+"""The classifier of positive and unlabelled rows: its risk by plain sums, its prior, features by loops, accuracy on held-out labels."""
+
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cyclemill.llm import pu_quality, shared
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_features_by_loops():
+    texts = ["", " \n\t ", "One two one two one two.\nOne two one two one two.\n\nEnd!", "a#b &&& x" * 30, "É日本 ́x 12,5 ?!", "w" * 5000 + " " + "w" * 26, "A\xa0b"]
+    got = pu_quality.features([t.encode() for t in texts])
+    for t, row in zip(texts, got):
+        own = dict(zip(pu_quality.KINDS + pu_quality.COUNTS, row))
+        words, lines = WORD.findall(t), [x for x in t.encode().split(b"\n") if x.strip()]
+        n, chars = max(1, len(words)), max(1, len(t))
+        three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        covered = {i + k for i, x in enumerate(three) if three.count(x) > 1 for k in range(3)}
+        want = {
+            "lower": math.sqrt(sum(c.islower() for c in t) / chars),
+            "symbol": math.sqrt(sum(c in "#*$%&|<>" for c in t) / chars),
+            "words": math.log1p(len(words)),
+            "word_length": math.log1p(sum(map(len, words)) / n),
+            "distinct": math.sqrt(len(set(words)) / n),
+            "repeated": math.sqrt(len(covered) / n),
+            "doubled": math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / n),
+            "commonest": math.sqrt(max(map(words.count, words), default=0) / n),
+            "long_words": math.sqrt(sum(len(w) > 25 for w in words) / n),
+            "lines": math.log1p(len(lines)),
+            "same_lines": math.sqrt((len(lines) - len(set(lines))) / max(1, len(lines))),
+        }
+        assert {k: own[k] for k in want} == pytest.approx(want)
+    assert np.isfinite(pu_quality.features([b"\xff\xfe odd", b"fine"])).all()
+
+
+@pytest.fixture(scope="module")
+def heaps(spark):
+    """Two overlapping heaps of rows, 70 % of them good; some of the good ones trusted."""
+    shared.ship(spark)
+    rng = np.random.default_rng(2)
+    good = rng.random(6000) < 0.7
+    x = rng.normal(size=(6000, pu_quality.WIDTH)) + np.where(good, 1.5, -1.5)[:, None] * (np.arange(pu_quality.WIDTH) < 2)
+    positive = good & (rng.random(6000) < 0.3)
+    rows = [([float(v) for v in r], bool(p), bool(u)) for r, p, u in zip(x, positive, rng.random(6000) < 0.8)]
+    return good, shared.stored(spark.createDataFrame(rows, "features array<float>, positive boolean, unlabelled boolean").repartition(3))
+
+
+def test_risk_by_plain_sums(heaps):
+    _, rows = heaps
+    some = rows.collect()
+    x, p, u = np.array([r.features for r in some]), np.array([r.positive for r in some]), np.array([r.unlabelled for r in some])
+    mean, spread, rng = x.mean(0), x.std(0), np.random.default_rng(4)
+    w = rng.normal(size=pu_quality.WIDTH + 1) * 0.3
+
+    def risk(w):
+        z = np.hstack([np.clip((x - mean) / spread, -4, 4), np.ones((len(x), 1))])
+        f = z @ w
+        bad = np.log1p(np.exp(f[u])).mean() - 0.6 * np.log1p(np.exp(f[p])).mean()
+        return 0.6 * np.log1p(np.exp(-f[p])).mean() + bad + pu_quality.L2 * (w[:-1] ** 2).sum() / 2, bad
+
+    got = pu_quality._risk(rows, pu_quality.Model(mean, spread, w, 0.6), 0.6)
+    assert got[:2] == pytest.approx(risk(w), rel=1e-6)
+    for k in range(0, len(w), 5):
+        e = np.eye(len(w))[k] * 1e-5
+        assert got[2][k] == pytest.approx((risk(w + e)[0] - risk(w - e)[0]) / 2e-5, abs=1e-5)
+
+
+def test_prior_and_least_risk(heaps):
+    good, rows = heaps
+    model = pu_quality.fit(rows)
+    assert model.prior == pytest.approx(good.mean(), abs=0.06)
+    risk, bad, slope, _ = pu_quality._risk(rows, model, model.prior)
+    assert bad >= 0 and np.abs(slope).max() < 2e-2
+    again = pu_quality.fit(rows.repartition(5))
+    assert again.weights == pytest.approx(model.weights, abs=1e-3)
+
+
+def test_too_high_a_prior_is_not_fitted_away(heaps):
+    """With a prior far above the share of good rows the unbiased risk on bad rows would go below zero."""
+    _, rows = heaps
+    start = pu_quality.Model(np.zeros(pu_quality.WIDTH), np.ones(pu_quality.WIDTH), np.zeros(pu_quality.WIDTH + 1), 0.99)
+    found = pu_quality.minimise(rows, start, 0.99)
+    risk, bad, *_ = pu_quality._risk(rows, found, 0.99)
+    assert bad >= 0 and risk <= pu_quality._risk(rows, start, 0.99)[0]
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "Good text. " * 40, 1), (1, "Good text. " * 40, 1), (2, None, 1), (3, "", 1), (None, "x y", 1), (4, "## " * 100_000, 1)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 0), (3, None), (None, 1), (4, 0)], "doc_id long, quality int")
+    rows = pu_quality.with_labels(pu_quality.featured(shared.apart(docs, "doc_id", "text")), labels)
+    assert sorted((r.doc_id or 0, r.trusted) for r in rows.collect()) == [(0, False), (1, True), (1, True), (2, False), (3, False), (4, False)]
+    learn = rows.select("features", F.col("trusted").alias("positive"), F.lit(True).alias("unlabelled"))
+    scores = [r.score for r in pu_quality.scored(rows, pu_quality.fit(learn)).collect()]
+    assert len(scores) == 6 and all(0 <= s <= 1 for s in scores)
+    for none in (learn.where("not positive"), learn.limit(0), learn.withColumn("unlabelled", F.lit(False))):
+        assert pu_quality.fit(none) is None
+    assert {r.score for r in pu_quality.scored(rows, None).collect()} == {0.5}
+
+
+def test_held_out(spark):
+    """On the supplied rows: labels of held-out documents are met, and nothing but text and trusted labels is used."""
+    sf = "/root/testdata/sf0.01"
+    got = pu_quality.op13_quality_classifier(spark, sf).collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in got)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert np.mean([(s >= 0.3) == y for s, y in held]) >= 0.95
+    pairs = [(a > b) for a, y in held for b, z in held if y > z]
+    assert np.mean(pairs) >= 0.99
