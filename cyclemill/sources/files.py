@@ -14,6 +14,14 @@ def fs_of(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _made(spark: SparkSession, path: str):
+    """As fs_of, in a folder that exists, by the file system that a mount point leads to."""
+    fs, p = fs_of(spark, path)
+    fs.mkdirs(p.getParent())
+    real = spark._jvm.org.apache.hadoop.fs.Path(fs.resolvePath(p.getParent()), p.getName())
+    return real.getFileSystem(spark._jsc.hadoopConfiguration()), real
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = fs_of(spark, path)
     return fs.exists(p)
@@ -33,8 +41,7 @@ def moved(spark: SparkSession, source: str, place: str) -> bool:
     A plain rename would put the folder into the one that is there. The file system itself refuses it here: a local one as
     no folder replaces one that isn't empty, others by a rename without overwriting, which a name node settles.
     """
-    (fs, src), (_, dst) = fs_of(spark, source), fs_of(spark, place)
-    fs.mkdirs(dst.getParent())
+    (fs, src), (_, dst) = _made(spark, source), _made(spark, place)
     if _is_local(fs):
         try:
             os.rename(_local(src), _local(dst))
@@ -57,8 +64,7 @@ def moved(spark: SparkSession, source: str, place: str) -> bool:
 def created(spark: SparkSession, place: str, text: str) -> bool:
     """A file of this text, whole from the moment it is seen, unless the place exists (False)."""
     aside = f"{place}.part-{uuid.uuid4().hex[:8]}"
-    (fs, src), (_, dst) = fs_of(spark, aside), fs_of(spark, place)
-    fs.mkdirs(dst.getParent())
+    (fs, src), (_, dst) = _made(spark, aside), _made(spark, place)
     if _is_local(fs):
         with open(_local(src), "w", encoding="utf-8") as f:
             f.write(text)
