@@ -29,7 +29,7 @@ def png(b: bytes, at: int) -> int | None:
     while i + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, i)
         end = i + 12 + n
-        if end > len(b) or (kind == b"IHDR") != first or zlib.crc32(b[i + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+        if end > len(b) or (kind == b"IHDR") != first or first and n != 13 or zlib.crc32(b[i + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
             return None
         if kind == b"IEND":
             return end - at
@@ -37,55 +37,74 @@ def png(b: bytes, at: int) -> int | None:
     return None
 
 
-def gif(b: bytes, at: int) -> int | None:
-    """Screen descriptor, blocks of sub-blocks, trailer."""
+class Finds:
+    """Next places of patterns in a blob. A search that begins between an earlier one's begin and its find is known already, so
+    many files' searches together read the blob once."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+        self.known: dict[object, tuple[int, int]] = {}
+        #: Of GIF files: where a chain of sub-blocks ends; where the blocks from a place on end (None: nowhere), and if one is an image.
+        self.chains: dict[int, int] = {}
+        self.blocks: dict[int, tuple[int | None, bool]] = {}
+
+    def next(self, pattern: bytes | re.Pattern, at: int) -> int:
+        """-1 if there is none."""
+        begin, found = self.known.get(pattern, (0, -2))
+        if not (found == -1 or found >= at) or begin > at or found == -2:
+            m = pattern.search(self.blob, at) if isinstance(pattern, re.Pattern) else None
+            found = (m.start() if m else -1) if isinstance(pattern, re.Pattern) else self.blob.find(pattern, at)
+            self.known[pattern] = (at, found)
+        return found
+
+
+def gif(b: bytes, at: int, finds: Finds | None = None) -> int | None:
+    """Screen descriptor, blocks of sub-blocks, trailer. Chains of sub-blocks, and of blocks, that another file's search has followed
+    already are known."""
     if at + 13 > len(b):
         return None
+    finds = finds or Finds(b)
     flags = b[at + 10]
     i = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
 
     def past(i: int) -> int:
-        while i < len(b) and b[i]:
+        way = []
+        while i < len(b) and b[i] and i not in finds.chains:
+            way.append(i)
             i += b[i] + 1
-        return i + 1
+        end = finds.chains.get(i, i + 1)
+        finds.chains.update(dict.fromkeys(way, end))
+        return end
 
-    images = 0
+    way: list[int] = []  # where blocks begin, and of each whether it is an image
+    images: list[bool] = []
+    end, later = None, False
     while i < len(b):
+        if i in finds.blocks:
+            end, later = finds.blocks[i]
+            break
         if b[i] == 0x3B:
-            return i + 1 - at if images else None
+            end = i + 1
+            break
+        way.append(i)
+        images.append(b[i] == 0x2C)
         if b[i] == 0x21:
             i = past(i + 2)
         elif b[i] == 0x2C and i + 10 <= len(b):
             local = b[i + 9]
             i = past(i + 10 + (3 << ((local & 7) + 1) if local & 128 else 0) + 1)
-            images += 1
         else:
-            return None
-    return None
+            break
+    for start, image in zip(reversed(way), reversed(images), strict=True):
+        later |= image
+        finds.blocks[start] = (end, later)
+    return end - at if end is not None and later else None
 
 
 #: What ends the data of a scan: a marker that is no restart, and no 0xFF of the data.
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
-class Finds:
-    """Next places of patterns in a blob. A search that begins between an earlier one's begin and its find is known already, so
-    many files' searches together read the blob once."""
-
-    def __init__(self, blob: bytes):
-        self.blob = blob
-        self.known: dict[object, tuple[int, int]] = {}
-
-    def next(self, pattern: bytes | re.Pattern, at: int) -> int:
-        """-1 if there is none."""
-        begin, found = self.known.get(pattern, (0, -2))
-        if not (found == -1 or found >= at) or begin > at or found == -2:
-            m = pattern.search(self.blob, at) if isinstance(pattern, re.Pattern) else None
-            found = (m.start() if m else -1) if isinstance(pattern, re.Pattern) else self.blob.find(pattern, at)
-            self.known[pattern] = (at, found)
-        return found
-
-
 def jpeg(b: bytes, at: int, finds: Finds | None = None) -> int | None:
     """Segments of given lengths up to the scans, and scan data up to the end marker. 0xFF may be repeated before a marker."""
     finds = finds or Finds(b)
@@ -190,7 +209,7 @@ def carve(blob: bytes) -> list[tuple[int, int, str]]:
     for last, i in _automaton().iter(blob.decode("latin-1")):
         magic, kind, valid = SIGNATURES[i]
         at = last + 1 - len(magic)
-        if at >= over and (n := valid(blob, at, finds) if valid in (jpeg, pdf) else valid(blob, at)):
+        if at >= over and (n := valid(blob, at, finds) if valid in (gif, jpeg, pdf) else valid(blob, at)):
             out.append((at, n, kind))
             over = at + n
     return out
@@ -316,6 +335,8 @@ def _read(batches):
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_bytes and media_sha256 are those of the media file as it was carved from its blob; in two of CASES cases the blob that is
+    stored has other bytes before and after it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = stored(docs.mapInArrow(_store, "doc_id long, n_bytes long, declared string, media binary"))
     return files.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, type_changed boolean")

@@ -80,17 +80,27 @@ def apart(df: DataFrame, *used: str) -> DataFrame:
 MAX_IDS, MAX_FILES = 2_000_000, 100_000
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is columns and conditions over one relation, so that a row of that is a row of df at most once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.deterministic() and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """df with row_key_, a whole number for each row that every later job finds the same, whatever is lost in between.
 
-    Rows that are read straight from Parquet files are told by file and place, so that their texts need not be written
-    again; others, or those of very many files, get a number and are stored with it.
+    Rows of a plain scan of Parquet files are told by file and place, so that their texts need not be written again; others,
+    as those of an explode, a join or a union, and those of very many files, get a number and are stored with it.
     """
-    try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("keyed_file_"), F.col("_metadata.row_index").alias("keyed_row_"))
-        files = sorted(df.inputFiles())
-    except AnalysisException:  # it is no plain scan
-        files = []
+    files: list[str] = []
+    if _is_scan(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias("keyed_file_"), F.col("_metadata.row_index").alias("keyed_row_"))
+            files = sorted(df.inputFiles())
+        except AnalysisException:  # files of another format
+            pass
     if not files or len(files) > MAX_FILES:
         return stored(df.withColumn("row_key_", F.monotonically_increasing_id()))
     found = placed.select("keyed_file_").distinct()  # the spelling of paths in rows; at most as many as files

@@ -3,9 +3,9 @@
 A batch of changes (inserts, deletes, revised counts) becomes signed ledger rows, found by a join with what the ledger
 holds of the same documents, and their sums, the batch's delta. Totals are the sum of the deltas of all committed batches.
 The ledger lies in BUCKETS parts by the documents' hash: a batch reads the parts that its documents fall in, and keeps
-their rows alone before it adds anything up. Ledger and delta are written aside and committed together by one rename; a
-batch that is sent again after that changes nothing. Of two that commit the same batch at once, one wins; different batches
-must be committed one after another, as each builds on what was before.
+their rows alone before it adds anything up. Ledger and delta are written aside and committed together by one rename that
+replaces nothing; a batch that is sent again after that changes nothing. Of several that commit the same batch at once, one
+wins and the others are told; different batches must be committed one after another, as each builds on what was before.
 
 Documents are told apart by doc_id. An insert of a document that is there, or a revision of one that is not, sets its count; a
 delete of one that is not there does nothing. Of several changes of a document and version in a batch, repeated rows too, the
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from cyclemill.llm.packing import classes, document_ids, word_ids
 from cyclemill.llm.shared import WORD, shared_dir, slices, stored, table, utf8
+from cyclemill.sources.files import deleted, moved, names_in
 
 GROUP = ["source", "lang", "version"]
 #: Tokenizer versions that Spark counts by itself: a token is a match.
@@ -63,16 +64,8 @@ class Rollups:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def committed(self) -> list[int]:
-        fs, root = self._fs(f"{self.path}/batches")
-        if not fs.exists(root):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(root))
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch="))
+        return sorted(int(n.partition("=")[2]) for n in names_in(self.spark, f"{self.path}/batches") if n.startswith("batch="))
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         batches = self.committed()
@@ -100,13 +93,10 @@ class Rollups:
         out.unionByName(into).repartition("bucket").write.partitionBy("bucket").parquet(f"{aside}/kind=ledger")
         rows = self.spark.read.schema(f"{_LEDGER}, bucket int").parquet(f"{aside}/kind=ledger")
         rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{aside}/kind=delta")
-        fs, made = self._fs(aside)
-        fs.mkdirs(self._fs(f"{self.path}/batches")[1])
-        place = self._fs(f"{self.path}/batches/batch={batch}")[1]
-        if fs.exists(place) or not fs.rename(made, place):
-            fs.delete(made, True)
-            return False
-        return True
+        if moved(self.spark, aside, f"{self.path}/batches/batch={batch}"):
+            return True
+        deleted(self.spark, aside)
+        return False
 
     def totals(self) -> DataFrame:
         rows = self._read("delta", "source string, lang string, version string, docs long, tokens long")

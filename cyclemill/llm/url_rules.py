@@ -4,7 +4,9 @@ A key is a host with its labels reversed, a zero character, and a path. All keys
 keys that begin with the rule's own; as a rule also fits subdomains, a url has a key for each suffix of its host. Urls
 (distinct hosts and paths) and rules are dealt out by key range and sorted; one sweep over a range keeps the stack of the
 rules whose interval is open, the last one being the longest that fits. A range starts with the rules that are open at
-its lower bound, so neither a host nor a rule that covers many ranges is gathered in one task.
+its lower bound, so neither a host nor a rule that covers many ranges is gathered in one task. Only suffixes that some rule's
+host equals get a key. A key that many urls share, as `com` and `/`, has several ranges of its own, to which its urls
+are dealt by hash; each starts with the rules that are open at that key.
 
 The range bounds come from a sample of keys; they settle where rows go, not what comes out.
 
@@ -16,6 +18,7 @@ verdict is DEFAULT. Repeated rows give a row each. No rule: every verdict is DEF
 from __future__ import annotations
 
 import bisect
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,23 +51,41 @@ def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _keys(df: DataFrame, depths) -> DataFrame:
-    """df with key, for each depth (number of labels) of its host."""
+    """df with key and suffix_, for each depth (number of labels) of its host."""
     labels = F.split("host", "[.]")
     own = df.withColumn("labels_", F.reverse(labels))
-    own = own.withColumn("depth_", depths(F.size("labels_")))
-    return own.withColumn("key", F.concat(F.array_join(F.expr("slice(labels_, 1, depth_)"), "."), F.lit("\0"), F.col("path"))).drop("labels_", "depth_")
+    own = own.withColumn("depth_", depths(F.size("labels_"))).withColumn("labels_", F.expr("slice(labels_, 1, depth_)"))
+    key = F.concat(F.array_join("labels_", "."), F.lit("\0"), F.col("path"))
+    return own.withColumn("key", key).withColumn("suffix_", F.array_join(F.reverse("labels_"), ".")).drop("labels_", "depth_")
 
 
-def _ranged(bounds: list[str]):
+def _ranged(bounds: list[str], heavy: dict[str, tuple[int, int]]):
+    """heavy: a key's first own range, and how many it has."""
+
     def run(batches):
         cuts = [b.encode() for b in bounds]
         for batch in batches:
-            at = [bisect.bisect_right(cuts, k.encode()) for k in batch.column("key").to_pylist()]
+            at = []
+            for key, kind, host, path in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "host", "path")), strict=True):
+                first, many = heavy.get(key, (0, 0)) if kind else (0, 0)
+                at.append(first + zlib.crc32(f"{host}\0{path}".encode()) % many if many else bisect.bisect_right(cuts, key.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns[1:]], batch.schema.names)
 
     return run
 
 
+def _bounds(found: list[str], parts: int) -> tuple[list[str], dict[str, tuple[int, int]]]:
+    """Bounds of ranges out of sampled keys, and the own ranges of keys that take up several of them."""
+    cuts = sorted(found, key=lambda x: x.encode())[:: max(1, len(found) // parts)][1:]
+    bounds, heavy = list(dict.fromkeys(cuts)), {}
+    at = len(bounds) + 1
+    for b in bounds:
+        if (many := cuts.count(b)) > 1:
+            heavy[b] = (at, many)
+            at += many
+    return bounds, heavy
+
+
 def _sweep(batches):
     """(host, path, rule_host, rule, verdict) for each key of a url that some rule fits."""
     stack: list[tuple] = []
@@ -90,19 +111,19 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     no = F.lit(None).cast("string")
-    points = _keys(urls.select("host", "path").distinct(), lambda n: F.explode(F.sequence(F.lit(1), n)))
-    points = points.select(F.lit(0).alias("range"), "key", F.lit(1).alias("kind"), "host", "path", no.alias("rule_host"), no.alias("rule"), no.alias("verdict"))
     starts = stored(_keys(rules, lambda n: n).select(F.lit(0).alias("range"), "key", F.lit(0).alias("kind"), no.alias("host"), no.alias("path"), F.col("host").alias("rule_host"), F.concat("host", "path").alias("rule"), "verdict"))
-    points = stored(points)
+    points = _keys(urls.select("host", "path").distinct(), lambda n: F.explode(F.sequence(F.lit(1), n)))
+    points = points.join(starts.select(F.col("rule_host").alias("suffix_")).distinct(), "suffix_", "left_semi")
+    points = stored(points.select(F.lit(0).alias("range"), "key", F.lit(1).alias("kind"), "host", "path", no.alias("rule_host"), no.alias("rule"), no.alias("verdict")))
     count = points.count()
     fraction = min(1.0, KEYS_A_RANGE * parts / max(1, count))
-    found = sorted({r["key"] for r in points.select("key").sample(fraction, 11).collect()}, key=lambda x: x.encode())
-    bounds = found[:: max(1, len(found) // parts)][1:]
-    rows = points.unionByName(starts).mapInArrow(_ranged(bounds), _ROW)
+    bounds, heavy = _bounds([r["key"] for r in points.select("key").sample(fraction, 11).collect()], parts)
+    rows = points.unionByName(starts).mapInArrow(_ranged(bounds, heavy), _ROW)
     if bounds:  # the rules that are open where a range begins
-        heads = spark.createDataFrame([(i + 1, b) for i, b in enumerate(bounds)], "range int, bound string")
-        parts_of = "explode(transform(sequence(1, greatest(1, length(bound) - 1)), n -> substring(bound, 1, n))) as key"
-        carried = heads.where("length(bound) > 1").selectExpr("range", parts_of).join(starts.drop("range"), "key").select(*rows.columns)
+        own = [(first + k, b, len(b)) for b, (first, many) in heavy.items() for k in range(many)]
+        heads = spark.createDataFrame([*((i + 1, b, len(b) - 1) for i, b in enumerate(bounds)), *own], "range int, bound string, most int")
+        parts_of = "explode(transform(sequence(1, most), n -> substring(bound, 1, n))) as key"
+        carried = heads.where("most > 0").selectExpr("range", parts_of).join(starts.drop("range"), "key").select(*rows.columns)
         rows = rows.unionByName(carried)
     swept = rows.repartition(parts, "range").sortWithinPartitions("range", "key", "kind").mapInArrow(_sweep, "host string, path string, rule_host string, rule string, verdict string")
     best = swept.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), F.length("rule_host"), "rule", "verdict")).alias("b"))
