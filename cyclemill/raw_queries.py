@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from cyclemill import queries as Q
 from cyclemill.schema import EVENTS, HEADS, RAW_COLUMNS
-from cyclemill.sources.extract import changes, events
-from cyclemill.sources.raw import policy_counts, polls
+from cyclemill.sources.extract import changes, events, policy_counts
+from cyclemill.sources.raw import every_row
 from cyclemill.sources.scratch import scratch_dir
 from cyclemill.sources.store import EventStore
 
@@ -66,7 +66,7 @@ def _day() -> Column:
 
 
 def read_polls(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return polls(spark, written(spark, sf_dir, kind) + "/day=*", kind)
+    return every_row(spark, written(spark, sf_dir, kind) + "/day=*", kind)
 
 
 def extracted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
