@@ -29,8 +29,8 @@ from cyclemill.sources.files import first_bytes, fs_of
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _ODD = r"^\s*[+-]?(inf|infinity|nan)\s*$"
 FLOAT_MAX, COUNT_MAX = 3.4028234663852886e38, float(2**53)
-#: Bytes of a file's begin that are looked at, and files at a time.
-BEGIN, AT_ONCE = 1 << 16, 16
+#: Bytes of a file's begin that are looked at, of JSON, where an object may lack a column, some hundred objects; and files at a time.
+BEGIN, JSON_BEGIN, AT_ONCE = 1 << 16, 1 << 20, 16
 
 
 class RawError(ValueError):
@@ -67,15 +67,37 @@ def _csv_kind(spark: SparkSession, file: str) -> tuple[str | None, str]:
     return (_wrong([c.removesuffix("\r") for c in line.split(",")], ordered=True) if line else "the file is empty"), "csv"
 
 
+def _objects(text: str, array: bool) -> list[list[tuple[str, object]]]:
+    """The whole objects that a JSON file begins with, as pairs; broken lines are passed over."""
+    decoder, out = json.JSONDecoder(object_pairs_hook=list), []
+    at = 1 if array else 0
+    while array:
+        at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n,"))
+        try:
+            pairs, at = decoder.raw_decode(text, at)
+        except ValueError:
+            return out
+        out.append(pairs)
+    for line in text.split("\n"):
+        try:
+            out.append(decoder.decode(line))
+        except ValueError:
+            continue
+    return out
+
+
 def _json_kind(spark: SparkSession, file: str) -> tuple[str | None, str]:
-    """Whether the file is an array or has an object a line, by its first character that isn't blank."""
-    text = first_bytes(spark, file, BEGIN).decode("utf-8", "replace").lstrip("﻿ \t\r\n")
-    kind = "array" if text.startswith("[") else "lines"
+    """Whether the file is an array or has an object a line, by its first character that isn't blank. An object may lack a column;
+    one that none of those in the file's begin has is missing."""
+    text = first_bytes(spark, file, JSON_BEGIN).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    array = text.startswith("[")
+    found = _objects(text, array)
     try:
-        pairs, _ = json.JSONDecoder(object_pairs_hook=list).raw_decode(text.removeprefix("[").lstrip())
-        return _wrong([k for k, _ in pairs]), kind
-    except (ValueError, TypeError):
-        return "it doesn't begin with an object", kind
+        names = dict.fromkeys(k for pairs in found for k, _ in pairs)
+        twice = [k for pairs in found if len({k for k, _ in pairs}) < len(pairs) for k, _ in pairs]
+    except (ValueError, TypeError):  # numbers, texts, lists
+        found = []
+    return (_wrong(twice or list(names)) if found else "it doesn't begin with an object"), "array" if array else "lines"
 
 
 def _parquet_kind(spark: SparkSession, file: str) -> tuple[str | None, str]:
