@@ -1,4 +1,4 @@
-"""python -m cyclemill ingest | clean | merge | export | compact | report | ask. Exit 0, 1 if nothing worked, 2 for wrong use."""
+"""python -m cyclemill ingest | clean | merge | export | compact | tidy | report | ask. Exit 0, 1 if nothing worked, 2 for wrong use."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from cyclemill.config import ConfigError, load_config
+from cyclemill.metrics import Measured
 from cyclemill.operators.analyses import Session
 from cyclemill.plans.execution import execute
 from cyclemill.plans.planning import REPORTS, canned, route, with_level_check
@@ -34,6 +35,10 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("compact", help="a store without duplicates")
     p.add_argument("store")
     p.add_argument("into")
+    p = sub.add_parser("tidy", help="a store's segments into one, and what no snapshot needs any more dropped")
+    p.add_argument("store")
+    p.add_argument("--keep", type=int, default=10, help="snapshots to keep")
+    p.add_argument("--hours", type=float, default=24.0, help="age of what is dropped, at least")
     p = sub.add_parser("export", help="a range of a store as one sorted Parquet folder")
     p.add_argument("store")
     p.add_argument("into")
@@ -58,13 +63,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "ingest":
             store = EventStore(spark, args.store)
             for path in args.raw:
-                print(json.dumps({"file": path} | store.ingest(path, args.machine)))
+                refused: dict[str, str] = {}
+                with Measured() as took:
+                    counts = store.ingest(path, args.machine, refused=refused)
+                print(took.line(counts["valid"] + counts["skipped"], file=path, **counts, events=store.snapshot().segments[-1].rows, refused=refused))
         elif args.command == "clean":
-            print(json.dumps({"file": args.raw} | clean_to_csv(spark, args.raw, args.into)))
+            with Measured() as took:
+                counts = clean_to_csv(spark, args.raw, args.into)
+            print(took.line(counts["valid"] + counts["skipped"], file=args.raw, **counts))
         elif args.command == "merge":
             print(json.dumps({"failed": EventStore(spark, args.store).merge(args.sources)}))
         elif args.command == "compact":
             print(json.dumps({"rows": EventStore(spark, args.store).compact(args.into).count()}))
+        elif args.command == "tidy":
+            store = EventStore(spark, args.store)
+            print(json.dumps({"rows": store.tidy().segments[0].rows, "dropped": len(store.vacuum(args.keep, args.hours))}))
         elif args.command == "export":
             print(json.dumps({"rows": EventStore(spark, args.store).export(args.into, args.since, args.until)}))
         else:

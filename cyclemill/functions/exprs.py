@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclemill.config import Config
@@ -98,26 +98,3 @@ def scope(events: DataFrame, cfg: Config, period: str | None) -> DataFrame:
         lo, hi = (F.lit(d.isoformat()).cast("timestamp_ntz") for d in bounds)
         out = out.where((F.col("ts") >= lo) & (F.col("ts") < hi))
     return out
-
-
-def with_previous(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """df with day_ and prev_: a struct of `values` of the row before, in the order of `order` (ts first) within `by`.
-
-    Rows are dealt out by day, not by `by` alone, which may have few values or none. A day's first row takes what the
-    last earlier day ends with, from a table of a row per day.
-    """
-    day = df.withColumn("day_", F.to_date("ts"))
-    own = Window.partitionBy(*by, "day_").orderBy(*order)
-    inner = day.withColumn("prev_", F.lag(F.struct(*values)).over(own))
-    ends = day.groupBy(*by, "day_").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("end_"))
-    carried = ends.withColumn("carry_", F.lag("end_").over(Window.partitionBy(*by).orderBy("day_"))).drop("end_")
-    return inner.join(carried, [*by, "day_"]).withColumn("prev_", F.coalesce("prev_", "carry_")).drop("carry_")
-
-
-def with_running(df: DataFrame, flag: str, by: list[str], order: list[str], name: str) -> DataFrame:
-    """df (with day_) with the running sum of a 0/1 column within `by`; dealt out by day in the same way."""
-    own = Window.partitionBy(*by, "day_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*by, "day_").agg(F.sum(flag).alias("sum_"))
-    earlier = Window.partitionBy(*by).orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("before_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0))).drop("sum_")
-    return df.withColumn(name, F.sum(flag).over(own)).join(before, [*by, "day_"]).withColumn(name, F.col(name) + F.col("before_")).drop("before_")

@@ -127,18 +127,32 @@ def speed(events: DataFrame, bucket: str) -> DataFrame:
 
 
 def idle_runs(events: DataFrame, cfg: Config, min_seconds: int) -> DataFrame:
-    """Runs of a head's no-load rows, ended by any other row or by a gap, that last long enough."""
-    idle = F.coalesce(X.no_load(cfg), F.lit(False))
+    """Runs of a head's no-load rows, ended by any other row or by a gap, that last long enough.
+
+    Rows are shuffled once, by head and day, and become a day's runs there, beside one row for the others. What a day ends
+    with and the next one begins with is then joined among these few.
+    """
     order = ["ts", "cap_seq"]
-    rows = events.select("head_id", "ts", "cap_seq", idle.alias("idle"))
-    rows = X.with_previous(rows, ["head_id"], order, ["ts", "idle"])
+    rows = events.select("head_id", "ts", "cap_seq", F.coalesce(X.no_load(cfg), F.lit(False)).alias("idle"), F.to_date("ts").alias("day_"))
+    day = Window.partitionBy("head_id", "day_").orderBy(*order)
+    rows = rows.withColumn("prev_", F.lag(F.struct("ts", "idle")).over(day)).withColumn("last_", F.lead(F.lit(1)).over(day).isNull())
     gap = X.seconds(F.col("ts"), F.col("prev_.ts")) > cfg.idle_max_gap_seconds
     starts = F.col("idle") & F.coalesce(~F.col("prev_.idle") | gap, F.lit(True))
-    rows = rows.withColumn("start_", starts.cast("int"))
-    rows = X.with_running(rows, "start_", ["head_id"], order, "run_").where("idle")
-    runs = rows.groupBy("head_id", "run_").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("cycles"))
-    runs = runs.withColumn("duration_seconds", X.seconds(F.col("end"), F.col("start"))).drop("run_")
-    return runs.where(F.col("duration_seconds") >= min_seconds).orderBy("head_id", "start")
+    rows = rows.withColumn("run_", F.when(F.col("idle"), F.sum(starts.cast("int")).over(day.rowsBetween(Window.unboundedPreceding, 0))))
+    runs = rows.groupBy("head_id", "day_", "run_").agg(
+        F.min(F.struct(*order)).alias("from_"),
+        F.max("ts").alias("end"),
+        F.count(F.lit(1)).alias("cycles"),
+        F.bool_or(F.col("prev_").isNull()).alias("opens_"),
+        F.bool_or("last_").alias("closes_"),
+    )
+    head = Window.partitionBy("head_id").orderBy("from_")
+    runs = runs.withColumn("prev_", F.lag(F.struct("run_", "end", "closes_")).over(head))
+    goes_on = F.col("opens_") & F.col("prev_.closes_") & F.col("prev_.run_").isNotNull() & (X.seconds(F.col("from_.ts"), F.col("prev_.end")) <= cfg.idle_max_gap_seconds)
+    runs = runs.withColumn("whole_", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(head)).where("run_ is not null")
+    whole = runs.groupBy("head_id", "whole_").agg(F.min("from_.ts").alias("start"), F.max("end").alias("end"), F.sum("cycles").alias("cycles")).drop("whole_")
+    whole = whole.withColumn("duration_seconds", X.seconds(F.col("end"), F.col("start")))
+    return whole.where(F.col("duration_seconds") >= min_seconds).orderBy("head_id", "start")
 
 
 def idle_by_head(runs: DataFrame) -> DataFrame:
@@ -147,9 +161,16 @@ def idle_by_head(runs: DataFrame) -> DataFrame:
 
 
 def gaps(events: DataFrame, min_seconds: int) -> DataFrame:
-    """Stretches between one of the machine's times and the next that are longer than min_seconds."""
-    times = X.with_previous(events.select("ts").distinct(), [], ["ts"], ["ts"])
-    out = times.select(F.col("prev_.ts").alias("start"), F.col("ts").alias("end"), X.seconds(F.col("ts"), F.col("prev_.ts")).alias("duration_seconds"))
+    """Stretches between one of the machine's times and the next that are longer than min_seconds.
+
+    Times are shuffled once, by day. The gap before a day's first time is found among the days' ends, a row for each.
+    """
+    day = Window.partitionBy("day_").orderBy("ts")
+    times = events.select("ts").distinct().withColumn("day_", F.to_date("ts"))
+    times = times.repartition("day_").withColumn("start", F.lag("ts").over(day)).withColumn("last_", F.max("ts").over(Window.partitionBy("day_")))
+    few = times.where(F.col("start").isNull() | (X.seconds(F.col("ts"), F.col("start")) > min_seconds))
+    first = few.where("start is null").withColumn("start", F.lag("last_").over(Window.orderBy("day_")))
+    out = few.where("start is not null").unionByName(first).select("start", F.col("ts").alias("end"), X.seconds(F.col("ts"), F.col("start")).alias("duration_seconds"))
     return out.where(F.col("duration_seconds") > min_seconds).orderBy("start")
 
 

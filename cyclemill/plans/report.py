@@ -1,4 +1,4 @@
-"""A run of a plan as Markdown, and its trace as JSON. Every figure comes from a result."""
+"""A run of a plan as Markdown, a page with figures, and its trace as JSON. Every number comes from a result."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from datetime import date, datetime
 from statistics import median
 
 from cyclemill.plans.execution import Execution
+from cyclemill.plans.figures import figures
 from cyclemill.result import OK, Result
 
 
@@ -134,7 +135,7 @@ def findings(r: Result) -> list[str]:
         return [f"{v['mean_pieces_per_hour']:,.1f} pieces per active hour, over {len(v['buckets'])} buckets."]
     if r.tool == "idle_periods":
         x = v["longest_period"]
-        return [f"{len(v['periods'])} runs without load, {v['total_idle_seconds']:,} s together; the longest, {x['duration_seconds']:,} s, is of head {x['head_id']} from {x['start']}."]
+        return [f"{sum(h['periods'] for h in v['by_head']):,} runs without load, {v['total_idle_seconds']:,} s together; the longest, {x['duration_seconds']:,} s, is of head {x['head_id']} from {x['start']}."]
     if r.tool == "anomalies":
         c = v["counts"]
         out = [f"{c['faults']:,} rejects, {c['threshold_hits']:,} closures outside the band, {c['deviation_hits']:,} far from their head's median."]
@@ -192,6 +193,8 @@ def markdown(run: Execution) -> str:
         out += [f"### {r.tool}", "", *(f"- {x}" for x in findings(r)), ""]
     checks = list(dict.fromkeys(x for r in done for x in next_checks(r)))
     out += ["## Next checks", "", *([f"- {x}" for x in checks] or ["- none that these results call for"]), ""]
+    if pictures := figures(run):
+        out += ["## Figures", "", *(f"![{name}](figures/{name}.svg)" for name in pictures), ""]
     out += ["## Tables", "", *(x for r in done for x in tables(r))]
     out += ["## Method", "", *dict.fromkeys(f"- {r.tool}: {a}" for r in run.results for a in r.provenance.assumptions), ""]
     out += ["## Limits", "", *([f"- {r.tool}: {r.status}, {r.message}" for r in failed] or ["- every step had an answer"]), ""]
@@ -200,23 +203,31 @@ def markdown(run: Execution) -> str:
 
 
 def write(run: Execution, folder: str) -> str:
-    """report.md, report.html and trace.json in folder, on the driver's disk; the path of the first."""
-    os.makedirs(folder, exist_ok=True)
-    text = markdown(run)
-    for name, body in (("report.md", text), ("report.html", html(text)), ("trace.json", json.dumps({"goal": run.plan.goal, "store": run.store, "steps": run.trace}, default=_plain, indent=1))):
-        half = os.path.join(folder, f".{name}.part")
-        with open(half, "w", encoding="utf-8") as f:
-            f.write(body)
-        os.replace(half, os.path.join(folder, name))
+    """report.md, report.html with its figures in it, trace.json and figures/*.svg in folder, on the driver's disk; the path of the
+    first."""
+    os.makedirs(os.path.join(folder, "figures"), exist_ok=True)
+    text, pictures = markdown(run), figures(run)
+    trace = json.dumps({"goal": run.plan.goal, "store": run.store, "steps": run.trace}, default=_plain, indent=1)
+    for name, body in ((f"figures/{n}.svg", svg) for n, svg in pictures.items()):
+        _put(folder, name, body)
+    for name, body in (("report.md", text), ("report.html", html(text, pictures)), ("trace.json", trace)):
+        _put(folder, name, body)
     return os.path.join(folder, "report.md")
 
 
+def _put(folder: str, name: str, body: str) -> None:
+    half = os.path.join(folder, f"{name}.part")
+    with open(half, "w", encoding="utf-8") as f:
+        f.write(body)
+    os.replace(half, os.path.join(folder, name))
+
+
 def _plain(x):
     return x.isoformat() if isinstance(x, (date, datetime)) else str(x)
 
 
-def html(text: str) -> str:
-    """A page of its own for the Markdown that `markdown` writes: headings, lists, tables."""
+def html(text: str, pictures: dict[str, str] | None = None) -> str:
+    """A page of its own for the Markdown that `markdown` writes: headings, lists, tables, and pictures as they are."""
     from html import escape
 
     out, open_ = [], ""
@@ -231,6 +242,9 @@ def html(text: str) -> str:
         if m := re.match(r"(#{1,3}) (.*)", line):
             close("")
             out.append(f"<h{len(m[1])}>{escape(m[2])}</h{len(m[1])}>")
+        elif (m := re.match(r"!\[(.*)\]\(", line)) and m[1] in (pictures or {}):
+            close("")
+            out.append(f"<figure>{pictures[m[1]]}</figure>")
         elif line.startswith("- "):
             close("ul")
             out.append(f"<li>{escape(line[2:])}</li>")
