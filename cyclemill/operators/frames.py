@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cyclemill.config import Config
 from cyclemill.functions import exprs as X
 from cyclemill.functions.stats import DRIFT_SCHEMA, drift_of
+from cyclemill.operators.gram import correlations
 from cyclemill.workers import ship
 
 BIN = 0.01
@@ -250,14 +251,20 @@ def drift(buckets: DataFrame) -> DataFrame:
 
 
 def correlation(events: DataFrame, by: str, only: list[int] | None = None, least: int = 3) -> DataFrame:
-    """(head_a, head_b, shared, r) for each two heads: Pearson of bucket means over the buckets that both have."""
+    """(head_a, head_b, shared, r) for each two heads: Pearson of bucket means over the buckets that both have. The pairs of a given
+    list of heads, a few, are joined bucket by bucket; those of all heads come of matrix products."""
     caps = events.where(X.loaded())
     if only is not None:
         caps = caps.where(F.col("head_id").isin(only))
     means = caps.groupBy("head_id", X.truncated(by).alias("bucket")).agg(F.avg(F.col("app_torque").cast("double")).alias("x"))
-    a = means.select("bucket", F.col("head_id").alias("head_a"), F.col("x").alias("a"))
-    b = means.select("bucket", F.col("head_id").alias("head_b"), F.col("x").alias("b"))
-    pairs = a.join(b, "bucket").where("head_a < head_b").groupBy("head_a", "head_b").agg(F.count(F.lit(1)).alias("shared"), X.correlation(F.col("a"), F.col("b")).alias("r"))
+    if only is None:
+        found = correlations(means.select(F.col("head_id").alias("series"), "bucket", "x"))
+        kind = events.schema["head_id"].dataType
+        pairs = found.select(F.col("first").cast(kind).alias("head_a"), F.col("second").cast(kind).alias("head_b"), "shared", "r")
+    else:
+        a = means.select("bucket", F.col("head_id").alias("head_a"), F.col("x").alias("a"))
+        b = means.select("bucket", F.col("head_id").alias("head_b"), F.col("x").alias("b"))
+        pairs = a.join(b, "bucket").where("head_a < head_b").groupBy("head_a", "head_b").agg(F.count(F.lit(1)).alias("shared"), X.correlation(F.col("a"), F.col("b")).alias("r"))
     return pairs.withColumn("r", F.when(F.col("shared") >= least, F.col("r")))
 
 
