@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
-from cyclemill.llm import backoff, conversation_repair, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, pu_quality, quality, token_rollups, url_rules
+from cyclemill.llm import backoff, conversation_repair, hard_negatives, language_id, media, mixing, near_dedup, packing, preferences, pu_quality, quality, stages, token_rollups, url_rules
 
 
 def queries() -> dict[str, Callable]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": stages.run,
         "op1_media_columns": media.op1_media_columns,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_preference_formatting": preferences.op3_preference_formatting,
