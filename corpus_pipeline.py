@@ -1,77 +1,8 @@
-"""A corpus pipeline of five operators. Each stage takes (spark, docs, sf_dir) and returns documents; the last packs them.
-
-For all stages: columns beside doc_id, text, lang and source are carried along, whatever their names; an empty table gives an
-empty table; texts are worked on whole, however long. Rows are told apart by themselves, not by doc_id: repeated and null
-doc_ids are documents each.
-"""
+"""A corpus pipeline of five operators: language ID, quality rules, near-dedup, mixing, packing. The stages are in cyclemill.llm.stages,
+which says what each does in odd cases; run(spark, sf_dir) applies them to documents, each to what the one before has stored."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cyclemill.llm import language_id, mixing, near_dedup, packing, quality
-from cyclemill.llm.shared import apart, keyed, ship, stored, table, without
-
-#: Documents whose best language has a lower share of their n-grams are rejected, as those without a letter are.
-LEAST_SCORE = 0.3
-
-
-def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised, with lang set to it. Those without text or a letter, or like none of the
-    languages, go. A null lang is filled in; it teaches nothing. Repeated rows stay, each. Ties go to the smallest lang."""
-    ship(spark)
-    model = language_id.fit(docs.where(f"not coalesce({language_id.HELD_OUT}, false)"))
-    inner = apart(docs, "text", "lang")
-    found = language_id.predict(inner, model)
-    found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred"))
-    return found.select(*inner.columns).toDF(*docs.columns)
-
-
-def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's band of perplexity. Null and empty texts go. A null lang
-    is a language of its own. Equal rows stay or go together; ties at a band's ends stay."""
-    ship(spark)
-    inner = apart(docs, "text", "lang")
-    rows = keyed(inner)
-    judged = quality.judge(rows.select("row_key_", "text", "lang"), carry=False)  # so that texts are not written again
-    return without(rows, judged.where("not kept")).select(*inner.columns).toDF(*docs.columns)
-
-
-def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row, with the smallest doc_id; a null one is the last, and between equal ones any row
-    stays. Texts without words are alike to nothing and stay, each."""
-    ship(spark)
-    return near_dedup.deduplicated(docs)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each copy, none for those it leaves out. A null source is a source.
-    Texts without words have size 0 and are taken once, if their source's target is above 0."""
-    return mixing.repeated(docs)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences. Copies of a document are packed each; texts without words
-    are one piece, the end id."""
-    ship(spark)
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("language_id", identified),
-    ("quality_rules", of_quality),
-    ("near_dedup", distinct),
-    ("entropy_mixing", mixed),
-    ("best_fit_packing", packed),
-]
-
-#: Perplexities, Newton steps and token ids are not expressible in SQL; tests compare with plain versions.
-ORACLE_SQL = None
-
+from cyclemill.llm.stages import ORACLE_SQL, STAGES, distinct, identified, mixed, of_quality, packed, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "distinct", "identified", "mixed", "of_quality", "packed", "run"]
