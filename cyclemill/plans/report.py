@@ -8,6 +8,7 @@ import re
 from datetime import date, datetime
 from statistics import median
 
+from cyclemill.functions.stats import DRIFT_P
 from cyclemill.plans.execution import Execution
 from cyclemill.plans.figures import figures
 from cyclemill.result import OK, Result
@@ -42,7 +43,10 @@ def _success(v, by: str) -> list[str]:
 
 def _trend(v) -> list[str]:
     moving = [d for d in v["drift"] if d["drifting"]]
+    if v["drift"] and all(d["insufficient"] for d in v["drift"]):
+        return ["Undetermined: no head has buckets enough for a verdict."]
     out = [f"Head {d['head_id']} is {d['direction']}: tau {d['tau']:.2f}, p {d['p_value']:.3g}." for d in moving[:5]] or ["No head drifts."]
+    out += [f"{len(moving) - 5} more heads drift."] * (len(moving) > 5)
     if short := sum(d["insufficient"] for d in v["drift"]):
         out.append(f"{short} heads have too few buckets for a verdict.")
     return out
@@ -64,6 +68,7 @@ def _spread(heads: list[dict]) -> list[str]:
 def _compared(v) -> list[str]:
     step = v["change_first_to_last"] and v["change_first_to_last"]["caps_per_day_pct"]
     out = [f"{len(v['buckets'])} buckets." + (f" Capping operations per day changed by {step:+.1f} % from the first to the last." if step is not None else "")]
+    out += _lowest(v)
     total = sum(b["caps"] for b in v["buckets"])
     full = [b for b in v["buckets"] if b["caps"] and b["caps"] >= LEAST_SHARE * total]
     if left := len(v["buckets"]) - len(full):
@@ -86,6 +91,25 @@ def _compared(v) -> list[str]:
     return out
 
 
+def _matching(v) -> list[str]:
+    f = v["filters"]
+    named = [f"above {f['above']:g} Nm"] * (f["above"] is not None) + [f"below {f['below']:g} Nm"] * (f["below"] is not None) + [f"outcome {f['outcome']}"] * (f["outcome"] != "all") + [f"head {f['head']}"] * (f["head"] is not None)
+    out = [f"{v['count']:,} of {v['capping_operations']:,} capping operations match" + (f" ({', '.join(named)})." if named else ".")]
+    if len(v["by_head"]) > 1:
+        first = v["by_head"][0]
+        out.append(f"Head {first['head_id']} has most of them, {first['count']:,} ({_percent(first['count'] / v['count'])}), {len(v['by_head'])} heads have some.")
+    return out
+
+
+def _lowest(v) -> list[str]:
+    """The bucket with the fewest operations a day, if it lies a tenth or more under the median of the others."""
+    low = v.get("lowest_volume_bucket")
+    others = [b["caps_per_day"] for b in v["buckets"] if b is not low and b.get("caps_per_day") is not None] if low else []
+    if not others or low["caps_per_day"] > 0.9 * median(others):
+        return []
+    return [f"Fewest operations: {low['caps_per_day']:,.0f} a day in {low['bucket_start']}, where the others' median is {median(others):,.0f}."]
+
+
 def next_checks(r: Result) -> list[str]:
     """What a result gives reason to look at next."""
     if r.status != OK:
@@ -111,8 +135,14 @@ def next_checks(r: Result) -> list[str]:
         return ["See by day whether rejects come together in time."]
     if r.tool == "event_gaps" and v["gaps"]:
         return ["Ask whether the machine stood in the longest gap or its files are missing."]
-    if r.tool == "compare_periods" and len(_compared(v)) > 2:
-        return ["Ask what was changed on the line between the buckets that differ."]
+    if r.tool == "compare_periods":
+        out = [f"Look at the gaps in {v['lowest_volume_bucket']['bucket_start']}: how much of the drop is a machine that stood?"] if _lowest(v) else []
+        return out + ["Ask what was changed on the line between the buckets that differ."] * (len(_compared(v)) - len(_lowest(v)) > 2)
+    if r.tool == "failure_correlation" and v.get("p_value") is not None and v["p_value"] < DRIFT_P:
+        return [f"Ask what differs on the line in hour {v['highest']['hour']}: shift, product or material."]
+    if r.tool == "idle_periods":
+        first = v["by_head"][0]
+        return [f"See why head {first['head_id']} ran without load for {first['total_seconds']:,} s."]
     return []
 
 
@@ -140,6 +170,10 @@ def findings(r: Result) -> list[str]:
         c = v["counts"]
         out = [f"{c['faults']:,} rejects, {c['threshold_hits']:,} closures outside the band, {c['deviation_hits']:,} far from their head's median."]
         out += [f"{n}: {k:,} rejects." for n, k in sorted(v["faults_by_condition"].items(), key=lambda x: (-x[1], x[0]))[:3]]
+        if v["threshold_by_head"]:
+            out.append("Most readings outside the band: " + ", ".join(f"head {h['head_id']} with {h['count']:,}" for h in v["threshold_by_head"][:3]) + ".")
+        if at_floor := v["deviation_heads_at_floor"]:
+            out.append(f"{at_floor} of {v['deviation_heads']} heads vary so little that the least spread in the settings measures them.")
         return out + [f"Heads with another measure than the MAD: {v['deviation_fallbacks']}."] * bool(v["deviation_fallbacks"])
     if r.tool == "trend":
         return _trend(v)
@@ -151,10 +185,11 @@ def findings(r: Result) -> list[str]:
     if r.tool == "compare_periods":
         return _compared(v)
     if r.tool == "closure_filter":
-        return [f"{v['count']:,} of {v['capping_operations']:,} capping operations match."]
+        return _matching(v)
     if r.tool == "failure_correlation":
         if by == "torque":
-            return ["Torque and success are not correlated in these data." if v["correlation"] is None else f"Pearson's r of torque and success is {v['correlation']:.4f}."]
+            out = ["Torque and success are not correlated in these data." if v["correlation"] is None else f"Pearson's r of torque and success is {v['correlation']:.4f}."]
+            return out + [f"{z['zone'].capitalize()} the band: {z['rejected']:,} rejects of {z['closures']:,} closures, {_percent(z['reject_rate'])}." for z in v["zones"] if z["closures"]]
         p = v["p_value"]
         return [f"Rejects are most frequent in hour {v['highest']['hour']} ({_percent(v['highest']['reject_rate'])}).", v.get("note") or f"Chi-square {v['chi_square']:.1f} with {v['degrees_of_freedom']} degrees of freedom, p {p:.3g}."]
     return [t["text"] for t in v["topics"]]
@@ -192,7 +227,7 @@ def markdown(run: Execution) -> str:
     for r in done:
         out += [f"### {r.tool}", "", *(f"- {x}" for x in findings(r)), ""]
     checks = list(dict.fromkeys(x for r in done for x in next_checks(r)))
-    out += ["## Next checks", "", *([f"- {x}" for x in checks] or ["- none that these results call for"]), ""]
+    out += ["## Next checks", "", *([f"- {x}" for x in checks] or ["- none that these results call for; make the report again next period and compare"]), ""]
     if pictures := figures(run):
         out += ["## Figures", "", *(f"![{name}](figures/{name}.svg)" for name in pictures), ""]
     out += ["## Tables", "", *(x for r in done for x in tables(r))]

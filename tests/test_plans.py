@@ -104,3 +104,32 @@ def test_findings_name_steps_and_next_checks():
     assert "median torque" in next_checks(ok("head_correlation", {"outliers": same}, None, 1))[0]
     apart = [{"head_id": 3, "mean_correlation": 0.2}, *same]
     assert "head 3" in next_checks(ok("head_correlation", {"outliers": apart}, None, 1))[0]
+
+
+def test_more_findings():
+    from datetime import datetime
+
+    from cyclemill.plans.report import findings, next_checks
+    from cyclemill.result import ok
+
+    def said(tool, values, filters=()):
+        r = ok(tool, values, None, 1, list(filters))
+        return " ".join(findings(r)), " ".join(next_checks(r))
+
+    buckets = [{"bucket_start": datetime(2026, m, 1), "caps": c, "caps_per_day": c / 30, "reject_rate": 0.01, "torque_mean": 2.0, "torque_stddev": 0.02} for m, c in ((1, 3000), (2, 600), (3, 3100))]
+    text, check = said("compare_periods", {"buckets": buckets, "change_first_to_last": None, "lowest_volume_bucket": buckets[1]})
+    assert "Fewest operations: 20 a day in 2026-02-01" in text and "Look at the gaps in 2026-02-01" in check and "changed on the line" not in check
+    assert "Fewest" not in said("compare_periods", {"buckets": buckets[::2], "change_first_to_last": None, "lowest_volume_bucket": buckets[0]})[0]
+    filters = {"above": 2.5, "below": None, "outcome": "failed", "head": None}
+    text, _ = said("closure_filter", {"filters": filters, "count": 40, "capping_operations": 1000, "by_head": [{"head_id": 3, "count": 30}, {"head_id": 1, "count": 10}]})
+    assert "40 of 1,000" in text and "(above 2.5 Nm, outcome failed)" in text and "Head 3 has most of them, 30 (75.00 %)" in text
+    zones = [{"zone": "below", "closures": 10, "rejected": 5, "reject_rate": 0.5}, {"zone": "inside", "closures": 0, "rejected": 0, "reject_rate": None}]
+    text, _ = said("failure_correlation", {"correlation": -0.25, "zones": zones}, ["by=torque"])
+    assert "-0.2500" in text and "Below the band: 5 rejects of 10" in text and "Inside" not in text
+    short = [{"head_id": 1, "tau": 0.0, "p_value": None, "direction": "flat", "drifting": False, "insufficient": True}]
+    assert said("trend", {"series": [], "drift": short})[0].startswith("Undetermined")
+    moving = [{"head_id": h, "tau": 0.9, "p_value": 0.001, "direction": "rising", "drifting": True, "insufficient": False} for h in range(7)]
+    assert "2 more heads drift" in said("trend", {"series": [], "drift": moving})[0]
+    counts = {"faults": 0, "threshold_hits": 9, "deviation_hits": 0}
+    text, _ = said("anomalies", {"counts": counts, "faults_by_condition": {}, "threshold_by_head": [{"head_id": 4, "count": 9}], "deviation_heads_at_floor": 2, "deviation_heads": 5, "deviation_fallbacks": {}})
+    assert "head 4 with 9" in text and "2 of 5 heads" in text
