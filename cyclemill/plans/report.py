@@ -93,7 +93,8 @@ def _compared(v) -> list[str]:
 
 def _matching(v) -> list[str]:
     f = v["filters"]
-    named = [f"above {f['above']:g} Nm"] * (f["above"] is not None) + [f"below {f['below']:g} Nm"] * (f["below"] is not None) + [f"outcome {f['outcome']}"] * (f["outcome"] != "all") + [f"head {f['head']}"] * (f["head"] is not None)
+    limits = [f"{k} {f[k]:g} Nm" for k in ("above", "below") if f[k] is not None]
+    named = [*limits, *([f"outcome {f['outcome']}"] if f["outcome"] != "all" else []), *([f"head {f['head']}"] if f["head"] is not None else [])]
     out = [f"{v['count']:,} of {v['capping_operations']:,} capping operations match" + (f" ({', '.join(named)})." if named else ".")]
     if len(v["by_head"]) > 1:
         first = v["by_head"][0]
