@@ -83,7 +83,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             cfg = load_config(args.config)
             plan = canned(args.what, args.period) if args.command == "report" else with_level_check(route(args.what, args.period), args.period)
-            run = execute(Session(cfg, EventStore(spark, cfg.store_path).read()), plan)
+            store = EventStore(spark, cfg.store_path)
+            version = store.snapshot().version or None  # events and their readings of one snapshot
+            run = execute(Session(cfg, store.read(version=version), store.readings(version)), plan)
             print(write(run, args.out))
             return int(all(r.status == ERROR for r in run.results))
     except ConfigError as e:

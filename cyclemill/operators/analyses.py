@@ -28,12 +28,19 @@ _ROWS = "counts are event rows; a row that stands for several cycles counts once
 
 @dataclass(frozen=True)
 class Session:
+    """readings: the same events counted by reading (operators.readings), if they are kept."""
+
     cfg: Config
     events: DataFrame
+    readings: DataFrame | None = None
 
     def scoped(self, period: str | None) -> DataFrame:
         return X.scope(self.events, self.cfg, period)
 
+    def tallied(self, period: str | None) -> DataFrame:
+        """What analyses of days and longer read: readings, or else the events themselves."""
+        return self.scoped(period) if self.readings is None else X.scope(self.readings, self.cfg, period)
+
 
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
@@ -48,7 +55,7 @@ def _share(a, b):
 
 
 def overview(session: Session, period: str | None = None) -> Result:
-    events = session.scoped(period)
+    events = session.tallied(period)
     found = _rows(A.overview(events, session.cfg))[0]
     rows = found.pop("rows")
     if not rows:
@@ -63,7 +70,7 @@ def overview(session: Session, period: str | None = None) -> Result:
 def success_rates(session: Session, period: str | None = None, by: str = "head") -> Result:
     if bad := _choice("success_rates", "by", by, ("head", "day", "overall"), period):
         return bad
-    events = session.scoped(period)
+    events = session.tallied(period)
     groups = _rows(A.success(events, session.cfg, by))
     total = sum(g["total"] for g in groups)
     if not total:
@@ -78,7 +85,7 @@ def torque_stats(session: Session, period: str | None = None, outcome: str = "su
     bad = _choice("torque_stats", "outcome", outcome, ("successful", "failed", "all"), period) or _choice("torque_stats", "by", by, (None, "head"), period)
     if bad:
         return bad
-    events = session.scoped(period)
+    events = session.tallied(period)
     groups = _rows(A.torque(events, session.cfg, outcome, by == "head"))
     n = sum(g["n"] for g in groups)
     if not n:
@@ -130,8 +137,8 @@ def _sampled(hits: DataFrame, limit: int) -> tuple[list[dict], int]:
 def anomalies(session: Session, period: str | None = None, method: str = "both") -> Result:
     if bad := _choice("anomalies", "method", method, ("threshold", "deviation", "both"), period):
         return bad
-    cfg, events = session.cfg, session.scoped(period)
-    seen = A.overview(events, cfg).first()
+    cfg, events, tallied = session.cfg, session.scoped(period), session.tallied(period)
+    seen = A.overview(tallied, cfg).first()
     if not seen["rows"]:
         return insufficient("anomalies", f"no events in period {period!r}", period)
 
@@ -144,10 +151,10 @@ def anomalies(session: Session, period: str | None = None, method: str = "both")
     if method != "deviation":
         rows, n_threshold = _sampled(A.threshold_hits(events, cfg), cfg.max_anomaly_items)
         threshold = items(rows, lambda r: f"torque outside [{cfg.torque_min}, {cfg.torque_max}]")
-        by_head = _rows(A.threshold_by_head(events, cfg))
+        by_head = _rows(A.threshold_by_head(tallied, cfg))
     deviation, n_deviation, heads = [], 0, []
     if method != "threshold":
-        scale = A.deviation_scale(events, cfg)
+        scale = A.deviation_scale(tallied, cfg)
         heads = scale.collect()  # one row per head
         rows, n_deviation = _sampled(A.deviation_hits(events, cfg, scale), cfg.max_anomaly_items)
         why = {"mad": "MAD", "iqr": "half the interquartile range, as the MAD is 0", "exact": "nothing else, as the head hardly leaves its median"}
@@ -158,7 +165,7 @@ def anomalies(session: Session, period: str | None = None, method: str = "both")
         "deviation_hits": deviation,
         "deviation_fallbacks": {r["head_id"]: r["basis"] for r in heads if r["basis"] != "mad"},
         "capping_operations": seen["capping_operations"],
-        "faults_by_condition": {r["condition"]: r["count"] for r in A.fault_conditions(events).collect()},
+        "faults_by_condition": {r["condition"]: r["count"] for r in A.fault_conditions(tallied).collect()},
         "threshold_by_head": by_head,
         "deviation_heads_at_floor": sum(r["s"] <= cfg.mad_floor for r in heads),
         "deviation_heads": len(heads),
@@ -225,9 +232,9 @@ def event_gaps(session: Session, period: str | None = None, min_seconds: int | N
 def compare_periods(session: Session, period: str | None = None, by: str = "month") -> Result:
     if bad := _choice("compare_periods", "by", by, ("month", "week"), period):
         return bad
-    events = session.scoped(period)
+    events = session.tallied(period)
     bounds = X.period_bounds(period)
-    span = A.fingerprint(events).first()
+    span = A.overview(events, session.cfg).first()
     if not span["rows"]:
         return insufficient("compare_periods", f"no events in period {period!r}", period)
     bounds = bounds or (span["ts_min"].date(), span["ts_max"].date() + timedelta(days=1))

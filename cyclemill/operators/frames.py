@@ -1,4 +1,6 @@
-"""DataFrames of the analyses. Each takes the events in scope (functions.exprs.scope)."""
+"""DataFrames of the analyses. Each takes the events in scope (functions.exprs.scope). Those that ask for days at most may be given
+readings (operators.readings) in their place: overview, success, torque, histogram, deviation_scale, threshold_by_head,
+fault_conditions, compared."""
 
 from __future__ import annotations
 
@@ -20,21 +22,29 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def _tally(df: DataFrame, condition: Column | None = None) -> Column:
+    """How many events a group has, or of these meet a condition: rows, or what the rows of readings stand for."""
+    if "n" not in df.columns:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    return F.coalesce(F.sum("n" if condition is None else F.when(condition, F.col("n"))), F.lit(0))
+
+
 # ---------------------------------------------------------------- counts and rates
 
 
 def overview(events: DataFrame, cfg: Config) -> DataFrame:
+    first, last = ("first", "last") if "n" in events.columns else ("ts", "ts")
     return events.agg(
-        F.count(F.lit(1)).alias("rows"),
-        _n(X.loaded()).alias("capping_operations"),
-        _n(X.successful(cfg)).alias("successful"),
-        _n(X.failed()).alias("failed"),
-        _n(X.no_load(cfg)).alias("no_load_cycles"),
-        F.min("ts").alias("ts_min"),
-        F.max("ts").alias("ts_max"),
-        _n(F.col("app_torque").isNull()).alias("null_torque"),
-        _n(X.outside(cfg)).alias("invalid_torque"),
-        _n(F.col("is_reset")).alias("counter_resets"),
+        _tally(events).alias("rows"),
+        _tally(events, X.loaded()).alias("capping_operations"),
+        _tally(events, X.successful(cfg)).alias("successful"),
+        _tally(events, X.failed()).alias("failed"),
+        _tally(events, X.no_load(cfg)).alias("no_load_cycles"),
+        F.min(first).alias("ts_min"),
+        F.max(last).alias("ts_max"),
+        _tally(events, F.col("app_torque").isNull()).alias("null_torque"),
+        _tally(events, X.outside(cfg)).alias("invalid_torque"),
+        _tally(events, F.col("is_reset")).alias("counter_resets"),
     )
 
 
@@ -49,8 +59,8 @@ def fingerprint(events: DataFrame) -> DataFrame:
 def success(events: DataFrame, cfg: Config, by: str) -> DataFrame:
     """by head, day or overall: groups without a capping operation are absent, rates without a verdict null."""
     keys = {"head": [F.col("head_id")], "day": [F.to_date("ts").alias("day")], "overall": []}[by]
-    good, bad = _n(X.successful(cfg)), _n(X.failed())
-    out = events.where(X.loaded()).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), good.alias("successful"), bad.alias("failed"), X.ratio(good, good + bad).alias("success_rate"))
+    good, bad = _tally(events, X.successful(cfg)), _tally(events, X.failed())
+    out = events.where(X.loaded()).groupBy(*keys).agg(_tally(events).alias("total"), good.alias("successful"), bad.alias("failed"), X.ratio(good, good + bad).alias("success_rate"))
     return out.orderBy({"head": "head_id", "day": "day", "overall": "total"}[by])
 
 
@@ -64,7 +74,7 @@ def lowest_head(events: DataFrame, cfg: Config) -> DataFrame:
 
 def counted(df: DataFrame, by: list[str], x: Column) -> DataFrame:
     """(by, x, n): how often each value occurs; null values go. As short as the sensor has readings, however many rows."""
-    return df.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n")).where("x is not null")
+    return df.groupBy(*by, x.alias("x")).agg(_tally(df).alias("n")).where("x is not null")
 
 
 def quantiles(counts: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
@@ -113,7 +123,7 @@ def torque(events: DataFrame, cfg: Config, outcome: str, by_head: bool) -> DataF
 def histogram(events: DataFrame, cfg: Config, outcome: str) -> DataFrame:
     """Classes of 0.01 Nm that hold a row. The small shift keeps a class's lower edge in it, whatever its 32-bit value."""
     place = F.floor(F.col("app_torque").cast("double") / F.lit(BIN) + F.lit(1e-3))
-    out = of_outcome(events, cfg, outcome).groupBy(place.alias("class")).agg(F.count(F.lit(1)).alias("count"))
+    out = of_outcome(events, cfg, outcome).groupBy(place.alias("class")).agg(_tally(events).alias("count"))
     return out.select(F.round(F.col("class") * F.lit(BIN), 4).alias("bin_start"), "count").orderBy("bin_start")
 
 
@@ -185,7 +195,7 @@ def faults(events: DataFrame) -> DataFrame:
 
 def fault_conditions(events: DataFrame) -> DataFrame:
     """Rejects per condition; a row counts for each one that its status sets."""
-    by_status = events.where(X.rejected()).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    by_status = events.where(X.rejected()).groupBy("status").agg(_tally(events).alias("n"))
     return by_status.select(F.explode(X.conditions()).alias("condition"), "n").groupBy("condition").agg(F.sum("n").alias("count")).orderBy("condition")
 
 
@@ -194,7 +204,7 @@ def threshold_hits(events: DataFrame, cfg: Config) -> DataFrame:
 
 
 def threshold_by_head(events: DataFrame, cfg: Config) -> DataFrame:
-    return threshold_hits(events, cfg).groupBy("head_id").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "head_id")
+    return events.where(X.outside(cfg)).groupBy("head_id").agg(_tally(events).alias("count")).orderBy(F.desc("count"), "head_id")
 
 
 def deviation_scale(events: DataFrame, cfg: Config) -> DataFrame:
@@ -280,15 +290,22 @@ def correlation_outliers(pairs: DataFrame) -> DataFrame:
 def compared(events: DataFrame, cfg: Config, by: str, bounds: tuple[date, date]) -> DataFrame:
     """One row per month or week; calendar days are the bucket's within bounds [first day, day after the last)."""
     x = F.when(X.loaded(), F.col("app_torque").cast("double"))
+    if "n" in events.columns:
+        many, total = F.sum(F.when(x.isNotNull(), F.col("n"))), F.sum(x * F.col("n"))
+        mean = total / many
+        spread = F.sqrt(F.greatest(F.try_divide(F.sum(x * x * F.col("n")) - total * mean, (many - 1).cast("double")), F.lit(0.0)))
+        spread = F.when(many > 1, spread)
+    else:
+        mean, spread = F.avg(x), F.stddev_samp(x)
     out = events.groupBy(X.truncated(by).alias("bucket_start")).agg(
-        F.count(F.lit(1)).alias("events"),
-        _n(X.loaded()).alias("caps"),
-        _n(X.successful(cfg)).alias("successful"),
-        _n(X.failed()).alias("rejected"),
-        _n(X.no_load(cfg)).alias("no_load_cycles"),
+        _tally(events).alias("events"),
+        _tally(events, X.loaded()).alias("caps"),
+        _tally(events, X.successful(cfg)).alias("successful"),
+        _tally(events, X.failed()).alias("rejected"),
+        _tally(events, X.no_load(cfg)).alias("no_load_cycles"),
         F.count_distinct(F.when(X.loaded(), F.to_date("ts"))).alias("active_days"),
-        F.avg(x).alias("torque_mean"),
-        F.stddev_samp(x).alias("torque_stddev"),
+        mean.alias("torque_mean"),
+        spread.alias("torque_stddev"),
     )
     bucket = events.withColumn("bucket_start", X.truncated(by))
     out = out.join(quantiles(counted(bucket, ["bucket_start"], x), ["bucket_start"], {"torque_median": 0.5}), "bucket_start", "left")
