@@ -36,7 +36,7 @@ COUNTS = ["words", "word_length", "distinct", "repeated", "doubled", "commonest"
 WIDTH = len(KINDS) + len(COUNTS)
 #: Standardised features end there, so that a very odd text counts as much as an odd one.
 CLIP = 4.0
-L2 = 5e-3
+L2 = 1e-2
 STEPS, HALVINGS, TOLERANCE = 15, 6, 1e-6
 FIRST_PRIOR = 0.5
 BINS = 2000
