@@ -108,5 +108,33 @@ def test_a_batch_committed_at_once_has_one_winner(spark, tmp_path):
         won = list(pool.map(lambda i: stores[i].commit(1, changes[i]), range(3)))
     assert won.count(True) == 1
     assert [r.tokens for r in stores[0].totals().collect()] == [10 + won.index(True)]
-    assert [p.name for p in (tmp_path / "r").iterdir()] == ["batches"]
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["batches", "buckets"]
     assert sorted(p.name for p in (tmp_path / "r/batches/batch=1").iterdir()) == ["kind=delta", "kind=ledger"]
+
+
+def test_batches_put_together(spark, tmp_path):
+    """Totals and later batches are as before; a merged batch stays committed, also when its folder is gone; new ids read few rows."""
+    schema = "seq int, op string, doc_id long, source string, lang string, version string, tokens long"
+
+    def changes(*rows):
+        return spark.createDataFrame([(1, op, i, "s", "en", "v", n) for op, i, n in rows], schema)
+
+    store = token_rollups.Rollups(spark, str(tmp_path / "r"), buckets=4)
+    plain = {}
+    batches = [[("insert", i, i) for i in range(60)], [("revise", i, 100) for i in range(0, 60, 3)] + [("delete", i, 0) for i in range(1, 60, 3)], [("insert", i, 7) for i in range(55, 90)], [("delete", 0, 0), ("insert", 1, 5)]]
+    for k, batch in enumerate(batches):
+        assert store.commit(k + 1, changes(*batch))
+        for op, i, n in batch:
+            plain.pop(i, None)
+            if op != "delete":
+                plain[i] = n
+        if k in (1, 2):
+            store.compact()
+            assert token_rollups.Rollups(spark, str(tmp_path / "r"), buckets=9).buckets == 4
+        if k == 2:
+            store.drop_merged()
+            assert [p.name for p in (tmp_path / "r/batches").iterdir()] == ["merged=000000000003"]
+        assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(len(plain), sum(plain.values()))]
+        assert store.committed() == list(range(1, k + 2)) and not store.commit(1, changes(("insert", 5000, 1)))
+    ledger = store._read("ledger", "doc_id long, source string, lang string, version string, docs long, tokens long, bucket int")
+    assert {r.doc_id: r.t for r in ledger.groupBy("doc_id").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t")).where("d > 0").collect()} == plain
