@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = "machine_id string, source_file string, head_id smallint, ts timestamp_ntz, app_torque float, status float, is_reset boolean, n bigint, first timestamp_ntz, last timestamp_ntz"
+COLUMNS = "machine_id string, source_file string, head_id int, ts timestamp_ntz, app_torque float, status float, is_reset boolean, n bigint, first timestamp_ntz, last timestamp_ntz"
 _KEY = ["machine_id", "source_file", "head_id", "day_", "app_torque", "status", "is_reset"]
 
 

@@ -10,7 +10,7 @@ RAW_COLUMNS = ["timestamp"] + [f"H{h:02d} {kind}" for kind in ("Count", "AppTorq
 EVENTS = T.StructType(
     [
         T.StructField("machine_id", T.StringType()),
-        T.StructField("head_id", T.ShortType()),
+        T.StructField("head_id", T.IntegerType()),
         T.StructField("ts", T.TimestampNTZType()),
         T.StructField("cap_seq", T.LongType()),
         T.StructField("app_torque", T.FloatType()),

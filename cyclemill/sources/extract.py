@@ -135,7 +135,7 @@ def changes(polls: DataFrame) -> DataFrame:
     return swept.where("kind = 0").select(names).unionByName(between).select(
         "file",
         F.struct("block", "row").alias("at"),
-        (F.col("i") + 1).cast("short").alias("head_id"),
+        (F.col("i") + 1).cast("int").alias("head_id"),
         "ts",
         F.col("now").alias("cap_seq"),
         F.col("torque").alias("app_torque"),

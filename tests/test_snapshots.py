@@ -5,8 +5,10 @@ import random
 import re
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from test_sources import csv, line
 
@@ -208,3 +210,17 @@ def test_parquet_files_of_other_types_and_wrong_ones(spark, tmp_path):
     wrong = {}
     counts = extract.policy_counts(raw.every_row(spark, str(tmp_path / "in/*"), "parquet", wrong.update)).collect()
     assert len(wrong) == 2 and sorted((r["valid"], r["out_of_order"]) for r in counts) == [(3, 2), (3, 2)]
+
+
+def test_heads_beyond_32767(spark, tmp_path):
+    """A head's number of more than 15 bits goes through write, merge, compaction, readings and export."""
+    heads = [1, 32_767, 32_768, 540_000]
+    of = lambda source, cap: reduce(DataFrame.unionByName, (rows(spark, source, range(3), head=h, cap=cap) for h in heads))
+    one, two = store_at(spark, tmp_path / "one"), store_at(spark, tmp_path / "two")
+    one.write(of("a", 0))
+    two.write(of("b", 1000).unionByName(rows(spark, "b", [7], head=90_000)))
+    one.merge([two.path])
+    assert sorted((r["head_id"], r["cap_seq"]) for r in one.read().collect()) == sorted([*((h, s) for h in heads for s in range(3)), (90_000, 7)])
+    assert {r["head_id"] for r in one.readings().collect()} == {*heads, 90_000}
+    assert one.compact(str(tmp_path / "whole")).count() == 13
+    assert one.export(str(tmp_path / "out")) == 13
