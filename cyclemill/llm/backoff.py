@@ -192,7 +192,7 @@ def _packed(columns: np.ndarray, steps: int) -> bytes:
 
 def _unpacked(data: bytes, columns: int, steps: int) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 8, -1)
-    out = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+    out = planes.transpose(0, 2, 1).copy().view(np.int64).reshape(columns, -1)  # a single row's planes lie in order already, and data can't be written to
     out[steps] = np.cumsum(out[steps])
     return out
 

@@ -575,6 +575,15 @@ def test_packed_rows():
         assert (backoff._unpacked(backoff._packed(rows, steps), 7, steps) == rows).all()
 
 
+def test_packed_row_alone():
+    """A bucket with one row of a slice: its bytes lie in order as they come out of the decompressor, which can't be written to."""
+    for n in (0, 1, 2):
+        rows = np.arange(7 * n, dtype=np.int64).reshape(7, n) - 3
+        for steps in (0, 1):
+            got = backoff._unpacked(backoff._packed(rows, steps), 7, steps)
+            assert (got == rows).all() and got.flags.writeable
+
+
 # ---------------------------------------------------------------- 9
 
 
