@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cyclemill.config import Config
 from cyclemill.functions import exprs as X
-from cyclemill.functions.stats import DRIFT_SCHEMA, drift_of
+from cyclemill.functions.stats import DRIFT_SCHEMA, drifts
 from cyclemill.operators.gram import correlations, mean_correlations
 from cyclemill.workers import ship
 
@@ -243,20 +243,26 @@ def spread_sample(hits: DataFrame, total: int, limit: int) -> DataFrame:
 # ---------------------------------------------------------------- trend, correlation
 
 
-def series(events: DataFrame, cfg: Config, signal: str, by: str, window: int) -> DataFrame:
-    """(head_id, bucket, value, rolling_mean, rolling_std); windows count the buckets that a head has."""
+def bucketed(events: DataFrame, cfg: Config, signal: str, by: str) -> DataFrame:
+    """(head_id, bucket, value), in no order."""
     good, bad = _n(F.col("status") == F.lit(cfg.success_status)), _n(X.rejected())
     both = _n((F.col("status") == F.lit(cfg.success_status)) | X.rejected())
     value = F.avg(F.col("app_torque").cast("double")) if signal == "torque" else X.ratio(good, both)
-    out = events.where(X.loaded()).groupBy(F.col("head_id").cast("int").alias("head_id"), X.truncated(by).alias("bucket")).agg(value.alias("value"))
+    return events.where(X.loaded()).groupBy(F.col("head_id").cast("int").alias("head_id"), X.truncated(by).alias("bucket")).agg(value.alias("value"))
+
+
+def series(events: DataFrame, cfg: Config, signal: str, by: str, window: int) -> DataFrame:
+    """(head_id, bucket, value, rolling_mean, rolling_std); windows count the buckets that a head has."""
+    out = bucketed(events, cfg, signal, by)
     w = Window.partitionBy("head_id").orderBy("bucket").rowsBetween(1 - window, 0)
     return out.withColumn("rolling_mean", F.avg("value").over(w)).withColumn("rolling_std", F.stddev_samp("value").over(w)).orderBy("head_id", "bucket")
 
 
 def drift(buckets: DataFrame) -> DataFrame:
-    """Mann-Kendall per head. A head's buckets, a few thousand hours or days, are one small group."""
+    """Mann-Kendall per head. A head's buckets, a few thousand hours or days, are one row, and many heads one batch."""
     ship(buckets.sparkSession)
-    found = buckets.select("head_id", "bucket", "value").groupBy("head_id").applyInPandas(drift_of, DRIFT_SCHEMA)
+    listed = buckets.groupBy("head_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("v"))
+    found = listed.select("head_id", F.col("v.value").alias("values")).mapInArrow(drifts, DRIFT_SCHEMA)
     return found.orderBy(F.desc(F.abs("tau")), "head_id")
 
 

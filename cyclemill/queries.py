@@ -151,13 +151,13 @@ _TABLE: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
         )
         for signal, value in (("torque", "avg(x)"), ("success_rate", _RATE))
     },
-    "kendall_s": (lambda e: A.drift(A.series(e, CONFIG, "torque", "day", 7)).select("head_id", "kendall_s", "n_buckets"), _sql("head_id:i kendall_s:i n_buckets:i", "SELECT * FROM d", _BUCKETS.format(value="round(avg(x), 9)") + _DRIFT)),
-    "kendall_tau": (lambda e: A.drift(A.series(e, CONFIG, "success_rate", "day", 7)).select("head_id", "tau", "n_buckets"), _sql("head_id:i tau:d n_buckets:i", "SELECT * FROM d", _BUCKETS.format(value=_RATE) + _DRIFT)),
+    "kendall_s": (lambda e: A.drift(A.bucketed(e, CONFIG, "torque", "day")).select("head_id", "kendall_s", "n_buckets"), _sql("head_id:i kendall_s:i n_buckets:i", "SELECT * FROM d", _BUCKETS.format(value="round(avg(x), 9)") + _DRIFT)),
+    "kendall_tau": (lambda e: A.drift(A.bucketed(e, CONFIG, "success_rate", "day")).select("head_id", "tau", "n_buckets"), _sql("head_id:i tau:d n_buckets:i", "SELECT * FROM d", _BUCKETS.format(value=_RATE) + _DRIFT)),
     "drift_trend": (
-        lambda e: A.drift(A.series(e, CONFIG, "torque", "day", 7)).select("head_id", "kendall_s", "tau", "n_buckets", "direction", F.col("insufficient").cast("int").alias("insufficient")),
+        lambda e: A.drift(A.bucketed(e, CONFIG, "torque", "day")).select("head_id", "kendall_s", "tau", "n_buckets", "direction", F.col("insufficient").cast("int").alias("insufficient")),
         _sql("head_id:i kendall_s:i tau:d n_buckets:i direction insufficient:i", "SELECT *, CASE WHEN tau > 0 THEN 'rising' WHEN tau < 0 THEN 'falling' ELSE 'flat' END AS direction, n_buckets < 8 AS insufficient FROM d", _BUCKETS.format(value="round(avg(x), 9)") + _DRIFT),
     ),
-    "drift_verdicts": (lambda e: A.drift(A.series(e, CONFIG, "torque", "day", 7)), None),
+    "drift_verdicts": (lambda e: A.drift(A.bucketed(e, CONFIG, "torque", "day")), None),
     "head_correlation": (lambda e: A.correlation(e, "day", CORRELATED), _sql("head_a:i head_b:i shared:i r:d", "SELECT * FROM pairs", _PAIRS)),
     "correlation_outliers": (lambda e: A.correlation_outliers(A.correlation(e, "day", CORRELATED)), _sql("head_id:i mean_correlation:d", "SELECT head_id, avg(r) AS mean_correlation FROM (SELECT head_a AS head_id, r FROM pairs UNION ALL SELECT head_b, r FROM pairs) WHERE r IS NOT NULL GROUP BY 1", _PAIRS)),
     "head_correlation_all": (lambda e: A.correlation(e, "day"), None),
