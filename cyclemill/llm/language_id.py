@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclemill.llm.shared import Words, chained, code_points, letter_table, mixed, numbered, slices, stored, table, utf8, widened
+from cyclemill.llm.shared import Words, chained, code_points, lean, letter_table, mixed, numbered, slices, stored, table, utf8, widened
 
 SIZES = (3, 4)
 HASHES = 3
@@ -136,7 +136,7 @@ def fit(training: DataFrame) -> Filter:
     """Learn from text and lang. Only the filter, of a bounded size, and one row per language reach the driver."""
     spark = training.sparkSession
     rows = training.where("text is not null and lang is not null").select("lang", "text")
-    counts = stored(rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = stored(rows.mapInArrow(lean(_count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals, key=lambda x: x.encode())
     bits, words = LEAST_BITS, max(1, -(-len(languages) // 64))
@@ -149,7 +149,7 @@ def fit(training: DataFrame) -> Filter:
         kept = stored(each.select("gram", F.explode(F.filter("s", lambda x: x["share"] >= RATIO * top)).alias("s")).select("gram", "s.number"))
         most = kept.groupBy("number").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         bits = max(bits, int(SLOTS * most).bit_length())
-        found = kept.mapInArrow(lambda batches: _set_bits(batches, bits), "slot bigint, word bigint, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        found = kept.mapInArrow(lean(lambda batches: _set_bits(batches, bits)), "slot bigint, word bigint, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
         masks = np.zeros((1 << bits, words), np.uint64)
         masks[np.asarray(found["slot"]), np.asarray(found["word"])] = np.asarray(found["mask"]).view(np.uint64)
     full = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, widened(docs, "lang_pred string, score double"))
+    return docs.mapInArrow(lean(run), widened(docs, "lang_pred string, score double"))
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"

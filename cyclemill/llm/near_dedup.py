@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclemill.llm.components import components
-from cyclemill.llm.shared import MAX_IDS, Words, apart, keyed, mixed, slices, stored, table, utf8, without
+from cyclemill.llm.shared import MAX_IDS, Words, apart, keyed, lean, mixed, slices, stored, table, utf8, without
 
 SHINGLE = 5
 PERMUTATIONS = 100
@@ -147,7 +147,7 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the docs whose doc_id is in ids."""
     ids = stored(ids.distinct())
     texts = docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_semi")
-    return stored(texts.mapInArrow(_sets, "doc_id long, shingles binary"))
+    return stored(texts.mapInArrow(lean(_sets), "doc_id long, shingles binary"))
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = set_table(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirmed, "a long, b long"))
+    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(lean(_confirmed), "a long, b long"))
 
 
 def overlaps(x: np.ndarray, others: list[np.ndarray], limit: int = 1 << 19) -> np.ndarray:
@@ -229,7 +229,7 @@ def _block_links(batches):
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs with doc_id and text."""
     docs = docs.select("doc_id", "text")
-    sig = stored(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
+    sig = stored(docs.mapInArrow(lean(_signatures), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
     reps = sig.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
     reps = stored(reps.select("s1", "s2", "r.*"))
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -241,7 +241,7 @@ def link(docs: DataFrame) -> DataFrame:
         a = short.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         b = short.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         near = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, agree long")
+        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_estimated), "a long, b long, agree long")
 
     shared = stored(members.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
     links = tested = comps = None
@@ -272,7 +272,7 @@ def link(docs: DataFrame) -> DataFrame:
     many = many.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("first", F.col("own") == F.col("lo"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = many.select("key", "lo", "hi", "first", "doc_id", "comp", "n", "sig", "bands", "shingles").repartition(parts, "key", "lo", "hi")
-    across = stored(many.sortWithinPartitions("key", "lo", "hi").mapInArrow(_block_links, "a long, b long"))
+    across = stored(many.sortWithinPartitions("key", "lo", "hi").mapInArrow(lean(_block_links), "a long, b long"))
     rest = stored(small.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     final = components(links.unionByName(across).unionByName(confirm(docs, rest)))
 
