@@ -32,8 +32,8 @@ from cyclemill.llm.shared import Words, code_points, lean, ranked, slices, store
 
 CAPACITY = 2048
 END_ID = 0
-#: Texts are worked on in slices of so many bytes; with 8 MB a worker took 160 MB more and was no faster.
-SLICE = 2 << 20
+#: Texts are worked on in slices of so many bytes; with 8 MB a worker took 180 MB more and was no faster.
+SLICE = 1 << 20
 #: Words whose ids a worker keeps; more are encoded again.
 REMEMBERED = 300_000
 
