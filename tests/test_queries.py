@@ -96,3 +96,15 @@ def test_correlation_of_all_heads(spark, duck):
         if rs := [r for r in rs if r is not None]:
             assert outliers.pop(h) == pytest.approx(sum(rs) / len(rs), abs=2e-6)
     assert not outliers
+
+
+def test_rounding_is_sparks(spark):
+    """Value by value, zeros' signs, halves and numbers that aren't any with them; and few rows go by way of decimals."""
+    from cyclemill.functions import exprs as X
+
+    odd = [0.0, -0.0, -1e-7, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 0.1234565, -0.1234575, 999.9999995, 1000.0, 1234567.1234565, 1e300, float("nan"), float("inf"), -float("inf"), None]
+    near = spark.range(20_000).select((F.col("id") / 10_000 - 1 + 5e-7 * (F.col("id") % 2) + 1e-15 * (F.col("id") % 3)).alias("x"))
+    wide = spark.range(20_000).select((F.randn(7) * F.pow(F.lit(10.0), F.col("id") % 12 - 6)).alias("x"))
+    for df in (spark.createDataFrame([(x,) for x in odd], "x double"), near, wide):
+        got = df.select("x", X.rounded(F.col("x"), 6).cast("string").alias("a"), F.round("x", 6).cast("string").alias("b"))
+        assert got.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
